@@ -15,5 +15,49 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op8_simhash": op8_simhash}
-ORACLE: dict[str, str] = {}
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_deleted")
+
+
+#: Runs of 50 words or more as strings; a run is the shortest from its first or to its last line.
+OP4_SQL = r"""
+WITH raw AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+         unnest(range(len(string_split(text, chr(10))))) AS pos
+  FROM documents WHERE text IS NOT NULL),
+l AS (
+  SELECT doc_id, pos, trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare,
+         len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS nw FROM raw),
+s AS (
+  SELECT doc_id, pos, bare, nw, row_number() OVER w AS seq, sum(nw) OVER w AS cum,
+         sum(nw) OVER w - nw AS prev FROM l WHERE nw > 0 WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+runs AS (
+  SELECT a.doc_id, a.seq AS i, b.seq AS j FROM s a JOIN s b
+    ON a.doc_id = b.doc_id AND b.seq BETWEEN a.seq AND a.seq + 49 AND b.cum - a.prev >= 50
+   AND (b.prev - a.prev < 50 OR b.cum - a.cum < 50)),
+named AS (
+  SELECT r.doc_id, r.i, r.j, string_agg(s.bare, chr(10) ORDER BY s.seq) AS content
+  FROM runs r JOIN s ON s.doc_id = r.doc_id AND s.seq BETWEEN r.i AND r.j GROUP BY 1, 2, 3),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, i) AS nth FROM named),
+dead AS (
+  SELECT DISTINCT s.doc_id, s.pos FROM ranked r JOIN s ON s.doc_id = r.doc_id AND s.seq BETWEEN r.i AND r.j
+  WHERE nth > 1),
+owner AS (
+  SELECT l.doc_id, l.pos, max(CASE WHEN l.nw > 0 THEN l.pos END) OVER (PARTITION BY l.doc_id ORDER BY l.pos) AS own
+  FROM l),
+marked AS (
+  SELECT raw.doc_id, raw.pos, raw.line, d.pos IS NOT NULL AS gone
+  FROM raw JOIN owner o USING (doc_id, pos) LEFT JOIN dead d ON d.doc_id = o.doc_id AND d.pos = o.own)
+SELECT d.doc_id,
+       CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(m.kept, '') END AS text,
+       CAST(coalesce(m.n, 0) AS INTEGER) AS n_lines, CAST(coalesce(m.g, 0) AS INTEGER) AS n_deleted
+FROM documents d LEFT JOIN (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone) AS kept, count(*) AS n,
+         count(*) FILTER (gone) AS g FROM marked GROUP BY doc_id) m USING (doc_id)
+"""
+
+
+QUERIES = {"op4_line_dedup": op4_line_dedup, "op8_simhash": op8_simhash}
+ORACLE: dict[str, str] = {"op4_line_dedup": OP4_SQL}
