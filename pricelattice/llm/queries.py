@@ -59,5 +59,12 @@ FROM documents d LEFT JOIN (
 """
 
 
-QUERIES = {"op4_line_dedup": op4_line_dedup, "op8_simhash": op8_simhash}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_net import learnable, score_quality
+
+    scored = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", (~learnable()).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+QUERIES = {"op10_quality": op10_quality, "op4_line_dedup": op4_line_dedup, "op8_simhash": op8_simhash}
 ORACLE: dict[str, str] = {"op4_line_dedup": OP4_SQL}
