@@ -66,5 +66,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~learnable()).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
-QUERIES = {"op10_quality": op10_quality, "op4_line_dedup": op4_line_dedup, "op8_simhash": op8_simhash}
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op9_decontaminate": op9_decontaminate, "op10_quality": op10_quality, "op4_line_dedup": op4_line_dedup, "op8_simhash": op8_simhash}
 ORACLE: dict[str, str] = {"op4_line_dedup": OP4_SQL}
