@@ -32,22 +32,21 @@ RANK = 48
 SKETCH = 64
 STRIDE = 12
 WINDOW = 2 * STRIDE
-SAMPLE = 20_000
+SAMPLE = 10_000
 ITEMS = 5_000
 #: Least cosine of a candidate passage.
-COSINE = 0.4
-#: Least share of a candidate's words (or of the item's passage, if shorter) that the item has.
-SHARED = 0.4
+COSINE = 0.5
+#: Least share of a candidate's words, by inverse document frequency, that the item has.
+SHARED = 0.3
 NEARLY = 0.8
 STEP = 1 << 17
 #: What a word loses at its ends.
 EDGES = ".,;:!?\"'()[]{}<>*#$%&|+-=_/\\~`^@«»“”„‘’…–—"
-_SPLIT = re.compile(r"[\x20\x09-\x0D]+")
 
 
 def plain_words(text: str | None) -> list[str]:
     """Lower-cased words without punctuation at their ends; none for null."""
-    return [w for w in (x.strip(EDGES).lower() for x in _SPLIT.split(text or "")) if w]
+    return [w for w in (x.strip(EDGES).lower() for x in (text or "").split()) if w]
 
 
 class _Hashed(dict):
@@ -62,7 +61,7 @@ class _Hashed(dict):
 
 
 def _features(text: str | None, hashed: _Hashed) -> np.ndarray:
-    ids = np.array([hashed[w] for w in _SPLIT.split(text) if w] if text else [], np.int64)
+    ids = np.array([hashed[w] for w in text.split()] if text else [], np.int64)
     return ids[ids >= 0]
 
 
@@ -218,19 +217,19 @@ def verified(item: _Item, around: list[str]) -> tuple[int, bool] | None:
 
 def _search(shared):
     def run(batches):
-        project, items = shared.value
-        hashed, own = _Hashed(), []
-        vectors, has, lengths_of = [], np.zeros((len(items), HASHED), bool), []
+        project, idf, items = shared.value
+        hashed, own, vectors, ids_of = _Hashed(), [], [], []
+        has = np.zeros((len(items), HASHED), bool)
         for k, item in enumerate(items):
             ids = np.array([hashed[w] for w in item.words], np.int64)
             has[k, ids] = True
+            ids_of.append(ids)
             n = len(ids)
             for s in range(0, max(1, n - WINDOW + STRIDE), STRIDE):
                 s = max(0, min(s, n - WINDOW))
                 vectors.append(project[ids[s : s + WINDOW]].sum(axis=0))
                 own.append(k)
-                lengths_of.append(min(n, WINDOW))
-        target, own, lengths_of = _unit(np.array(vectors)).T.copy(), np.array(own), np.array(lengths_of)
+        target, own = _unit(np.array(vectors)).T.copy(), np.array(own)
         for batch in batches:
             best: dict[tuple[int, int], tuple] = {}
             texts = batch["text"].to_list()
@@ -240,25 +239,32 @@ def _search(shared):
                 first = np.cumsum(lengths) - lengths
                 end = np.minimum(starts + WINDOW, (first + lengths)[doc])
                 padded = np.append(ids, np.zeros(WINDOW, np.int64))
-                for lo in range(0, len(starts), 4096):
-                    near = spaced[lo : lo + 4096] @ target
+                # a last block is part of the window before it, unless it is the only one
+                whole = np.flatnonzero((follow != np.arange(len(follow))) | (inside == 0))
+                for lo in range(0, len(whole), 4096):
+                    near = spaced[whole[lo : lo + 4096]] @ target
                     win, passage = np.nonzero(near >= COSINE)
-                    cosine, item, win = near[win, passage], own[passage], win + lo
-                    inside_window = starts[win, None] + np.arange(WINDOW) < end[win, None]
-                    shared_words = (has[item[:, None], padded[starts[win, None] + np.arange(WINDOW)]] & inside_window).sum(axis=1)
-                    least = SHARED * np.minimum(lengths_of[passage], (end - starts)[win])
-                    for j in np.flatnonzero(shared_words >= least):
+                    cosine, item, win = near[win, passage], own[passage], whole[win + lo]
+                    at_word = starts[win, None] + np.arange(WINDOW)
+                    weight = idf[padded[at_word]] * (at_word < end[win, None])
+                    held = (weight * has[item[:, None], padded[at_word]]).sum(axis=1)
+                    for j in np.flatnonzero(held >= SHARED * weight.sum(axis=1)):
                         row, it, at = int(rows[doc[win[j]]]), int(item[j]), int(inside[win[j]]) * STRIDE
                         seen = best.get((row, it))
                         if seen and seen[0] <= at <= seen[1]:
                             continue  # verified with the same surroundings
-                        best_key = (row, it)
-                        words_of = best.setdefault((row, -1), plain_words(texts[row]))
                         n = len(items[it].words)
                         a, b = max(0, at - n), at + WINDOW + n
+                        lo_word = first[doc[win[j]]]
+                        region = ids[lo_word + a : min(lo_word + b, lo_word + lengths[doc[win[j]]])]
+                        if np.isin(ids_of[it], region).sum() < needed(n):
+                            continue  # a bound on the common subsequence
+                        if (row, -1) not in best:
+                            best[row, -1] = plain_words(texts[row])
+                        words_of = best[row, -1]
                         got = verified(items[it], words_of[a:b])
                         if got and (not seen or got[0] > seen[2]):
-                            best[best_key] = (at, at + n, got[0], got[1], float(cosine[j]))
+                            best[row, it] = (at, at + n, got[0], got[1], float(cosine[j]))
                 for key in [k for k in best if k[1] < 0]:
                     del best[key]
             keys = list(best)
@@ -294,15 +300,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     texts = plain.select("text")
     items = benchmark.select("item_id", "text").where("text is not null and item_id is not null")
     blocks = max(1, math.ceil(items.count() / ITEMS))
-    project, found = None, None
+    project = idf = found = None
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).toPandas()
         own = [x for x in (_Item(int(i), t) for i, t in zip(rows["item_id"], rows["text"], strict=True)) if x.words]
         if not own:
             continue
         if project is None:
-            project = projection(texts, inverse_frequencies(texts))
-        shared = spark.sparkContext.broadcast((project, own))
+            idf = inverse_frequencies(texts)
+            project = projection(texts, idf)
+        shared = spark.sparkContext.broadcast((project, idf, own))
         part = plain.where("text is not null").mapInPandas(_search(shared), RESULT)
         found = part if found is None else found.unionByName(part)
     if found is None:
