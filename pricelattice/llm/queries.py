@@ -72,5 +72,22 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op9_decontaminate": op9_decontaminate, "op10_quality": op10_quality, "op4_line_dedup": op4_line_dedup, "op8_simhash": op8_simhash}
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe import Codec, encode, read_ranks
+
+    ranks = read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    codec = Codec(ranks)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = encode(docs, ranks, public_tokenizers.PATTERN, codec=codec).select("doc_id", "ids")
+    return ids.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(codec.id_bytes(F.col("ids")), 256).alias("ids_sha256"),
+        F.sha2(codec.decode(F.col("ids")), 256).alias("decoded_sha256"),
+    )
+
+
+QUERIES = {"op5_bpe": op5_bpe, "op9_decontaminate": op9_decontaminate, "op10_quality": op10_quality, "op4_line_dedup": op4_line_dedup, "op8_simhash": op8_simhash}
 ORACLE: dict[str, str] = {"op4_line_dedup": OP4_SQL}
