@@ -1,16 +1,18 @@
 """Byte-level BPE in DataFrame operations.
 
 Encoding: a text splits into pretokens by the pattern of the vocabulary. The pretokens are counted
-over all texts; the ``HOT`` most frequent ones are encoded once each and become a lookup table of
-bounded size, all others are encoded where they stand, by the same expression. That expression
-is a fold: it starts from the single bytes of a pretoken and merges the adjacent pair of least rank
-until no pair has a rank. Ranks, and the hot pretokens, are literal arrays addressed by a hash:
-an entry lies in one of the two slots that its CRC-32 names.
+over all texts, and the ``HOT`` most frequent distinct ones are encoded once each by a fold of
+higher-order functions: it starts from the single bytes of a pretoken and merges the adjacent pair
+of least rank until no pair has a rank. They become a lookup table of bounded size. Ranks and hot
+pretokens are literal arrays addressed by a hash: an entry lies in one of the two slots that its
+CRC-32 names. The rare rest, a few in a hundred of all pretokens, is merged by the same rule in an
+Arrow UDF that takes each document's distinct rare pretokens (folding them where they stand cost
+more than the whole remaining job; a table of all distinct pretokens has no size bound).
 
 Decoding: ids to byte pieces by a literal array, concatenated as binary.
 
-The fold is quadratic in the length of a pretoken, so a text with a run of over ``LONG``
-characters of one kind (space or not) goes through a heap-based merge in Python instead.
+A pretoken of over ``LONG`` bytes counts as rare: the fold is quadratic in the length, the merge with
+a heap is not.
 """
 
 from __future__ import annotations
@@ -25,10 +27,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Pretokens in the lookup table; it then has 2**19 slots.
-HOT = 240_000
-#: Characters of a run beyond which the fold gives way to the heap.
-LONG = 400
+#: Pretokens in the lookup table; it then has 2**18 slots.
+HOT = 120_000
+#: Bytes of a pretoken beyond which it is always merged with a heap.
+LONG = 64
+#: Rare pretokens that a Python worker remembers.
+KEEP = 1_000_000
 EMPTY = b""
 
 
@@ -191,17 +195,37 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts if p]
 
 
-def _long_encoder(ranks: dict[bytes, int], pattern: str):
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def encode(texts: pd.Series) -> pd.Series:
-        import regex
+class _Rare(dict):
+    """Ids of rare pretokens, remembered by each Python worker over all its tasks."""
 
-        split = regex.compile(pattern)
-        return texts.map(
-            lambda t: None if t is None else [i for w in split.findall(t) for i in merge_long(w.encode(), ranks)]
-        )
+    def __init__(self, ranks: dict[bytes, int]):
+        super().__init__()
+        self.ranks = ranks
+
+    def __missing__(self, word: str) -> list[int]:
+        ids = merge_long(word.encode(), self.ranks)
+        if len(self) > KEEP:
+            self.clear()
+        if len(word) <= LONG:
+            self[word] = ids
+        return ids
+
+
+_MEMO: dict[int, _Rare] = {}
 
-    return encode
+
+def _rare_encoder(spark, ranks: dict[bytes, int]):
+    shared = spark.sparkContext.broadcast(ranks)
+    key = zlib.crc32(repr(sorted(ranks.items())).encode())
+
+    @F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
+    def encode_rare(rare: pd.Series) -> pd.Series:
+        memo = _MEMO.get(key)
+        if memo is None:
+            memo = _MEMO[key] = _Rare(shared.value)
+        return rare.map(lambda own: [memo[w] for w in own])
+
+    return encode_rare
 
 
 def encode(
@@ -210,33 +234,32 @@ def encode(
     """Add ``out``: the ids of ``text`` as an array of ints. A null text counts as empty and has no
     ids. Repeated rows, ties and other columns need no care: each row stands for itself."""
     codec = codec or Codec(ranks)
-    java = java_pattern(pattern)
-    long_run = rf"\S{{{LONG}}}|\s{{{LONG}}}"
-    pretokens = lambda t: F.regexp_extract_all(t, F.lit(java), F.lit(0))
+    pretokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(java_pattern(pattern)), F.lit(0))
     hot = (
-        docs.where(F.col(text).isNotNull() & ~F.col(text).rlike(long_run))
-        .select(F.explode(pretokens(F.col(text))).alias("w"))
+        docs.select(F.explode(pretokens).alias("w"))
+        .where(F.octet_length("w") <= LONG)
         .groupBy("w")
         .agg(F.count("*").alias("n"))
         .orderBy(F.desc("n"), "w")
         .limit(HOT)
+        .repartition("w")
         .select(F.col("w").cast("binary").alias("w"))
         .select("w", _let(F.struct(*codec.rank.fields), lambda t: codec.encode_word(t, F.col("w"))).alias("ids"))
         .collect()  # HOT rows at most
     )
-    known = Lookup("hot", {bytes(r.w): list(r.ids) for r in hot}, T.ArrayType(T.IntegerType()))
-
-    def word_ids(tables, word):
-        return _let(word, lambda w: F.coalesce(known.get(tables, w), codec.encode_word(tables, w)))
-
-    ids = _let(
-        F.struct(*codec.rank.fields, *known.fields),
-        lambda t: F.flatten(F.transform(F.col("__w"), lambda w: word_ids(t, w.cast("binary")))),
+    known = Lookup("hot", {bytes(r.w): r.ids for r in hot}, T.ArrayType(T.IntegerType()))
+    del hot
+    found = _let(
+        F.struct(*known.fields), lambda t: F.transform(F.col("__w"), lambda w: _let(w.cast("binary"), lambda x: known.get(t, x)))
     )
+    rare = F.array_distinct(F.filter(F.col("__w"), lambda w, i: F.get(F.col("__k"), i).isNull()))
+    merged = F.map_from_arrays("__rare", _rare_encoder(docs.sparkSession, ranks)(F.col("__rare")))
+    ids = F.flatten(F.transform(F.col("__w"), lambda w, i: F.coalesce(F.get(F.col("__k"), i), F.try_element_at(F.col("__m"), w))))
     return (
-        docs.withColumn("__long", F.coalesce(F.col(text).rlike(long_run), F.lit(False)))
-        .withColumn("__ids", _long_encoder(ranks, pattern)(F.when(F.col("__long"), F.col(text))))
-        .withColumn("__w", F.when(F.col("__long"), F.lit(None)).otherwise(pretokens(F.coalesce(text, F.lit("")))))
-        .withColumn(out, F.when(F.col("__long"), F.col("__ids")).otherwise(ids))
-        .drop("__long", "__ids", "__w")
+        docs.withColumn("__w", pretokens)
+        .withColumn("__k", found)
+        .withColumn("__rare", rare)
+        .withColumn("__m", merged)
+        .withColumn(out, ids)
+        .drop("__w", "__k", "__rare", "__m")
     )

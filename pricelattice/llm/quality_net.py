@@ -253,3 +253,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, text: str = "text", id_col
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
     shared = fit(plain, labels.select("doc_id", "quality"), learnable())
     return _pooled(plain, "text", shared, False).select(F.col("doc_id").alias(id_col), "score")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` (with ``doc_id``) whose score is at least ``least``, with all columns."""
+    shared = fit(docs.select("doc_id", F.col(text).alias("text")), labels.select("doc_id", "quality"), learnable())
+    scored = _pooled(docs.withColumn("__words_of", F.col(text)), "__words_of", shared, False)
+    return scored.where(F.col("score") >= least).select(*docs.columns)
