@@ -89,5 +89,15 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op5_bpe": op5_bpe, "op9_decontaminate": op9_decontaminate, "op10_quality": op10_quality, "op4_line_dedup": op4_line_dedup, "op8_simhash": op8_simhash}
+def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_shards import read_shards, shard_folder, write_shards
+
+    folder = shard_folder(spark)
+    write_shards(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    return read_shards(spark, folder)
+
+
+QUERIES = {"op7_token_shards": op7_token_shards, "op5_bpe": op5_bpe, "op9_decontaminate": op9_decontaminate, "op10_quality": op10_quality, "op4_line_dedup": op4_line_dedup, "op8_simhash": op8_simhash}
 ORACLE: dict[str, str] = {"op4_line_dedup": OP4_SQL}
