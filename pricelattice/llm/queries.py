@@ -99,5 +99,17 @@ def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(spark, folder)
 
 
-QUERIES = {"op7_token_shards": op7_token_shards, "op5_bpe": op5_bpe, "op9_decontaminate": op9_decontaminate, "op10_quality": op10_quality, "op4_line_dedup": op4_line_dedup, "op8_simhash": op8_simhash}
+def op1_html_mincut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_mincut import extract
+
+    return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op2_rule_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .rule_forest import judged
+
+    return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op2_rule_forest": op2_rule_forest, "op1_html_mincut": op1_html_mincut, "op7_token_shards": op7_token_shards, "op5_bpe": op5_bpe, "op9_decontaminate": op9_decontaminate, "op10_quality": op10_quality, "op4_line_dedup": op4_line_dedup, "op8_simhash": op8_simhash}
 ORACLE: dict[str, str] = {"op4_line_dedup": OP4_SQL}
