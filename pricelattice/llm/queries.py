@@ -111,5 +111,18 @@ def op2_rule_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op2_rule_forest": op2_rule_forest, "op1_html_mincut": op1_html_mincut, "op7_token_shards": op7_token_shards, "op5_bpe": op5_bpe, "op9_decontaminate": op9_decontaminate, "op10_quality": op10_quality, "op4_line_dedup": op4_line_dedup, "op8_simhash": op8_simhash}
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def op3_lang_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lang_crf import identify, learnable
+
+    found = identify(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", (~learnable()).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {"op3_lang_crf": op3_lang_crf, "op6_license_scan": op6_license_scan, "op2_rule_forest": op2_rule_forest, "op1_html_mincut": op1_html_mincut, "op7_token_shards": op7_token_shards, "op5_bpe": op5_bpe, "op9_decontaminate": op9_decontaminate, "op10_quality": op10_quality, "op4_line_dedup": op4_line_dedup, "op8_simhash": op8_simhash}
 ORACLE: dict[str, str] = {"op4_line_dedup": OP4_SQL}
