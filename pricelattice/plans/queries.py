@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..fixtures import load, with_tables
@@ -461,8 +461,6 @@ MERGED = "m AS (SELECT product_id, min(product_id) OVER (PARTITION BY name, bran
     FROM prices p JOIN m USING (product_id) GROUP BY 1""",
 )
 def merge_products(t):
-    from pyspark.sql import Window
-
     w = Window.partitionBy("name", "brand", "pack_info")
     m = t("products").select("product_id", F.min("product_id").over(w).alias("kept_id")).where("product_id <> kept_id")
     _, moved = T.merge_products(t("products"), t("prices"), m)
@@ -540,6 +538,56 @@ def brochure_prices(t):
     return _lines(t).withColumn("price", packs.first_price(F.col("line"))).where("price is not null")
 
 
+@query()
+def dup_candidates(t):
+    """Rows only: similar product names, by the blocked join."""
+    from ..operators.resolve import similar_names
+
+    return similar_names(t("products").select("name"))
+
+
+@query()
+def match_sku(t):
+    """Rows only: price rows of one day as items against the products."""
+    from ..operators.resolve import match_sku as match
+
+    p = t("products")
+    items = p.where("product_id % 5 = 1").select(F.col("product_id").alias("item_no"), F.concat(F.col("name"), F.lit("s")).alias("name"), "brand", "pack_info")
+    return match(items, p.where("product_id % 2 = 0"))
+
+
+@query()
+def match_catalog(t):
+    """Rows only: titles of pages against a catalog of product names."""
+    from ..operators.resolve import match_catalog as match
+
+    p = t("products").select("name").distinct()
+    catalog = p.select(F.dense_rank().over(Window.orderBy("name")).alias("ordinal"), "name")
+    titles = t("products").select(F.concat_ws(" ", "brand", "name", "pack_info").alias("title"))
+    return match(titles, catalog)
+
+
+ORACLE["stream_weekly"] = """SELECT CAST(user_id % 80 AS BIGINT) AS store_id, CAST(date_trunc('week', ts) AS DATE) AS week,
+    round(avg(value), 6) AS mean_value, count(*) AS n FROM events GROUP BY 1, 2"""
+ORACLE["stream_ingest"] = "SELECT DISTINCT CAST(user_id % 80 AS BIGINT) AS store_id, event_type, CAST(ts AS DATE) AS day FROM events"
+
+
+def _stream_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming import jobs
+
+    return jobs.weekly_means(jobs.runs_stream(spark, sf_dir)).withColumn("store_id", F.col("store_id").cast("long"))
+
+
+def _stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming import jobs
+
+    out = jobs.guarded_ingest(jobs.runs_stream(spark, sf_dir))
+    return out.select(F.col("store_id").cast("long").alias("store_id"), "event_type", "day")
+
+
+QUERIES |= {"stream_weekly": _stream_weekly, "stream_ingest": _stream_ingest}
+
+
 #: Exact decimal columns, which both sides hand over as doubles.
 DECIMALS = {
     "latest_prices": "price", "product_store_prices": "price", "compare_prices": "price pct_above", "cheapest_store": "price",
