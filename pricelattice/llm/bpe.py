@@ -27,8 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Pretokens in the lookup table; it then has 2**18 slots.
-HOT = 120_000
+#: Pretokens in the lookup table; it then has 2**17 slots.
+HOT = 60_000
 #: Bytes of a pretoken beyond which it is always merged with a heap.
 LONG = 64
 #: Rare pretokens that a Python worker remembers.
@@ -242,7 +242,7 @@ def encode(
         .agg(F.count("*").alias("n"))
         .orderBy(F.desc("n"), "w")
         .limit(HOT)
-        .repartition("w")
+        .repartition(16, "w")
         .select(F.col("w").cast("binary").alias("w"))
         .select("w", _let(F.struct(*codec.rank.fields), lambda t: codec.encode_word(t, F.col("w"))).alias("ids"))
         .collect()  # HOT rows at most
@@ -254,12 +254,12 @@ def encode(
     )
     rare = F.array_distinct(F.filter(F.col("__w"), lambda w, i: F.get(F.col("__k"), i).isNull()))
     merged = F.map_from_arrays("__rare", _rare_encoder(docs.sparkSession, ranks)(F.col("__rare")))
-    ids = F.flatten(F.transform(F.col("__w"), lambda w, i: F.coalesce(F.get(F.col("__k"), i), F.try_element_at(F.col("__m"), w))))
+    one = lambda m: lambda w, i: F.coalesce(F.get(F.col("__k"), i), F.try_element_at(m, w))
+    ids = _let(merged, lambda m: F.flatten(F.transform(F.col("__w"), one(m))))  # the map is made once a row
     return (
         docs.withColumn("__w", pretokens)
         .withColumn("__k", found)
         .withColumn("__rare", rare)
-        .withColumn("__m", merged)
         .withColumn(out, ids)
-        .drop("__w", "__k", "__rare", "__m")
+        .drop("__w", "__k", "__rare")
     )
