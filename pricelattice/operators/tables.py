@@ -143,3 +143,40 @@ def page_dedup(lines: DataFrame) -> DataFrame:
     """The first of the lines of a page that agree without case and surrounding space."""
     w = Window.partitionBy("page_id", F.lower(F.trim("line"))).orderBy("line_no")
     return lines.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
+
+
+def page_runs(pages: DataFrame, stop_at: int = 3) -> DataFrame:
+    """Pages ``(seq_id, page_no, content)`` without consecutive repeats; a sequence ends before its
+    ``stop_at``-th repeat in a row."""
+    w = Window.partitionBy("seq_id").orderBy("page_no")
+    digest = F.md5(F.col("content"))
+    marked = pages.withColumn("new", F.coalesce(digest != F.lag(digest).over(w), F.lit(True)))
+    grouped = marked.withColumn("run", F.sum(F.col("new").cast("int")).over(w))
+    place = F.row_number().over(Window.partitionBy("seq_id", "run").orderBy("page_no")) - 1
+    ended = F.max((F.col("place") >= stop_at).cast("int")).over(w)
+    return grouped.withColumn("place", place).withColumn("ended", ended).where("ended = 0 and new").drop("new", "run", "place", "ended")
+
+
+def priced_blocks(lines: DataFrame, price: Column) -> DataFrame:
+    """Lines ``(page_id, line_no, line)`` with a price, each with up to two lines above it as its block."""
+    w = Window.partitionBy("page_id").orderBy("line_no")
+    block = F.concat_ws("\n", F.lag("line", 2).over(w), F.lag("line", 1).over(w), F.col("line"))
+    return lines.withColumn("block", block).withColumn("price", price).where("price is not null")
+
+
+def new_products(unmatched: DataFrame, name: Column, brand: Column, pack: Column) -> DataFrame:
+    """One pending product per normalised name, brand and pack of unmatched items; its id is a hash of the
+    key, so that reruns agree."""
+    keyed = unmatched.select("item_no", name.alias("name"), brand.alias("brand"), pack.alias("pack_info"))
+    one = keyed.groupBy("name", "brand", "pack_info").agg(F.count("*").alias("n_items"), F.min("item_no").alias("first_item"))
+    return one.withColumn("status", F.lit("pending_review")).withColumn("product_key", F.sha2(F.concat_ws("|", "name", "brand", "pack_info"), 256))
+
+
+def review_queue(products: DataFrame, prices: DataFrame, stores: DataFrame) -> DataFrame:
+    """Pending products with the names of the stores that ever sold them and their latest price."""
+    pending = products.where("status = 'pending_review'")
+    own = prices.join(pending.select("product_id"), "product_id", "left_semi")
+    sold = own.select("product_id", "store_id").distinct().join(stores.select("store_id", "store_name"), "store_id")
+    names = sold.groupBy("product_id").agg(F.array_join(F.array_sort(F.collect_set("store_name")), "|").alias("stores"))
+    last = latest(own, ["product_id"], "recorded_at", [F.desc("load_key"), F.desc("load_line")]).select("product_id", F.col("price").alias("last_price"))
+    return pending.join(names, "product_id", "left").join(last, "product_id", "left")

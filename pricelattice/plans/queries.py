@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..fixtures import load, with_tables
-from ..functions import packs, text
+from ..functions import dates, packs, text
 from ..operators import prices as P
 from ..operators import tables as T
 
@@ -588,6 +588,144 @@ def _stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES |= {"stream_weekly": _stream_weekly, "stream_ingest": _stream_ingest}
 
 
+@query("products", "SELECT product_id, name, brand FROM products WHERE product_id = 42")
+def product_lookup(t):
+    return t("products").where("product_id = 42").select("product_id", "name", "brand")
+
+
+@query("products", "SELECT product_id, name FROM products WHERE product_id IN (1, 5, 9, 1000000)")
+def product_subset(t):
+    return t("products").where(F.col("product_id").isin(1, 5, 9, 1_000_000)).select("product_id", "name")
+
+
+@query("stores", "SELECT store_id, store_slug FROM stores WHERE active AND store_slug LIKE '%7%'")
+def stores_due(t):
+    return t("stores").where(F.col("active") & F.col("store_slug").contains("7")).select("store_id", "store_slug")
+
+
+@query(
+    "scrape_runs",
+    """SELECT run_id, store_id, started_at, coalesce(CASE WHEN status = 'failed' THEN 'ERROR' END, 'INFO') AS level
+    FROM scrape_runs ORDER BY started_at DESC, run_id DESC LIMIT 200""",
+)
+def recent_logs(t):
+    level = F.coalesce(F.when(F.col("status") == "failed", "ERROR"), F.lit("INFO")).alias("level")
+    return t("scrape_runs").select("run_id", "store_id", "started_at", level).orderBy(F.desc("started_at"), F.desc("run_id")).limit(200)
+
+
+@query(
+    "products prices stores",
+    """n AS (SELECT product_id, array_to_string(list_sort(list(DISTINCT store_name)), '|') AS stores FROM prices JOIN stores USING (store_id) GROUP BY 1),
+    l AS (SELECT product_id, price AS last_price FROM prices QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY recorded_at DESC, load_key DESC, load_line DESC) = 1)
+    SELECT p.product_id, name, stores, last_price FROM products p LEFT JOIN n USING (product_id) LEFT JOIN l USING (product_id)
+    WHERE status = 'pending_review'""",
+)
+def review_queue(t):
+    return T.review_queue(t("products"), t("prices"), t("stores")).select("product_id", "name", "stores", "last_price")
+
+
+@query(
+    "products prices",
+    f"""{LATEST} SELECT product_id, store_id, price, load_key, load_line, products.brand AS brand, pack_info
+    FROM products JOIN latest USING (product_id) WHERE status = 'active' AND name = 'blue bolt'""",
+)
+def family_variants(t):
+    return P.family_variants(t("products"), t("prices"), "blue bolt").drop("unit_price")
+
+
+@query(
+    "products prices stores",
+    f"""{LATEST}, h AS (SELECT product_id, name FROM products WHERE status = 'active' AND name ILIKE '%blue%' ORDER BY name, product_id LIMIT 5)
+    SELECT h.product_id, name, store_id, price, count(*) OVER (PARTITION BY h.product_id) AS n_stores FROM h JOIN latest USING (product_id)
+    QUALIFY row_number() OVER (PARTITION BY h.product_id ORDER BY price, store_id, load_key, load_line) = 1""",
+)
+def search_compare(t):
+    hits = T.search(t("products"), "blue").select("product_id", "name").orderBy("name", "product_id").limit(5)
+    own = P.latest_prices(t("prices").join(F.broadcast(hits), "product_id"))  # five rows
+    n = own.groupBy("product_id").agg(F.count("*").alias("n_stores"))
+    best = P.cheapest_store(t("prices").join(F.broadcast(hits), "product_id"), t("stores")).select("product_id", "store_id", "price")
+    return best.join(n, "product_id").join(F.broadcast(hits), "product_id").select("product_id", "name", "store_id", "price", "n_stores")
+
+
+@query(
+    "products",
+    """SELECT lower(trim(name)) AS name, lower(brand) AS brand, pack_info, count(*) AS n_items, min(product_id) AS first_item FROM products
+    WHERE product_id % 3 = 0 GROUP BY 1, 2, 3""",
+)
+def new_products(t):
+    items = t("products").where("product_id % 3 = 0").withColumnRenamed("product_id", "item_no")
+    out = T.new_products(items, text.normalise_name(F.col("name")), text.brand_key(F.col("brand")), text.normalise_pack(F.col("pack_info")))
+    return out.select("name", "brand", "pack_info", "n_items", "first_item")
+
+
+@query(
+    "products prices",
+    """m AS (SELECT product_id, brand AS mb FROM prices WHERE brand IS NOT NULL GROUP BY 1, 2
+    QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY count(*) DESC, brand) = 1)
+    SELECT product_id, coalesce(CASE WHEN product_id % 4 <> 0 THEN brand END, mb) AS brand FROM products LEFT JOIN m USING (product_id)""",
+)
+def backfill_brand(t):
+    bare = t("products").select("product_id", F.when(F.col("product_id") % 4 != 0, F.col("brand")).alias("brand"))
+    modal = P.modal_brand(t("prices")).select("product_id", F.col("brand").alias("modal"))
+    return bare.join(modal, "product_id", "left").select("product_id", F.coalesce("brand", "modal").alias("brand"))
+
+
+@query(
+    "",
+    """WITH p AS (SELECT user_id AS seq_id, event_id AS page_no, event_type AS content FROM events),
+    a AS (SELECT *, coalesce(content <> lag(content) OVER w, true) AS new FROM p WINDOW w AS (PARTITION BY seq_id ORDER BY page_no)),
+    b AS (SELECT *, sum(CAST(new AS INTEGER)) OVER (PARTITION BY seq_id ORDER BY page_no) AS run FROM a),
+    c AS (SELECT *, row_number() OVER (PARTITION BY seq_id, run ORDER BY page_no) - 1 AS place FROM b)
+    SELECT seq_id, page_no, content FROM c QUALIFY new AND max(place) OVER (PARTITION BY seq_id ORDER BY page_no) < 3""",
+)
+def page_runs(t):
+    e = t("events").select(F.col("user_id").alias("seq_id"), F.col("event_id").alias("page_no"), F.col("event_type").alias("content"))
+    return T.page_runs(e)
+
+
+@query(
+    "",
+    """SELECT page_id, CASE WHEN split_part(lower(url), '?', 1) LIKE '%.pdf' THEN 'pdf'
+    WHEN regexp_matches(split_part(lower(url), '?', 1), '(/viewer/|/ar/[0-9]+|flipbook|publitas|issuu)') THEN 'viewer' ELSE 'page' END AS kind FROM pages""",
+)
+def classify_links(t):
+    return t("pages").select("page_id", dates.link_kind(F.col("url")).alias("kind"))
+
+
+@query(
+    "prices",
+    """SELECT store_id, source, count(*) AS n FROM (SELECT store_id, 'web' AS source FROM prices WHERE source = 'web'
+    UNION ALL SELECT store_id, 'brochure' FROM prices WHERE source = 'brochure') GROUP BY 1, 2""",
+)
+def union_offers(t):
+    p = t("prices")
+    web, flyer = p.where("source = 'web'").select("store_id", "source", "brand"), p.where("source = 'brochure'").select("store_id", "source")
+    return web.unionByName(flyer, allowMissingColumns=True).groupBy("store_id", "source").agg(F.count("*").alias("n"))
+
+
+@query()
+def brochure_offers(t):
+    """Rows only: priced lines of documents with the lines above them."""
+    return T.priced_blocks(_lines(t), packs.first_price(F.col("line"))).withColumn("price", F.col("price").cast("double"))
+
+
+@query()
+def date_ranges(t):
+    """Rows only: validity ranges in document lines."""
+    return _lines(t).select("page_id", "line_no", dates.date_range(F.col("line"), 2026).alias("r")).select("page_id", "line_no", "r.*").where("valid_from is not null")
+
+
+@query()
+def price_sanity(t):
+    """Rows only: prices per kilogram against a ceiling."""
+    rows = P.latest_prices(t("prices")).join(t("products").select("product_id", "pack_info"), "product_id")
+    return rows.select(
+        "load_key", "load_line", packs.euro_per_kilo(F.col("price"), F.col("pack_info")).alias("per_kilo"),
+        packs.plausible(F.col("price"), F.col("pack_info"), F.lit("Плодове")).alias("plausible"),
+    )
+
+
+
 #: Exact decimal columns, which both sides hand over as doubles.
 DECIMALS = {
     "latest_prices": "price", "product_store_prices": "price", "compare_prices": "price pct_above", "cheapest_store": "price",
@@ -596,6 +734,7 @@ DECIMALS = {
     "browse_brands": "min_price max_price", "browse_rollup": "min_price max_price", "history_weekly": "avg_price",
     "history_range": "price", "history_pivot": "s1 s2 s3", "price_trend": "first_price last_price", "dedup_prices": "price",
     "delete_cascade": "total", "merge_products": "total", "brochure_prices": "price",
+    "review_queue": "last_price", "family_variants": "price", "search_compare": "price",
 }
 
 

@@ -6,8 +6,9 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from pricelattice.functions import packs, text
+from pricelattice.functions import dates, packs, text
 from pricelattice.operators.prices import weekly
+from pricelattice.operators.tables import page_runs
 
 CASES = [
     (text.normalise_name, "HELLO WORLD", "hello world"),
@@ -59,3 +60,20 @@ def test_weekly_buckets(spark):
     df = spark.createDataFrame([(1, 1, d, Decimal(k + 1)) for k, d in enumerate(days)], "product_id int, store_id int, recorded_at timestamp_ntz, price decimal(12,2)")
     got = [(r.first_date, r.avg_price) for r in weekly(df).orderBy("first_date").collect()]
     assert got == [(days[0].date(), Decimal("1.00")), (days[1].date(), Decimal("2.50")), (days[3].date(), Decimal("4.00"))]
+
+
+@pytest.mark.parametrize("value", ["01.04 - 07.04", "01.04.2026 – 07.04.2026", "01/04/2026 до 07/04/2026", "01.04—07.04", "01.04.26-07.04.26"])
+def test_date_ranges(spark, value):
+    got = spark.createDataFrame([(value,)], "x string").select(dates.date_range(F.col("x"), 2026).alias("r")).select("r.*").first()
+    assert tuple(got) == (datetime.date(2026, 4, 1), datetime.date(2026, 4, 7))
+
+
+def test_no_date_range(spark):
+    got = spark.createDataFrame([("31.02 - 07.04",), ("none",)], "x string").select(dates.date_range(F.col("x"), 2026).alias("r")).select("r.*").collect()
+    assert [tuple(r) for r in got] == [(None, None)] * 2
+
+
+def test_page_runs(spark):
+    rows = [(1, k, c) for k, c in enumerate("aabbbcddddeee")]
+    got = page_runs(spark.createDataFrame(rows, "seq_id int, page_no int, content string")).orderBy("page_no").collect()
+    assert "".join(r.content for r in got) == "abcd"
