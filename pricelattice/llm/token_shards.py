@@ -17,6 +17,7 @@ folder, so that the writer's commit holds when executors are lost.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 
@@ -32,10 +33,11 @@ _HEAD = struct.Struct("<4sIIIQQ")
 _DOC = np.dtype([("id", "<i8"), ("first", "<u8"), ("n", "<u8")])
 NULL_ID = -(1 << 63)
 SHARD = 1 << 20
-ROUNDS = 6
+ROUNDS = 4
 RULES_A_ROUND = 256
 LEAST_COUNT = 8
 _HASH_BITS = 18
+#: Pieces that a Python worker remembers.
 KEEP = 1_000_000
 
 
@@ -149,44 +151,67 @@ class Shard:
         return self._expand(own[lo : hi + 1])[start - skipped : max(start, stop) - skipped]
 
 
-#: Of each Python worker: ids (bytes) of a piece of text between two spaces, with its space.
-_PIECES: dict[str, bytes] = {}
-_TOKENIZER: dict[str, object] = {}
-
-
-def _encoded(texts: list[str], path: str) -> list[bytes]:
-    """Ids of each text as uint32 bytes.
-
-    The pre-tokeniser never joins what stands before a single space to what follows, so pieces
-    between single spaces encode on their own and are remembered. A text that begins or ends with
-    white space, or has two in a row, is encoded whole."""
-    import re
-
-    from tokenizers import Tokenizer
-
-    if path not in _TOKENIZER:
-        _TOKENIZER[path] = Tokenizer.from_file(path)
-        _TOKENIZER[path].encode_special_tokens = True
-    tokenizer = _TOKENIZER[path]
-    plain = [not re.search(r"\s\s|^\s|\s$|[\x1c-\x1f\x85]", t) for t in texts]
-    need = {" " + p for t, ok in zip(texts, plain, strict=True) if ok for p in t.split(" ")[1:]} - _PIECES.keys()
-    need |= {t.split(" ", 1)[0] for t, ok in zip(texts, plain, strict=True) if ok} - _PIECES.keys()
-    if len(_PIECES) + len(need) > KEEP:
-        _PIECES.clear()
-        need = {p for t, ok in zip(texts, plain, strict=True) if ok for p in _pieces(t)}
-    new = list(need)
-    for piece, got in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-        _PIECES[piece] = np.array(got.ids, "<u4").tobytes()
-    out = [b"".join([_PIECES[p] for p in _pieces(t)]) if ok else None for t, ok in zip(texts, plain, strict=True)]
-    rest = [k for k, ok in enumerate(plain) if not ok]
-    for k, got in zip(rest, tokenizer.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False), strict=True):
-        out[k] = np.array(got.ids, "<u4").tobytes()
-    return out
-
-
-def _pieces(text: str) -> list[str]:
-    first, *rest = text.split(" ")
-    return [first, *(" " + p for p in rest)]
+class _Encoder:
+    """The tokenizer of one Python worker, with what it remembers over all its tasks: ids (bytes) of
+    pieces of text that stand between two single spaces.
+
+    The pre-tokeniser never joins what stands before a single space to what follows, so such pieces
+    (each with its space) encode on their own. A text that begins or ends with white space, or has
+    two in a row, is encoded whole."""
+
+    _own: dict[str, "_Encoder"] = {}
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.pieces: dict[str, bytes] = {}
+
+    @classmethod
+    def of(cls, path: str) -> "_Encoder":
+        if path not in cls._own:
+            cls._own[path] = cls(path)
+        return cls._own[path]
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        """Encode new pieces, many in one text, and cut the ids where the pieces begin."""
+        if len(self.pieces) + len(new) > KEEP:
+            self.pieces.clear()
+        for lo in range(0, len(new), 4096):
+            some = new[lo : lo + 4096]
+            got = self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False)
+            ids = np.array(got.ids, "<u4").tobytes()
+            begin = np.cumsum([0, *(len(p) + 1 for p in some)])
+            cut = (4 * np.searchsorted(np.array([a for a, _ in got.offsets]), begin)).tolist()
+            for p, a, b in zip(some, cut, cut[1:]):
+                self.pieces[p] = ids[a:b]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as uint32 bytes."""
+        plain = [k for k, t in enumerate(texts) if not _UNUSUAL(t)]
+        parts = {k: texts[k].split(" ") for k in plain}
+        for _ in range(2):  # a second time if the memory was cleared in between
+            known = self.pieces
+            new = {p for own in parts.values() for p in own[1:] if p not in known}
+            if not new:
+                break
+            self._learn(list(new))
+        starts = [own[0] for own in parts.values()]
+        out: list[bytes] = [b""] * len(texts)
+        known = self.pieces
+        for k, first in zip(plain, self._whole(starts), strict=True):
+            out[k] = first + b"".join([known[p] for p in parts[k][1:]])
+        rest = sorted(set(range(len(texts))) - parts.keys())
+        for k, got in zip(rest, self._whole([texts[k] for k in rest]), strict=True):
+            out[k] = got
+        return out
+
+
+_UNUSUAL = re.compile(r"\s\s|^\s|\s$|[\x1c-\x1f\x85]").search
 
 
 def _writer(path: str, end_id: int, terminals: int):
@@ -199,6 +224,7 @@ def _writer(path: str, end_id: int, terminals: int):
         part, shard, before = TaskContext.get().partitionId(), 0, 0
         end = np.array([end_id], "<u4").tobytes()
         docs, parts, sizes = [], [], []
+        encoder = _Encoder.of(path)
 
         def flush():
             nonlocal shard, before, docs, parts, sizes
@@ -212,7 +238,7 @@ def _writer(path: str, end_id: int, terminals: int):
             for lo in range(0, len(batch), 512):
                 some = batch.iloc[lo : lo + 512]
                 texts = [t or "" for t in some["text"]]
-                for doc, got in zip(some["id"], _encoded(texts, path), strict=True):
+                for doc, got in zip(some["id"], encoder.encode(texts), strict=True):
                     docs.append(int(doc))
                     parts.append(got + end)
                     sizes.append(len(got) // 4 + 1)
