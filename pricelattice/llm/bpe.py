@@ -32,7 +32,7 @@ HOT = 60_000
 #: Bytes of a pretoken beyond which it is always merged with a heap.
 LONG = 64
 #: Rare pretokens that a Python worker remembers.
-KEEP = 1_000_000
+KEEP = 250_000
 EMPTY = b""
 
 

@@ -33,6 +33,7 @@ HIDDEN = 32
 #: Word occurrences that one step handles at once, which bounds a task's memory.
 STEP = 1 << 19
 FEATURES = 3 * DIM + 1
+KEEP = 300_000
 
 
 def index_vectors() -> np.ndarray:
@@ -45,10 +46,10 @@ def index_vectors() -> np.ndarray:
 
 
 class _Buckets(dict):
-    """Bucket of a word, remembered per task for up to a million words."""
+    """Bucket of a word, remembered per task for up to KEEP words."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > KEEP:
             self.clear()
         self[word] = b = zlib.crc32(word.encode()) % BUCKETS
         return b
