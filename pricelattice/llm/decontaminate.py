@@ -1,15 +1,18 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Document frequencies of hashed words, over all documents.
-2. A randomised singular value decomposition of the TF-IDF matrix of passages (``WINDOW`` words,
-   every ``STRIDE``): tasks add up their share of A'(A Omega) for a random Omega, and the Nystroem
-   formula gives the leading right singular vectors from that one sum of fixed size. The basis is
-   fitted on the passages of ``SAMPLE`` documents (by least hash of their text).
+2. A randomised singular value decomposition of the TF-IDF matrix of all passages (``WINDOW``
+   words, every ``STRIDE``): tasks add up their share of A'(A Omega) for a random Omega, and the
+   Nystroem formula gives the leading right singular vectors from that one sum of fixed size.
 3. Every passage of every document is projected, whitened and compared by cosine with the passages
    of the benchmark. What comes near is verified: a bound from shared words, then the longest
    common subsequence of the item's words with the words around the passage. A paraphrase, which
    has less than ``NEARLY`` of the item in order, must also hold the item's answer (its last
    sentence) in the same way.
+4. What the cosine leaves out is found by count, without loss. Of an item of n words, needed(n) must
+   be there, so n - needed(n) may be missing, and of its n - needed(n) + k rarest words k must stand
+   around a passage. Where they do, the place is verified like any other. Items of under ``SHORT``
+   words, which need an exact run, are looked up by hashes of runs of words.
 
 Words are lower-cased; ASCII white space and punctuation stand between them. The benchmark goes through in blocks of
 ``ITEMS`` items, so that what is sent to all tasks is bounded.
@@ -34,8 +37,9 @@ SKETCH = 64
 SKIP = 8
 STRIDE = 12
 WINDOW = 2 * STRIDE
-SAMPLE = 10_000
 ITEMS = 5_000
+#: Items of fewer words match as an exact run only.
+SHORT = 8
 #: Least cosine of a candidate passage.
 COSINE = 0.5
 #: Least share of a candidate's words, by inverse document frequency, that the item has.
@@ -56,6 +60,36 @@ def _runs(texts):
         yield rows, _feature(hashes), n
 
 
+def _block_sums(table: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each block the sum of its words' rows of ``table``, one place of all blocks at a time."""
+    n = np.diff(np.append(starts, len(ids)))
+    padded = np.append(ids, np.zeros(STRIDE, np.int64))
+    out = table.take(ids[starts], axis=0)
+    rows = np.empty_like(out)
+    for place in range(1, STRIDE):
+        np.take(table, padded[starts + place], axis=0, out=rows, mode="clip")
+        rows[n <= place] = 0
+        out += rows
+    return out
+
+
+def _add_by_word(total: np.ndarray, ids: np.ndarray, g: np.ndarray, block: np.ndarray) -> None:
+    """Add ``g[block]`` of each word to its row of ``total``: the first word of every kind, the second
+    of every kind, and so on; words of over ``SKETCH`` places on their own."""
+    at = block[np.argsort(ids.astype(np.uint16), kind="stable")]
+    n = np.bincount(ids, minlength=HASHED)
+    first, by = np.cumsum(n) - n, np.argsort(-n, kind="stable")
+    by = by[: np.count_nonzero(n)]
+    n, first = n[by], first[by]
+    acc = g[at[first]]
+    for place in range(1, SKETCH):
+        more = np.searchsorted(-n, -place)
+        acc[:more] += g[at[first[:more] + place]]
+    for k in range(np.searchsorted(-n, -SKETCH)):
+        acc[k] += g[at[first[k] + SKETCH : first[k] + n[k]]].sum(axis=0)
+    total[by] += acc
+
+
 def _blocks(lengths: np.ndarray):
     """Starts of the blocks of STRIDE words, the document of each, and for each block the next one
     of the same document (or itself): a block and its next are a window."""
@@ -68,7 +102,10 @@ def _blocks(lengths: np.ndarray):
 
 
 def _windows(per_word: np.ndarray, starts: np.ndarray, follow: np.ndarray) -> np.ndarray:
-    blocks = np.add.reduceat(per_word, starts, axis=0)
+    return _pairs(np.add.reduceat(per_word, starts, axis=0), follow)
+
+
+def _pairs(blocks: np.ndarray, follow: np.ndarray) -> np.ndarray:
     twice = follow != np.arange(len(follow))
     return blocks + blocks[follow] * (twice[:, None] if blocks.ndim > 1 else twice)
 
@@ -95,24 +132,20 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
 
 def _sketch(idf: np.ndarray):
     def run(batches):
-        omega = np.random.default_rng(11).normal(size=(HASHED, SKETCH)).astype(np.float32)
-        total = np.zeros((HASHED, SKETCH), np.float32)
+        weighted = np.random.default_rng(11).normal(size=(HASHED, SKETCH)).astype(np.float32) * idf[:, None]
+        total = np.zeros((HASHED, SKETCH))
         for batch in batches:
             for _, ids, lengths in _runs(batch["text"].to_list()):
                 starts, _, _, follow = _blocks(lengths)
-                weight = idf[ids]
-                norm2 = _windows(weight**2, starts, follow)
-                y = _windows(omega[ids] * weight[:, None], starts, follow) / np.maximum(norm2, 1e-9)[:, None]
+                norm2 = _windows(idf[ids] ** 2, starts, follow)
+                y = _pairs(_block_sums(weighted, ids, starts), follow) / np.maximum(norm2, 1e-9)[:, None]
                 g = y.copy()  # a block's words stand in its own window and in the one before
                 twice = np.flatnonzero(follow != np.arange(len(follow)))
                 g[follow[twice]] += y[twice]
-                block = np.searchsorted(starts, np.arange(len(ids)), side="right") - 1
-                order = np.argsort(ids, kind="stable")
-                at = ids[order]
-                edge = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-                total[at[edge]] += np.add.reduceat(g[block[order]] * weight[order, None], edge, axis=0)
+                _add_by_word(total, ids, g, np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ids)))))
+        total *= idf[:, None]
         used = np.flatnonzero(np.abs(total).sum(axis=1))
-        yield pd.DataFrame({"f": used, **{f"y{k}": total[used, k] for k in range(SKETCH)}})
+        yield pd.DataFrame({"f": used, **{f"y{k}": total[used, k].astype(np.float32) for k in range(SKETCH)}})
 
     return run
 
@@ -122,10 +155,10 @@ def projection(docs: DataFrame, idf: np.ndarray) -> np.ndarray:
     SKIP to SKETCH) of the TF-IDF passages of ``docs(text)``."""
     cols = [f"y{k}" for k in range(SKETCH)]
     schema = T.StructType([T.StructField("f", T.LongType()), *[T.StructField(c, T.FloatType()) for c in cols]])
-    sample = docs.where("text is not null").select(F.xxhash64("text").alias("h")).distinct().orderBy("h").limit(SAMPLE)
-    texts = docs.withColumn("h", F.xxhash64("text")).join(sample, "h").dropDuplicates(["h"]).select("text")
+    tasks = 4 * docs.sparkSession.sparkContext.defaultParallelism  # each returns HASHED rows, however many texts it reads
     parts = (
-        texts.repartition(12)
+        docs.where("text is not null")
+        .coalesce(tasks)
         .mapInPandas(_sketch(idf), schema)
         .groupBy("f")
         .agg(*[F.sum(c).alias(c) for c in cols])
@@ -181,7 +214,7 @@ class _Item:
 def verified(item: _Item, around: list[str]) -> tuple[int, bool] | None:
     """(words of the item found in order, whether the answer is there), or None for no match."""
     n = len(item.words)
-    if n < 8:  # too short for gaps: an exact run only
+    if n < SHORT:  # too short for gaps: an exact run only
         hit = any(around[k : k + n] == item.words for k in range(len(around) - n + 1))
         return (n, True) if hit else None
     length = lcs(item.words, around)
@@ -191,9 +224,90 @@ def verified(item: _Item, around: list[str]) -> tuple[int, bool] | None:
     return (length, answered) if answered or length >= NEARLY * n else None
 
 
+class _ByCount:
+    """Places in texts that can hold an item by the number of its rare words, or an exact short item."""
+
+    def __init__(self, items: list[_Item], idf: np.ndarray):
+        n = np.array([len(item.words) for item in items])
+        self.least, self.span = np.zeros(len(items), np.int64), 2 * n + WINDOW
+        words, own = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        short: dict[int, dict[int, list[int]]] = {}
+        for k, item in enumerate(items):
+            hashes = word_hashes([item.text])[0]
+            if n[k] < SHORT:
+                short.setdefault(int(n[k]), {}).setdefault(int(self._grams(hashes, n[k])[0]), []).append(k)
+                continue
+            one, times = np.unique(hashes, return_counts=True)
+            rarest = np.argsort(-idf[_feature(one)], kind="stable")
+            mass, spare = np.cumsum(times[rarest]), n[k] - needed(n[k])
+            some = np.searchsorted(mass, spare + needed(n[k]) // 3) + 1
+            self.least[k] = mass[some - 1] - spare
+            words.append(one[rarest[:some]])
+            own.append(np.full(some, k))
+        flat, own = np.concatenate(words), np.concatenate(own)
+        order = np.argsort(flat, kind="stable")
+        self.words, first = np.unique(flat[order], return_index=True)
+        self.own, self.edges = own[order], np.append(first, len(flat))
+        self.some = np.zeros(1 << 18, bool)
+        self.some[self._slot(self.words)] = True
+        self.short = {m: (np.array(sorted(g), np.uint64), g) for m, g in short.items()}
+
+    @staticmethod
+    def _slot(hashes: np.ndarray) -> np.ndarray:
+        return (hashes & np.uint64((1 << 18) - 1)).astype(np.int64)
+
+    @staticmethod
+    def _grams(hashes: np.ndarray, n: int) -> np.ndarray:
+        out = np.zeros(max(0, len(hashes) - n + 1), np.uint64)
+        for k in range(n):
+            out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + len(out)]
+        return out
+
+    def places(self, hashes: np.ndarray, lengths: np.ndarray):
+        """(text, item, starts of passages) of all that can match."""
+        first = np.cumsum(lengths) - lengths
+        doc_of = np.repeat(np.arange(len(lengths)), lengths)
+        for n, (grams, items) in self.short.items():
+            found = self._grams(hashes, n)
+            at = np.flatnonzero(np.isin(found, grams))
+            at = at[doc_of[at] == doc_of[at + n - 1]]
+            seen: dict[tuple[int, int], list[int]] = {}
+            for p in at:
+                for k in items[int(found[p])]:
+                    seen.setdefault((int(doc_of[p]), k), []).append(int(p - first[doc_of[p]]) // STRIDE * STRIDE)
+            yield from ((doc, k, starts) for (doc, k), starts in seen.items())
+        if not len(self.words):
+            return
+        pos = np.flatnonzero(self.some[self._slot(hashes)])
+        word = np.minimum(np.searchsorted(self.words, hashes[pos]), len(self.words) - 1)
+        real = self.words[word] == hashes[pos]
+        pos, word = pos[real], word[real]
+        times = self.edges[word + 1] - self.edges[word]
+        item = self.own[np.repeat(self.edges[word] - np.cumsum(times) + times, times) + np.arange(times.sum())]
+        pos = np.repeat(pos, times)
+        order = np.argsort(item.astype(np.uint16), kind="stable")
+        item, pos = item[order], pos[order]
+        last = np.arange(len(pos)) + self.least[item] - 1
+        j = np.flatnonzero(last < len(pos))
+        last = last[j]
+        near = (item[last] == item[j]) & (doc_of[pos[last]] == doc_of[pos[j]]) & (pos[last] - pos[j] < self.span[item[j]])
+        j, last = j[near], last[near]
+        if not len(j):
+            return
+        doc, item = doc_of[pos[j]], item[j]
+        n = (self.span[item] - WINDOW) // 2
+        low = np.maximum(0, (pos[last] - first[doc] - WINDOW - n) // STRIDE + 1)
+        high = np.minimum((pos[j] - first[doc] + n) // STRIDE, (lengths[doc] - 1) // STRIDE)
+        edge = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])))
+        for a, b in zip(edge, np.append(edge[1:], len(j)), strict=True):
+            blocks = sorted({x for lo, hi in set(zip(low[a:b].tolist(), high[a:b].tolist(), strict=True)) for x in range(lo, hi + 1)})
+            yield int(doc[a]), int(item[a]), [x * STRIDE for x in blocks]
+
+
 def _search(shared):
     def run(batches):
         project, idf, items = shared.value
+        by_count = _ByCount(items, idf)
         own, vectors, ids_of = [], [], []
         has, mark = np.zeros((len(items), HASHED), bool), np.zeros(HASHED, bool)
         for k, item in enumerate(items):
@@ -209,9 +323,10 @@ def _search(shared):
         for batch in batches:
             best: dict[tuple[int, int], tuple] = {}
             texts = batch["text"].to_list()
-            for rows, ids, lengths in _runs(texts):
+            for rows, hashes, lengths in runs(texts):
+                ids = _feature(hashes)
                 starts, doc, inside, follow = _blocks(lengths)
-                spaced = _unit(_windows(project[ids], starts, follow))
+                spaced = _unit(_pairs(_block_sums(project, ids, starts), follow))
                 first = np.cumsum(lengths) - lengths
                 end = np.minimum(starts + WINDOW, (first + lengths)[doc])
                 padded = np.append(ids, np.zeros(WINDOW, np.int64))
@@ -244,6 +359,28 @@ def _search(shared):
                         got = verified(items[it], words_of[a:b])
                         if got and (not seen or got[0] > seen[2]):
                             best[row, it] = (at, at + n, got[0], got[1], float(cosine[j]))
+                block_of = np.cumsum(-(-lengths // STRIDE)) + lengths // -STRIDE
+                for d, it, places in by_count.places(hashes, lengths):
+                    row, n = int(rows[d]), len(items[it].words)
+                    for at in places:
+                        seen = best.get((row, it))
+                        if seen and seen[2] == n:
+                            break  # found whole
+                        a, b = max(0, at - n), at + WINDOW + n
+                        region = ids[first[d] + a : first[d] + min(b, lengths[d])]
+                        mark[region] = True
+                        bound = mark[ids_of[it]].sum()
+                        mark[region] = False
+                        if bound < needed(n) or (seen and bound <= seen[2]):
+                            continue
+                        if (row, -1) not in best:
+                            best[row, -1] = plain_words(texts[row])
+                        got = verified(items[it], best[row, -1][a:b])
+                        if got and (not seen or got[0] > seen[2]):
+                            window = block_of[d] + at // STRIDE
+                            window -= inside[window] > 0 and follow[window] == window
+                            near = (spaced[window] @ target[:, own == it]).max()
+                            best[row, it] = (at, at + n, got[0], got[1], float(near))
                 for key in [k for k in best if k[1] < 0]:
                     del best[key]
             keys = list(best)

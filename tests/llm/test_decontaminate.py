@@ -60,3 +60,26 @@ def test_edges(spark):
     none_docs, none_items = spark.createDataFrame([], schema), spark.createDataFrame([], item)
     assert contaminated(none_docs, bench).collect() == [] and contaminated(docs, none_items).collect() == []
     assert clean_documents(docs, none_items).count() == docs.count()
+
+
+def test_nothing_is_missed(spark):
+    """Paraphrases that keep 60-75 % of an item at every alignment, and short items in long texts."""
+    rng = random.Random(5)
+    common = [f"w{k}" for k in range(60)]
+    fill = lambda n: [rng.choice(common) if rng.random() < 0.6 else f"r{rng.randrange(10**6)}" for _ in range(n)]
+    items = [(k, " ".join(fill(n - 4)) + ". " + " ".join(fill(4)) + ".") for k, n in enumerate([59, 59, 40, 24, 20, 16, 12, 8])]
+    items += [(100 + n, " ".join(f"s{n}x{k}" for k in range(n - 1)) + " w1") for n in range(2, 8)] + [(200, "r5"), (201, "w1 w2 w3")]
+    docs, want = [], set()
+    for i, t in items:
+        for offset in range(30, 42):
+            for share in (0.6, 0.68, 0.75):
+                w = plain_words(t)
+                n, at = len(w), len(docs)
+                if n >= 8:
+                    free = list(range(n - 4))
+                    for j in rng.sample(free, min(len(free), n - max(needed(n), round(share * n)))):
+                        w[j] = f"z{rng.randrange(10**6)}"
+                docs.append((at, " ".join(fill(offset) + w + fill(100))))
+                want.add((at, i))
+    got = {(r.doc_id, r.item_id) for r in contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert want - got == set()
