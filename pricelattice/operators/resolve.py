@@ -41,21 +41,59 @@ def similar_names(names: DataFrame, least: float = 80.0) -> DataFrame:
     return scored.where(F.col("score") >= least).select(F.col("n_a").alias("a"), F.col("n_b").alias("b"), F.round("score", 4).alias("score"))
 
 
+def _near_names(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """Pairs ``(brand, a, b, score)`` of distinct ``(brand, name)`` of both sides with equal brand (null is one) and a ratio of
+    ``least`` or more. Equal names meet as they are, others by the prefix filter of ``similar_names``, inside their brand."""
+    t = least / 100
+    both = left.withColumn("side", F.lit("a")).unionByName(right.withColumn("side", F.lit("b"))).where("name is not null")
+    own = ["side", "brand", "name"]
+    tokens = both.select(*own, F.length("name").alias("len"), F.explode(_numbered_chars(F.col("name"))).alias("tok"))
+    rarity = tokens.groupBy("tok").agg(F.count("*").alias("df"))
+    prefix = (
+        tokens.join(rarity, "tok")
+        .withColumn("k", F.row_number().over(Window.partitionBy(*own).orderBy("df", "tok")))
+        .where(F.col("k") <= F.col("len") - F.ceil(F.col("len") * t / (2 - t)) + 1)
+    )
+    side = lambda frame, x: frame.where(F.col("side") == x).select(*[F.col(c).alias(f"{c}_{x}") for c in frame.columns])
+    brand = F.col("brand_a").eqNullSafe(F.col("brand_b"))
+    near = F.least("len_a", "len_b") >= F.greatest("len_a", "len_b") * (t / (2 - t)) - 1e-9
+    names = [F.col("brand_a").alias("brand"), F.col("name_a").alias("a"), F.col("name_b").alias("b")]
+    unlike = side(prefix, "a").join(side(prefix, "b"), brand & (F.col("tok_a") == F.col("tok_b")) & near & (F.col("name_a") != F.col("name_b")))
+    scored = unlike.select(*names).distinct().withColumn("score", ratio("a", "b")).where(F.col("score") >= least)
+    equal = side(both, "a").join(side(both, "b"), brand & (F.col("name_a") == F.col("name_b")))
+    return scored.unionByName(equal.select(*names, F.lit(100.0).alias("score")))
+
+
 def match_sku(items: DataFrame, products: DataFrame, least: float = 90.0) -> DataFrame:
     """The best product of each item ``(item_no, name, brand, pack_info)``: equal brand (null is one),
     packs that do not contradict, and a name ratio of ``least`` or more; else the first product of the
-    same brand and pack, if the item has a brand and its pack a number. Unmatched items stay, with null."""
-    key = lambda p: [brand_key(F.col("brand")).alias(f"{p}_brand"), normalise_pack(F.col("pack_info")).alias(f"{p}_pack"), normalise_name(F.col("name")).alias(f"{p}_name")]
-    i, p = items.select("item_no", *key("i")), products.select("product_id", *key("p"))
-    packs = F.col("i_pack").eqNullSafe(F.col("p_pack")) | F.col("i_pack").isNull()
-    both = i.join(p, F.col("i_brand").eqNullSafe(F.col("p_brand")) & packs)
-    scored = both.withColumn("score", ratio("i_name", "p_name"))
-    by_name = F.col("score") >= least
-    fallback = F.col("i_brand").isNotNull() & F.coalesce(F.col("i_pack").rlike(r"\d"), F.lit(False))
-    w = Window.partitionBy("item_no").orderBy(F.desc(by_name), F.desc(F.when(by_name, F.col("score"))), "product_id")
-    best = scored.where(by_name | fallback).withColumn("k", F.row_number().over(w)).where("k = 1")
-    found = best.select("item_no", "product_id", F.when(by_name, "name").otherwise("brand and pack").alias("matched_by"))
-    return items.select("item_no").join(found, "item_no", "left")
+    same brand and pack, if the item has a brand and its pack a number. Unmatched items stay, with null.
+
+    Both sides are reduced to distinct (brand, pack, name); names are compared inside their brand alone."""
+    key = [brand_key(F.col("brand")).alias("brand"), normalise_pack(F.col("pack_info")).alias("pack"), normalise_name(F.col("name")).alias("name")]
+    named = lambda frame, x: frame.select(*[F.col(c).alias(f"{x}_{c}") for c in frame.columns])
+    same = lambda x, y, *cols: [F.col(f"{x}_{c}").eqNullSafe(F.col(f"{y}_{c}")) for c in cols]
+    own = named(items.select("item_no", *key), "i")
+    i = own.select("i_brand", "i_pack", "i_name").distinct()
+    p = products.select("product_id", *key).groupBy("brand", "pack", "name").agg(F.min("product_id").alias("product_id"))
+    left = i.select(F.col("i_brand").alias("brand"), F.col("i_name").alias("name")).distinct()
+    pairs = named(_near_names(left, p.select("brand", "name").distinct(), least), "n")
+    wanted = i.join(pairs, [*same("i", "n", "brand"), F.col("i_name") == F.col("n_a")])
+    cols = ["i_brand", "i_pack", "i_name", "n_score", "p_product_id"]
+    one_pack = wanted.join(named(p, "p"), [*same("n", "p", "brand"), F.col("i_pack") == F.col("p_pack"), F.col("n_b") == F.col("p_name")])
+    all_packs = named(p.groupBy("brand", "name").agg(F.min("product_id").alias("product_id")), "p")
+    any_pack = wanted.where("i_pack is null").join(all_packs, [*same("n", "p", "brand"), F.col("n_b") == F.col("p_name")])
+    by_name = named(
+        one_pack.select(*cols).unionByName(any_pack.select(*cols))
+        .groupBy("i_brand", "i_pack", "i_name")
+        .agg(F.min_by("p_product_id", F.struct(-F.col("n_score"), "p_product_id")).alias("i_product_id"))
+        .toDF("brand", "pack", "name", "product_id"),
+        "m",
+    )
+    first = p.where(F.col("brand").isNotNull() & F.col("pack").rlike(r"\d")).groupBy("brand", "pack").agg(F.min("product_id").alias("product_id"))
+    found = own.join(by_name, same("i", "m", "brand", "pack", "name"), "left").join(named(first, "f"), same("i", "f", "brand", "pack"), "left")
+    by = F.when(F.col("m_product_id").isNotNull(), "name").when(F.col("f_product_id").isNotNull(), "brand and pack")
+    return found.select(F.col("i_item_no").alias("item_no"), F.coalesce("m_product_id", "f_product_id").alias("product_id"), by.alias("matched_by"))
 
 
 def match_catalog(titles: DataFrame, catalog: DataFrame, least: float = 88.0, top: int = 5) -> DataFrame:

@@ -29,3 +29,37 @@ def test_catalog(spark):
     t = spark.createDataFrame([("бира тъмна",), ("нещо друго тук",)], "title string")
     best = {r.title: (r.catalog_name, r.matched) for r in match_catalog(t, c).where("place = 1").collect()}
     assert best["бира тъмна"] == ("Бира", True) and best["нещо друго тук"][1] is False
+
+
+def test_sku_takes_every_row(spark):
+    """The registered query against brute force over all products."""
+    from pricelattice.fixtures import load
+    from pricelattice.plans.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    p = [(r.product_id, r.name, r.brand, r.pack_info) for r in load(spark, sf, "products").orderBy("product_id").collect()]
+    got = {r.item_no: (r.product_id, r.matched_by) for r in QUERIES["match_sku"](spark, sf).collect()}
+    assert got == brute_sku([(i, n + "s", b, k) for i, n, b, k in p], p)
+
+
+def brute_sku(items, products):
+    out = {}
+    for i, name, brand, pack in items:
+        fits = [(q, n) for q, n, b, k in products if b == brand and (pack is None or k == pack)]
+        named = min(((-ratio_of(name, n), q) for q, n in fits if ratio_of(name, n) >= 90), default=None)
+        back = fits and brand is not None and pack is not None and any(c.isdigit() for c in pack)
+        out[i] = (named[1], "name") if named else (min(q for q, _ in fits), "brand and pack") if back else (None, None)
+    return out
+
+
+def test_sku_is_brute_force(spark):
+    names = ["", "red apple", "red apples", "red appel", "green apple", "milk 3 percent", "milk 3 percents", "мляко прясно", "x"]
+    sides = [
+        [(k, n, b, c) for k, (n, b, c) in enumerate(itertools.product(names[z::2] + names[:3], [None, "a", "b"], [None, "1 l", "2 l", "l"]))][z :: 3 - z]
+        for z in (0, 1)
+    ]
+    cols = "id int, name string, brand string, pack_info string"
+    i, p = (spark.createDataFrame(x, cols) for x in sides)
+    rows = match_sku(i.withColumnRenamed("id", "item_no"), p.withColumnRenamed("id", "product_id")).collect()
+    assert len(rows) == len(sides[0])
+    assert {r.item_no: (r.product_id, r.matched_by) for r in rows} == brute_sku(*sides)
