@@ -1,39 +1,40 @@
 """Byte-level BPE in DataFrame operations.
 
-Encoding: a text splits into pretokens by the pattern of the vocabulary. The pretokens are counted
-over all texts, and the ``HOT`` most frequent distinct ones are encoded once each by a fold of
-higher-order functions: it starts from the single bytes of a pretoken and merges the adjacent pair
-of least rank until no pair has a rank. They become a lookup table of bounded size. Ranks and hot
-pretokens are literal arrays addressed by a hash: an entry lies in one of the two slots that its
-CRC-32 names. The rare rest, a few in a hundred of all pretokens, is merged by the same rule in an
-Arrow UDF that takes each document's distinct rare pretokens (folding them where they stand cost
-more than the whole remaining job; a table of all distinct pretokens has no size bound).
-
-Decoding: ids to byte pieces by a literal array, concatenated as binary.
-
-A pretoken of over ``LONG`` bytes counts as rare: the fold is quadratic in the length, the merge with
-a heap is not.
+Encoding: a text splits into pretokens by the pattern of the vocabulary. Pretokens that are not
+tokens themselves are folded by higher-order functions: the fold starts from the bytes of a pretoken
+and merges the adjacent pair of least rank until no pair has a rank. The pretokens are counted over
+all texts and the most frequent (``HOT`` at most) are folded once; the others are folded once in
+each text that holds them. Arrow functions on both sides of the fold put the ids in place.
+
+The rank map is constant: one row of arrays that stands in the plan as an uncorrelated scalar
+subquery, so it acts as a literal without being printed as one. It maps two ids to the id of their
+merge. Row displacement makes it flat: the pair (l, r) is in cell ``shift[l] + r``, which names its
+l, so a look-up is two array reads.
+
+Decoding: ids to byte pieces, concatenated.
+
+A pretoken of over ``LONG`` bytes is merged by the same rule with a heap: the fold is quadratic in
+its length.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
-import json
-import zlib
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Pretokens in the lookup table; it then has 2**17 slots.
-HOT = 60_000
-#: Bytes of a pretoken beyond which it is always merged with a heap.
-LONG = 64
-#: Rare pretokens that a Python worker remembers.
-KEEP = 250_000
-EMPTY = b""
+from .common import stored
+
+#: Folded pretokens that every task holds.
+HOT = 1 << 19
+#: Bytes of a pretoken beyond which it is merged with a heap.
+LONG = 256
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -48,126 +49,6 @@ def java_pattern(pattern: str) -> str:
     return pattern.replace(r"[^\s", f"[^{space}").replace(r"\s", f"[{space}]").replace(r"\S", f"[^{space}]")
 
 
-def _slots(keys: list[bytes]) -> list[int]:
-    """Place of each key (-1: none) in a table of ``len(result)`` slots, two choices a key; the
-    table doubles until all keys fit."""
-    bits = max(1, (2 * len(keys)).bit_length())  # at most half full, where two choices suffice
-    while True:
-        table = [-1] * (1 << bits)
-        if all(_put(keys, table, bits, k) for k in range(len(keys))):
-            return table
-        bits += 1
-
-
-def _choices(key: bytes, bits: int) -> tuple[int, int]:
-    crc, mask = zlib.crc32(key), (1 << bits) - 1
-    return crc & mask, (crc >> (32 - bits)) & mask
-
-
-def _put(keys: list[bytes], table: list[int], bits: int, k: int) -> bool:
-    at = _choices(keys[k], bits)[0]
-    for _ in range(500):
-        table[at], k = k, table[at]
-        if k < 0:
-            return True
-        a, b = _choices(keys[k], bits)
-        at = b if at == a else a
-    return False
-
-
-def _literal(values: list, kind: T.DataType) -> Column:
-    """A literal array; binary values travel as base64 and are folded once, by the optimizer."""
-    plain = [base64.b64encode(v).decode() if isinstance(v, bytes) else v for v in values]
-    return F.from_json(F.lit(json.dumps(plain, separators=(",", ":"))), T.ArrayType(kind))
-
-
-class Lookup:
-    """A hash table from binary keys to values as two literal arrays. ``fields`` go into the
-    struct of tables that an expression gets once; ``get`` works on that struct, so that the plan
-    holds each literal once."""
-
-    def __init__(self, name: str, pairs: dict[bytes, object], kind: T.DataType):
-        keys = list(pairs)
-        table = _slots(keys)
-        self.name, self.bits = name, (len(table) - 1).bit_length()
-        self.fields = [
-            _literal([keys[k] if k >= 0 else None for k in table], T.BinaryType()).alias(f"{name}_keys"),
-            _literal([pairs[keys[k]] if k >= 0 else None for k in table], kind).alias(f"{name}_values"),
-        ]
-
-    def get(self, tables: Column, key: Column) -> Column:
-        """The value of ``key``, or null."""
-        crc, keys, values = F.crc32(key), tables[f"{self.name}_keys"], tables[f"{self.name}_values"]
-        one = crc.bitwiseAND(F.lit((1 << self.bits) - 1)).cast("int")
-        two = F.shiftright(crc, 32 - self.bits).cast("int")
-        return F.when(F.get(keys, one) == key, F.get(values, one)).when(F.get(keys, two) == key, F.get(values, two))
-
-
-def _let(value: Column, body) -> Column:
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-class Codec:
-    """Expressions that encode and decode by one rank file."""
-
-    def __init__(self, ranks: dict[bytes, int]):
-        by_id = {r: t for t, r in ranks.items()}
-        size = max(by_id) + 1
-        self.rank = Lookup("rank", ranks, T.IntegerType())
-        self.pieces = _literal([by_id.get(k, EMPTY) for k in range(size)], T.BinaryType()).cast("array<string>")
-        self.little = _literal([k.to_bytes(4, "little") for k in range(size)], T.BinaryType()).cast("array<string>")
-
-    def _fold(self, tables: Column, word: Column) -> Column:
-        """Ids of a pretoken (binary) by merging."""
-        pair = lambda p, i: F.concat(F.get(p, i), F.get(p, i + 1))
-        rank = lambda key: self.rank.get(tables, key)
-        none = F.array().cast("array<int>")
-        first = F.transform(F.sequence(F.lit(1), F.octet_length(word)), lambda i: F.substring(word, i, F.lit(1)))
-        start = _let(
-            first,
-            lambda p: F.struct(
-                p.alias("p"),
-                F.transform(F.sequence(F.lit(0), F.size(p) - 2), lambda i: rank(pair(p, i))).alias("r"),
-            ),
-        )
-
-        def merge(acc, _):
-            def at(i):  # i: place (from 1) of the leftmost pair of least rank
-                p, r = acc["p"], acc["r"]
-                n = F.size(p)
-
-                def joined(new):
-                    left = F.when(i > 1, F.array(rank(F.concat(F.get(p, i - 2), new)))).otherwise(none)
-                    right = F.when(i + 1 < n, F.array(rank(F.concat(new, F.get(p, i + 1))))).otherwise(none)
-                    return F.struct(
-                        F.concat(F.slice(p, F.lit(1), i - 1), F.array(new), F.slice(p, i + 2, n)).alias("p"),
-                        F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), left, right, F.slice(r, i + 2, n)).alias("r"),
-                    )
-
-                return _let(pair(p, i - 1), joined)
-
-            least = F.array_min(acc["r"])
-            return F.when(least.isNull(), acc).otherwise(_let(F.array_position(acc["r"], least).cast("int"), at))
-
-        merged = F.aggregate(F.sequence(F.lit(2), F.octet_length(word)), start, merge, lambda acc: acc["p"])
-        return F.transform(merged, rank)
-
-    def encode_word(self, tables: Column, word: Column) -> Column:
-        """Ids of a pretoken (binary, not empty): its own rank if it has one, else merged."""
-        return _let(
-            self.rank.get(tables, word),
-            lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(self._fold(tables, word)),
-        )
-
-    def decode(self, ids: Column) -> Column:
-        """Bytes of an array of ids."""
-        return F.array_join(F.transform(ids, lambda i: F.get(self.pieces, i)), "").cast("binary")
-
-    def id_bytes(self, ids: Column) -> Column:
-        """The ids as little-endian unsigned 32-bit integers."""
-        return F.array_join(F.transform(ids, lambda i: F.get(self.little, i)), "").cast("binary")
-
-
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one pretoken of any length, with a heap of pairs over a linked list."""
     if word in ranks:
@@ -195,71 +76,245 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts if p]
 
 
-class _Rare(dict):
-    """Ids of rare pretokens, remembered by each Python worker over all its tasks."""
+def merges(ranks: dict[bytes, int]) -> np.ndarray:
+    """Rows (id, id, id of both joined) for every split of a token into two tokens."""
+    found = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+    return np.array(found, np.int64).reshape(-1, 3)
+
+
+def displaced(pairs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shift per left id, cells): cell ``shift[l] + r`` holds ``l << 32 | merged``, or -1."""
+    order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+    pairs = pairs[order]
+    lefts, begin, n = np.unique(pairs[:, 0], return_index=True, return_counts=True)
+    span = 1 << max(4, int(4 * len(pairs)).bit_length())
+    cells, shift = np.full(span + size, -1, np.int64), np.zeros(size, np.int32)
+    rng = np.random.default_rng(3)
+    for k in np.argsort(-n, kind="stable"):  # full rows first, while the cells are empty
+        own = pairs[begin[k] : begin[k] + n[k]]
+        while True:
+            tries = rng.integers(0, span, 64)
+            fits = (cells[tries[:, None] + own[:, 1]] < 0).all(axis=1)
+            if fits.any():
+                break
+        shift[lefts[k]] = at = tries[fits.argmax()]
+        cells[at + own[:, 1]] = lefts[k] << 32 | own[:, 2]
+    return shift, cells
 
-    def __init__(self, ranks: dict[bytes, int]):
-        super().__init__()
-        self.ranks = ranks
 
-    def __missing__(self, word: str) -> list[int]:
-        ids = merge_long(word.encode(), self.ranks)
-        if len(self) > KEEP:
-            self.clear()
-        if len(word) <= LONG:
-            self[word] = ids
-        return ids
+def _let(value: Column, body) -> Column:
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+class Fold:
+    """The ranked merges of one rank file, as an expression."""
+
+    def __init__(self, spark: SparkSession, ranks: dict[bytes, int]):
+        single = [ranks.get(bytes([b])) for b in range(256)]
+        if None in single:
+            raise ValueError("every byte needs a rank")
+        shift, cells = displaced(merges(ranks), max(ranks.values()) + 1)
+        row = pa.table({
+            "single": pa.array([single], pa.list_(pa.int32())),
+            "shift": pa.array([shift], pa.list_(pa.int32())),
+            "cells": pa.array([cells], pa.list_(pa.int64())),
+        })
+        self._row = spark.createDataFrame(row).select(F.struct("single", "shift", "cells").alias("tables"))
+
+    def add(self, df: DataFrame, pretokens: str, out: str) -> DataFrame:
+        """Add ``out``: ids of each of the array ``pretokens`` (strings)."""
+        # the optimizer puts the subquery, which analysis wants in a column, in the place of its one use
+        known = df.select("*", self._row.scalar().alias("__bpe_tables"))
+        both = F.struct(F.col("__bpe_tables").alias("t"), F.col(pretokens).alias("own"))
+        ids = _let(both, lambda x: F.transform(x["own"], lambda w: self._word(x["t"], w)))
+        return known.select(*[F.col(f"`{c}`") for c in df.columns], ids.alias(out))
+
+    def _word(self, t: Column, word: Column) -> Column:
+        none = F.array().cast("array<int>")
 
+        def rank(left, right):
+            cell = F.get(t["cells"], F.get(t["shift"], left) + right)
+            return F.when(F.shiftright(cell, 32) == left, cell.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"))
 
-_MEMO: dict[int, _Rare] = {}
+        letters = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")  # a character for each byte
+        start = _let(
+            F.transform(letters, lambda b: F.get(t["single"], F.ascii(b))),
+            lambda p: F.struct(p.alias("p"), F.zip_with(p, F.slice(p, 2, F.size(p)), rank).alias("r")),
+        )
 
+        def merge(acc, _):
+            p, r, n = acc["p"], acc["r"], F.size(acc["p"])
+
+            def at(new, i):  # i: place (from 1) of the leftmost pair of least rank
+                left = F.when(i > 1, F.array(rank(F.get(p, i - 2), new))).otherwise(none)
+                right = F.array(rank(new, F.get(p, i + 1)))
+                return F.struct(
+                    F.concat(F.slice(p, F.lit(1), i - 1), F.array(new), F.slice(p, i + 2, n)).alias("p"),
+                    F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), left, right, F.slice(r, i + 2, n)).alias("r"),
+                )
+
+            found = _let(F.array_min(r), lambda new: _let(F.array_position(r, new).cast("int"), lambda i: at(new, i)))
+            return F.when(F.array_min(r).isNull(), acc).otherwise(found)
+
+        return F.aggregate(F.sequence(F.lit(2), F.octet_length(word)), start, merge, lambda acc: acc["p"])
+
+
+def _gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """``flat[start : start + length]`` of each, one after the other."""
+    begin = np.cumsum(length) - length
+    return flat[np.repeat(start - begin, length) + np.arange(int(length.sum()))]
+
+
+def _lists(x: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Values and offsets (from 0) of a list array without nulls."""
+    if not len(x):  # its offsets may be missing
+        return x.values.slice(0, 0), np.zeros(1, np.int64)
+    offsets = x.offsets.to_numpy()
+    return x.values.slice(offsets[0], offsets[-1] - offsets[0]), offsets.astype(np.int64) - offsets[0]
+
+
+class Known:
+    """Pretokens whose ids are known: the tokens themselves and the hot pretokens."""
+
+    def __init__(self, ranks: dict[bytes, int], hot: pa.Table):
+        own = {}
+        for t, r in ranks.items():
+            try:
+                own[t.decode()] = r
+            except UnicodeDecodeError:
+                pass
+        hot = hot.combine_chunks()
+        words, ids = hot["word"].combine_chunks(), hot["ids"].combine_chunks()
+        flat, offsets = _lists(ids)
+        self.words = pa.concat_arrays([pa.array(list(own), pa.string()), words.cast(pa.string())])
+        self.ids = np.concatenate([np.array(list(own.values()), np.int32), flat.to_numpy(zero_copy_only=False).astype(np.int32)])
+        self.length = np.concatenate([np.ones(len(own), np.int64), np.diff(offsets)])
+        self.start = np.cumsum(self.length) - self.length
+
+
+def _splitter(shared):
+    @F.arrow_udf("struct<ids: array<int>, rare: array<string>>")
+    def split(words: pa.Array) -> pa.Array:
+        """Ids of the known pretokens of each text; -1 - k for its k-th distinct rare one."""
+        known, ranks = shared.value
+        flat, offsets = _lists(words)
+        code = pc.fill_null(pc.index_in(flat, value_set=known.words), -1).to_numpy().astype(np.int64)
+        length = known.length[code]
+        start = known.start[code]
+        ids = known.ids
+        unknown = np.flatnonzero(code < 0)
+        rare, rare_offsets = pa.array([], pa.string()), np.zeros(len(offsets), np.int64)
+        if len(unknown):
+            coded = flat.take(pa.array(unknown)).dictionary_encode()
+            word = coded.indices.to_numpy().astype(np.int64)
+            doc = np.searchsorted(offsets, unknown, side="right") - 1
+            size = pc.binary_length(coded.dictionary).to_numpy()
+            pair, at = np.unique(doc * len(size) + word, return_inverse=True)
+            short = size[pair % len(size)] <= LONG
+            rare = coded.dictionary.take(pa.array((pair % len(size))[short]))
+            rare_offsets[1:] = np.cumsum(np.bincount((pair // len(size))[short], minlength=len(offsets) - 1))
+            mark = -1 - (np.cumsum(short) - 1 - rare_offsets[pair // len(size)])  # a place among its text's rare ones
+            own, extra = np.ones(len(pair), np.int64), mark.astype(np.int32)
+            if not short.all():
+                merged = {w: np.array(merge_long(coded.dictionary[w].as_py().encode(), ranks), np.int32) for w in np.flatnonzero(size > LONG)}
+                parts = [extra[k : k + 1] if s else merged[w] for k, (s, w) in enumerate(zip(short, pair % len(size)))]
+                own, extra = np.array([len(p) for p in parts]), np.concatenate(parts)
+            length[unknown] = own[at]
+            start[unknown] = len(ids) + (np.cumsum(own) - own)[at]
+            ids = np.concatenate([ids, extra])
+        out = _gather(ids, start, length)
+        ends = np.append(0, np.cumsum(length))[offsets]
+        return pa.StructArray.from_arrays(
+            [
+                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out, pa.int32())),
+                pa.ListArray.from_arrays(pa.array(rare_offsets, pa.int32()), rare),
+            ],
+            ["ids", "rare"],
+        )
 
-def _rare_encoder(spark, ranks: dict[bytes, int]):
-    shared = spark.sparkContext.broadcast(ranks)
-    key = zlib.crc32(repr(sorted(ranks.items())).encode())
+    return split
 
-    @F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
-    def encode_rare(rare: pd.Series) -> pd.Series:
-        memo = _MEMO.get(key)
-        if memo is None:
-            memo = _MEMO[key] = _Rare(shared.value)
-        return rare.map(lambda own: [memo[w] for w in own])
 
-    return encode_rare
+def _joined(ids: pa.Array, folded: pa.Array) -> pa.Array:
+    """The ids with those of the rare pretokens in their places."""
+    flat, offsets = _lists(ids)
+    per_doc, first = _lists(folded)
+    rare, begin = _lists(per_doc)
+    flat = flat.to_numpy(zero_copy_only=False)
+    marks = np.flatnonzero(flat < 0)
+    if not len(marks):
+        return ids
+    doc = np.searchsorted(offsets, marks, side="right") - 1
+    which = first[doc] - 1 - flat[marks]
+    length, start = np.ones(len(flat), np.int64), np.arange(len(flat))
+    length[marks] = np.diff(begin)[which]
+    start[marks] = len(flat) + begin[which]
+    out = _gather(np.concatenate([flat, rare.to_numpy(zero_copy_only=False)]), start, length)
+    ends = np.append(0, np.cumsum(length))[offsets]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out, pa.int32()))
+
+
+def _join(batches):
+    for batch in batches:
+        *kept, ids, folded = batch.columns
+        yield pa.RecordBatch.from_arrays([*kept, _joined(ids, folded)], names=batch.schema.names[:-1])
+
+
+@F.arrow_udf(T.BinaryType())
+def id_bytes(ids: pa.Array) -> pa.Array:
+    """The ids as little-endian unsigned 32-bit integers; null for null."""
+    flat, offsets = _lists(pc.fill_null(ids, []) if ids.null_count else ids)
+    data = flat.to_numpy(zero_copy_only=False).astype("<u4").tobytes()
+    out = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer((offsets * 4).astype(np.int32)), pa.py_buffer(data)])
+    return pc.if_else(ids.is_valid(), out, None) if ids.null_count else out
+
+
+def decoder(spark: SparkSession, ranks: dict[bytes, int]):
+    """A function of a column of ids to the bytes that they stand for; an id without a token stands for none."""
+    by_id = {r: t for t, r in ranks.items()}
+    shared = spark.sparkContext.broadcast([by_id.get(k, b"") for k in range(max(by_id) + 1)])
+
+    @F.arrow_udf(T.BinaryType())
+    def decode(ids: pa.Array) -> pa.Array:
+        pieces = pa.array(shared.value, pa.binary())
+        flat, offsets = _lists(pc.fill_null(ids, []) if ids.null_count else ids)
+        own = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pieces.take(flat))
+        out = pc.binary_join(own, b"")
+        return pc.if_else(ids.is_valid(), out, None) if ids.null_count else out
+
+    return decode
+
+
+def frequent(docs: DataFrame, pretokens: Column, most: int) -> DataFrame:
+    """``word`` of the most frequent pretokens of all texts: those counted often enough that ``most`` suffice."""
+    counted = stored(
+        docs.select(F.explode(pretokens).alias("word"))
+        .where((F.octet_length("word") <= LONG) & (F.octet_length("word") > 1))
+        .groupBy("word")
+        .agg(F.count("*").alias("n"))
+        .where("n > 1"),
+        "bpe-counts",
+    )
+    by_count = counted.groupBy("n").agg(F.count("*").alias("words")).toPandas().sort_values("n", ascending=False)
+    enough = by_count[by_count["words"].cumsum() <= most]["n"]  # one row for each count that occurs
+    return counted.where(F.col("n") >= (int(enough.min()) if len(enough) else 1 << 62)).select("word")
 
 
-def encode(
-    docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", out: str = "ids", codec: Codec | None = None
-) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", out: str = "ids", hot: int = HOT) -> DataFrame:
     """Add ``out``: the ids of ``text`` as an array of ints. A null text counts as empty and has no
-    ids. Repeated rows, ties and other columns need no care: each row stands for itself."""
-    codec = codec or Codec(ranks)
+    ids. Repeated rows and ties need no care: each row stands for itself. Other columns stay, but for
+    one named ``out``, which is replaced, and names that begin with ``__bpe_``. An empty table gives an
+    empty result."""
+    spark = docs.sparkSession
+    fold = Fold(spark, ranks)
     pretokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(java_pattern(pattern)), F.lit(0))
-    hot = (
-        docs.select(F.explode(pretokens).alias("w"))
-        .where(F.octet_length("w") <= LONG)
-        .groupBy("w")
-        .agg(F.count("*").alias("n"))
-        .orderBy(F.desc("n"), "w")
-        .limit(HOT)
-        .repartition(16, "w")
-        .select(F.col("w").cast("binary").alias("w"))
-        .select("w", _let(F.struct(*codec.rank.fields), lambda t: codec.encode_word(t, F.col("w"))).alias("ids"))
-        .collect()  # HOT rows at most
-    )
-    known = Lookup("hot", {bytes(r.w): r.ids for r in hot}, T.ArrayType(T.IntegerType()))
-    del hot
-    found = _let(
-        F.struct(*known.fields), lambda t: F.transform(F.col("__w"), lambda w: _let(w.cast("binary"), lambda x: known.get(t, x)))
-    )
-    rare = F.array_distinct(F.filter(F.col("__w"), lambda w, i: F.get(F.col("__k"), i).isNull()))
-    merged = F.map_from_arrays("__rare", _rare_encoder(docs.sparkSession, ranks)(F.col("__rare")))
-    one = lambda m: lambda w, i: F.coalesce(F.get(F.col("__k"), i), F.try_element_at(m, w))
-    ids = _let(merged, lambda m: F.flatten(F.transform(F.col("__w"), one(m))))  # the map is made once a row
-    return (
-        docs.withColumn("__w", pretokens)
-        .withColumn("__k", found)
-        .withColumn("__rare", rare)
-        .withColumn(out, ids)
-        .drop("__w", "__k", "__rare")
-    )
+    words = frequent(docs.select(text), pretokens, hot)
+    folded = fold.add(words.select("word", F.array("word").alias("own")), "own", "ids").select("word", F.get("ids", F.lit(0)).alias("ids"))
+    known = Known(ranks, folded.toArrow())  # ``hot`` rows at most
+    split = _splitter(spark.sparkContext.broadcast((known, ranks)))
+    kept = docs.drop(out)
+    parts = kept.withColumn("__bpe_split", split(pretokens)).withColumn("__bpe_rare", F.col("__bpe_split.rare"))
+    folded = fold.add(parts, "__bpe_rare", "__bpe_folded")
+    columns = [F.col(f"`{c}`") for c in kept.columns]
+    schema = T.StructType([*kept.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
+    return folded.select(*columns, F.col("__bpe_split.ids").alias(out), "__bpe_folded").mapInArrow(_join, schema)

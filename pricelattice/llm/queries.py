@@ -75,17 +75,16 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from .bpe import Codec, encode, read_ranks
+    from .bpe import decoder, encode, id_bytes, read_ranks
 
     ranks = read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    codec = Codec(ranks)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = encode(docs, ranks, public_tokenizers.PATTERN, codec=codec).select("doc_id", "ids")
+    ids = encode(docs, ranks, public_tokenizers.PATTERN).select("doc_id", "ids")
     return ids.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(codec.id_bytes(F.col("ids")), 256).alias("ids_sha256"),
-        F.sha2(codec.decode(F.col("ids")), 256).alias("decoded_sha256"),
+        F.sha2(id_bytes(F.col("ids")), 256).alias("ids_sha256"),
+        F.sha2(decoder(spark, ranks)(F.col("ids")), 256).alias("decoded_sha256"),
     )
 
 

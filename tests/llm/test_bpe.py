@@ -6,18 +6,18 @@ import public_tokenizers as P
 import tiktoken
 from pyspark.sql import functions as F
 
-from pricelattice.llm.bpe import Codec, encode, merge_long, read_ranks
+from pricelattice.llm.bpe import LONG, decoder, displaced, encode, id_bytes, merge_long, merges, read_ranks
 
 RANKS = read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
 LIB = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=RANKS, special_tokens={})
 
 
-def check(spark, texts, schema="doc_id long, text string, ids string, w int"):
-    codec = Codec(RANKS)
+def check(spark, texts, schema="doc_id long, text string, ids string, w int", hot=1 << 19):
     rows = [(i, t, "x", 1) for i, t in enumerate(texts)]
-    df = spark.createDataFrame(rows, schema).drop("ids")
-    out = encode(df, RANKS, P.PATTERN, codec=codec).select(
-        "text", "ids", "w", codec.decode(F.col("ids")).alias("back"), F.sha2(codec.id_bytes(F.col("ids")), 256).alias("sha")
+    df = spark.createDataFrame(rows, schema)
+    ids = F.col("ids")
+    out = encode(df, RANKS, P.PATTERN, hot=hot).select(
+        "text", "ids", "w", decoder(spark, RANKS)(ids).alias("back"), F.sha2(id_bytes(ids), 256).alias("sha")
     )
     got = out.collect()
     assert len(got) == len(texts)
@@ -32,7 +32,9 @@ def test_matches_the_library(spark):
     alphabet = "aeinrst ABE  \n\t.,'sé漢字 　123%🙂́"
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(200)]
     texts += [None, "", " ", "\n\n ", "I'll we've don't", "<|endoftext|>", "same", "same", "ab" * 150, "x" * 350]
+    texts += ["y" * n for n in (LONG - 1, LONG, LONG + 1)] + ["éü" * 70 + " " + "ab" * 200]
     check(spark, texts)
+    check(spark, texts, hot=1)  # nothing hot: all words are folded where they stand
 
 
 def test_very_long_runs(spark):
@@ -49,3 +51,16 @@ def test_heap_merge():
 
 def test_empty_table(spark):
     assert encode(spark.createDataFrame([], "doc_id long, text string"), RANKS, P.PATTERN).collect() == []
+
+
+def test_every_merge_has_its_cell():
+    pairs = merges(RANKS)
+    shift, cells = displaced(pairs, len(RANKS))
+    cell = cells[shift[pairs[:, 0]] + pairs[:, 1]]
+    assert (cell >> 32 == pairs[:, 0]).all() and (cell & 0xFFFFFFFF == pairs[:, 2]).all() and (cells >= 0).sum() == len(pairs)
+
+
+def test_ids_of_real_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    for r in encode(docs, RANKS, P.PATTERN, hot=2_000).collect():
+        assert r.ids == LIB.encode_ordinary(r.text or "")
