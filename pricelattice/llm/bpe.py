@@ -35,6 +35,9 @@ from .common import stored
 HOT = 1 << 19
 #: Bytes of a pretoken beyond which it is merged with a heap.
 LONG = 256
+#: Pretokens or ids that a step in Python handles at once, which bounds its memory.
+STEP = 1 << 18
+_IDS = T.ArrayType(T.IntegerType())
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -192,45 +195,60 @@ class Known:
         self.start = np.cumsum(self.length) - self.length
 
 
+def _slices(offsets: np.ndarray):
+    """Ranges of whole texts with about STEP values together."""
+    lo = 0
+    while lo + 1 < len(offsets):
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + STEP, side="right")) - 1)
+        yield lo, hi
+        lo = hi
+
+
+def _list_array(offsets: np.ndarray, values) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+
+
+def _split(words: pa.Array, code: np.ndarray, offsets: np.ndarray, known: Known, ranks: dict[bytes, int]) -> pa.Array:
+    """``code``: the known number of each of ``words``, or -1; ``offsets``: where texts begin."""
+    length, start, ids = known.length[code], known.start[code], known.ids
+    unknown = np.flatnonzero(code < 0)
+    rare, rare_offsets = pa.array([], pa.string()), np.zeros(len(offsets), np.int64)
+    if len(unknown):
+        coded = words.take(pa.array(unknown)).dictionary_encode()
+        word = coded.indices.to_numpy().astype(np.int64)
+        doc = np.searchsorted(offsets, unknown, side="right") - 1
+        size = pc.binary_length(coded.dictionary).to_numpy()
+        pair, at = np.unique(doc * len(size) + word, return_inverse=True)
+        pair_doc, pair_word = np.divmod(pair, len(size))
+        short = size[pair_word] <= LONG
+        rare = coded.dictionary.take(pa.array(pair_word[short]))
+        rare_offsets[1:] = np.cumsum(np.bincount(pair_doc[short], minlength=len(offsets) - 1))
+        extra = (rare_offsets[pair_doc] - np.cumsum(short)).astype(np.int32)  # -1 - its place among its text's rare ones
+        own = np.ones(len(pair), np.int64)
+        if not short.all():
+            merged = {w: np.array(merge_long(coded.dictionary[w].as_py().encode(), ranks), np.int32) for w in np.flatnonzero(size > LONG)}
+            parts = [extra[k : k + 1] if s else merged[w] for k, (s, w) in enumerate(zip(short, pair_word))]
+            own, extra = np.array([len(p) for p in parts]), np.concatenate(parts)
+        length[unknown] = own[at]
+        start[unknown] = len(ids) + (np.cumsum(own) - own)[at]
+        ids = np.concatenate([ids, extra])
+    out = _gather(ids, start, length)
+    ends = np.append(0, np.cumsum(length))[offsets]
+    return pa.StructArray.from_arrays([_list_array(ends, pa.array(out, pa.int32())), _list_array(rare_offsets, rare)], ["ids", "rare"])
+
+
 def _splitter(shared):
-    @F.arrow_udf("struct<ids: array<int>, rare: array<string>>")
+    @F.arrow_udf(T.StructType([T.StructField("ids", _IDS), T.StructField("rare", T.ArrayType(T.StringType()))]))
     def split(words: pa.Array) -> pa.Array:
         """Ids of the known pretokens of each text; -1 - k for its k-th distinct rare one."""
         known, ranks = shared.value
         flat, offsets = _lists(words)
-        code = pc.fill_null(pc.index_in(flat, value_set=known.words), -1).to_numpy().astype(np.int64)
-        length = known.length[code]
-        start = known.start[code]
-        ids = known.ids
-        unknown = np.flatnonzero(code < 0)
-        rare, rare_offsets = pa.array([], pa.string()), np.zeros(len(offsets), np.int64)
-        if len(unknown):
-            coded = flat.take(pa.array(unknown)).dictionary_encode()
-            word = coded.indices.to_numpy().astype(np.int64)
-            doc = np.searchsorted(offsets, unknown, side="right") - 1
-            size = pc.binary_length(coded.dictionary).to_numpy()
-            pair, at = np.unique(doc * len(size) + word, return_inverse=True)
-            short = size[pair % len(size)] <= LONG
-            rare = coded.dictionary.take(pa.array((pair % len(size))[short]))
-            rare_offsets[1:] = np.cumsum(np.bincount((pair // len(size))[short], minlength=len(offsets) - 1))
-            mark = -1 - (np.cumsum(short) - 1 - rare_offsets[pair // len(size)])  # a place among its text's rare ones
-            own, extra = np.ones(len(pair), np.int64), mark.astype(np.int32)
-            if not short.all():
-                merged = {w: np.array(merge_long(coded.dictionary[w].as_py().encode(), ranks), np.int32) for w in np.flatnonzero(size > LONG)}
-                parts = [extra[k : k + 1] if s else merged[w] for k, (s, w) in enumerate(zip(short, pair % len(size)))]
-                own, extra = np.array([len(p) for p in parts]), np.concatenate(parts)
-            length[unknown] = own[at]
-            start[unknown] = len(ids) + (np.cumsum(own) - own)[at]
-            ids = np.concatenate([ids, extra])
-        out = _gather(ids, start, length)
-        ends = np.append(0, np.cumsum(length))[offsets]
-        return pa.StructArray.from_arrays(
-            [
-                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out, pa.int32())),
-                pa.ListArray.from_arrays(pa.array(rare_offsets, pa.int32()), rare),
-            ],
-            ["ids", "rare"],
-        )
+        code = pc.fill_null(pc.index_in(flat, value_set=known.words), -1).to_numpy()
+        parts = []
+        for lo, hi in _slices(offsets):
+            a, b = offsets[lo], offsets[hi]
+            parts.append(_split(flat.slice(a, b - a), code[a:b], offsets[lo : hi + 1] - a, known, ranks))
+        return pa.concat_arrays(parts) if parts else _split(flat, code, offsets, known, ranks)
 
     return split
 
@@ -240,7 +258,7 @@ def _joined(ids: pa.Array, folded: pa.Array) -> pa.Array:
     flat, offsets = _lists(ids)
     per_doc, first = _lists(folded)
     rare, begin = _lists(per_doc)
-    flat = flat.to_numpy(zero_copy_only=False)
+    flat, rare = flat.to_numpy(zero_copy_only=False), rare.to_numpy(zero_copy_only=False)
     marks = np.flatnonzero(flat < 0)
     if not len(marks):
         return ids
@@ -249,15 +267,16 @@ def _joined(ids: pa.Array, folded: pa.Array) -> pa.Array:
     length, start = np.ones(len(flat), np.int64), np.arange(len(flat))
     length[marks] = np.diff(begin)[which]
     start[marks] = len(flat) + begin[which]
-    out = _gather(np.concatenate([flat, rare.to_numpy(zero_copy_only=False)]), start, length)
+    out = _gather(np.concatenate([flat, rare]), start, length)
     ends = np.append(0, np.cumsum(length))[offsets]
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out, pa.int32()))
+    return _list_array(ends, pa.array(out, pa.int32()))
 
 
 def _join(batches):
     for batch in batches:
         *kept, ids, folded = batch.columns
-        yield pa.RecordBatch.from_arrays([*kept, _joined(ids, folded)], names=batch.schema.names[:-1])
+        parts = [_joined(ids.slice(lo, hi - lo), folded.slice(lo, hi - lo)) for lo, hi in _slices(_lists(ids)[1])]
+        yield pa.RecordBatch.from_arrays([*kept, pa.concat_arrays(parts) if parts else ids], names=batch.schema.names[:-1])
 
 
 @F.arrow_udf(T.BinaryType())
@@ -278,8 +297,11 @@ def decoder(spark: SparkSession, ranks: dict[bytes, int]):
     def decode(ids: pa.Array) -> pa.Array:
         pieces = pa.array(shared.value, pa.binary())
         flat, offsets = _lists(pc.fill_null(ids, []) if ids.null_count else ids)
-        own = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pieces.take(flat))
-        out = pc.binary_join(own, b"")
+        parts = []
+        for lo, hi in _slices(offsets):
+            own = pieces.take(flat.slice(offsets[lo], offsets[hi] - offsets[lo]))
+            parts.append(pc.binary_join(_list_array(offsets[lo : hi + 1] - offsets[lo], own), b""))
+        out = pa.concat_arrays([pa.array([], pa.binary()), *parts])
         return pc.if_else(ids.is_valid(), out, None) if ids.null_count else out
 
     return decode
@@ -316,5 +338,5 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     parts = kept.withColumn("__bpe_split", split(pretokens)).withColumn("__bpe_rare", F.col("__bpe_split.rare"))
     folded = fold.add(parts, "__bpe_rare", "__bpe_folded")
     columns = [F.col(f"`{c}`") for c in kept.columns]
-    schema = T.StructType([*kept.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([*kept.schema.fields, T.StructField(out, _IDS)])
     return folded.select(*columns, F.col("__bpe_split.ids").alias(out), "__bpe_folded").mapInArrow(_join, schema)
