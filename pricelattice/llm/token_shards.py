@@ -2,8 +2,10 @@
 
 Documents are sorted by id over a range partitioning. Each task encodes its documents, appends the
 end id to each, and packs whole documents into shards of about ``SHARD`` ids. A shard's ids are
-compressed by rounds of pair replacement: the most frequent adjacent pairs, by an exact count,
-become nonterminals. No rule spans two documents. A shard is one binary value:
+compressed by Re-Pair: in each round all adjacent pairs are counted exactly and the frequent ones
+become nonterminals, the more frequent pair first where two overlap. Rounds go on until no pair
+occurs ``LEAST_COUNT`` times, the number from which a rule is smaller than what it saves. No rule
+spans two documents. A shard is one binary value:
 
     magic "RPS1" | uint32: terminals, rules, documents | uint64: ids of this task before it, symbols
     rules: 2 uint32 each | expansion length of each rule: uint32
@@ -17,12 +19,13 @@ folder, so that the writer's commit holds when executors are lost.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,33 +36,63 @@ _HEAD = struct.Struct("<4sIIIQQ")
 _DOC = np.dtype([("id", "<i8"), ("first", "<u8"), ("n", "<u8")])
 NULL_ID = -(1 << 63)
 SHARD = 1 << 20
-ROUNDS = 4
-RULES_A_ROUND = 256
-LEAST_COUNT = 8
-_HASH_BITS = 18
-#: Pieces that a Python worker remembers.
-KEEP = 1_000_000
-
-
-def _frequent(a: np.ndarray, b: np.ndarray, allowed: np.ndarray):
-    """Keys (a << 32 | b) of the most frequent allowed pairs, and for each place its key's index
-    among them or -1. Buckets of a hash bound each pair's count from above; the pairs in the fullest
-    buckets are then counted exactly."""
-    key = a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)
-    bucket = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _HASH_BITS)).astype(np.int64)
-    counts = np.bincount(bucket[allowed], minlength=1 << _HASH_BITS)
-    full = np.zeros(len(counts), bool)
-    full[np.argpartition(counts, -RULES_A_ROUND)[-RULES_A_ROUND:]] = True
-    full &= counts >= LEAST_COUNT
-    places = np.flatnonzero(full[bucket] & allowed)
-    keys, n = np.unique(key[places], return_counts=True)
-    top = np.sort(np.argsort(-n, kind="stable")[:RULES_A_ROUND])
-    keys = keys[top[n[top] >= LEAST_COUNT]]
-    if not len(keys):
-        return keys, places[:0], places[:0]
-    at = np.minimum(np.searchsorted(keys, key[places]), len(keys) - 1)
-    hit = keys[at] == key[places]
-    return keys, places[hit], at[hit]
+#: A rule takes 12 bytes, a symbol 4.
+LEAST_COUNT = 4
+#: A round takes the pairs that occur at least this part as often as the most frequent one.
+SPREAD = 64
+_SLOTS = 20
+#: Pieces that a Python worker remembers, and the longest of them in bytes.
+KEEP, KEEP_BYTES = 600_000, 64
+#: Bytes of text encoded at once.
+STEP = 1 << 22
+
+
+def _slot(keys: np.ndarray) -> np.ndarray:
+    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOTS)).astype(np.int64)
+
+
+def _counted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and how often each occurs."""
+    key = np.sort(key)
+    begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return key[begin], np.diff(np.append(begin, len(key)))
+
+
+def _round(seq: np.ndarray, last: np.ndarray):
+    """Places whose pair is to be replaced, the pair of each (its number among those used), and the
+    pairs used as rows. None of the places overlap, and no pair is used under LEAST_COUNT times."""
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
+    free = ~last[:-1]
+    same = np.flatnonzero((seq[:-1] == seq[1:]) & free)
+    if len(same):  # in a run of one symbol every other pair counts
+        begin = np.maximum.accumulate(np.where(np.append(True, np.diff(same) > 1), np.arange(len(same)), 0))
+        free[same[(np.arange(len(same)) - begin) % 2 == 1]] = False
+    places = np.flatnonzero(free)
+    if not len(places):
+        return none
+    key = (seq[places].astype(np.uint64) << np.uint64(32)) | seq[places + 1]
+    keys, n = _counted(key)
+    if n.max() < LEAST_COUNT:
+        return none
+    often = n >= max(LEAST_COUNT, n.max() // SPREAD)
+    keys, n = keys[often], n[often]
+    order = np.argsort(-n, kind="stable")
+    keys = keys[order]  # a pair's number is now its rank
+    table = np.full(1 << _SLOTS, -1, np.int32)
+    table[_slot(keys)[::-1]] = np.arange(len(keys), dtype=np.int32)[::-1]  # pairs of one slot: the first now, others later
+    pair = table[_slot(key)]
+    hit = np.flatnonzero(pair >= 0)
+    hit = hit[keys[pair[hit]] == key[hit]]
+    places, pair = places[hit], pair[hit]
+    before = (np.diff(places, prepend=-2) == 1) & (np.append(len(keys), pair[:-1]) < pair)
+    after = (np.diff(places, append=places[-1] + 2) == 1) & (np.append(pair[1:], len(keys)) < pair)
+    wins = ~(before | after)
+    places, pair = places[wins], pair[wins]
+    used = np.bincount(pair, minlength=len(keys)) >= LEAST_COUNT
+    number = np.cumsum(used) - 1
+    keep = used[pair]
+    pairs = np.stack([keys[used] >> np.uint64(32), keys[used] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.int64)
+    return places[keep], number[pair[keep]], pairs
 
 
 def compress(ids: np.ndarray, lengths: np.ndarray, terminals: int):
@@ -68,28 +101,23 @@ def compress(ids: np.ndarray, lengths: np.ndarray, terminals: int):
     seq = ids.astype(np.uint32)
     last = np.zeros(len(seq), bool)
     last[np.cumsum(lengths) - 1] = True
-    rules, size = [], np.ones(terminals, np.int64)
-    for _ in range(ROUNDS):
-        keys, places, rule = _frequent(seq[:-1], seq[1:], ~last[:-1]) if len(seq) > 1 else ([], [], [])
-        if not len(keys):
+    rules, sizes, n = [], [np.ones(terminals, np.int64)], terminals
+    while len(seq) > 1:
+        places, number, pairs = _round(seq, last)
+        if not len(places):
             break
-        # of places that overlap in a row, every other one counts
-        fresh = np.append(True, np.diff(places) > 1)
-        start = np.maximum.accumulate(np.where(fresh, np.arange(len(places)), 0))
-        even = (np.arange(len(places)) - start) % 2 == 0
-        places, rule = places[even], rule[even]
-        used, rule = np.unique(rule, return_inverse=True)
-        pairs = np.stack([keys[used] >> np.uint64(32), keys[used] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.int64)
-        seq[places] = len(size) + rule
-        size = np.append(size, size[pairs[:, 0]] + size[pairs[:, 1]])
-        rules.append(pairs)
+        seq[places] = n + number
         last[places] |= last[places + 1]
         keep = np.ones(len(seq), bool)
         keep[places + 1] = False
         seq, last = seq[keep], last[keep]
+        size = np.concatenate(sizes)
+        sizes = [size, size[pairs[:, 0]] + size[pairs[:, 1]]]
+        rules.append(pairs)
+        n += len(pairs)
     ends = np.flatnonzero(last)
     table = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
-    return seq, np.diff(np.append(-1, ends)), table, size[terminals:]
+    return seq, np.diff(np.append(-1, ends)), table, np.concatenate(sizes)[terminals:]
 
 
 def pack(doc_ids: list[int], ids: np.ndarray, lengths: np.ndarray, before: int, terminals: int) -> bytes:
@@ -103,6 +131,12 @@ def pack(doc_ids: list[int], ids: np.ndarray, lengths: np.ndarray, before: int,
     )
 
 
+def _ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each, ``length`` places, one after the other."""
+    begin = np.cumsum(length) - length
+    return np.repeat(start - begin, length) + np.arange(int(length.sum()))
+
+
 class Shard:
     """Reader of one packed shard."""
 
@@ -131,14 +165,21 @@ class Shard:
         return symbols.astype("<u4")
 
     def ids(self) -> np.ndarray:
-        """All ids of the shard: expansions of the symbols that occur, laid out once, then gathered."""
-        n = self.terminals + len(self.rules)
-        parts = [np.arange(self.terminals), *(self._expand(np.array([s])) for s in range(self.terminals, n))]
-        flat = np.concatenate(parts).astype("<u4")
+        """All ids of the shard. The expansions of all symbols are laid out once, a layer of rules
+        over those before it at a time, then gathered."""
         where = np.cumsum(self.sizes) - self.sizes
-        size = self.sizes[self.symbols]
-        inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        return flat[np.repeat(where[self.symbols], size) + inside]
+        flat = np.zeros(int(self.sizes.sum()), "<u4")
+        flat[: self.terminals] = np.arange(self.terminals)
+        newest = self.rules.max(axis=1) if len(self.rules) else np.zeros(0, np.int64)
+        done = 0
+        while done < len(self.rules):
+            later = np.flatnonzero(newest[done:] >= self.terminals + done)
+            stop = done + int(later[0]) if len(later) else len(self.rules)
+            both = self.rules[done:stop].ravel()
+            lo, hi = where[self.terminals + done], where[self.terminals + stop - 1] + self.sizes[self.terminals + stop - 1]
+            flat[lo:hi] = flat[_ragged(where[both], self.sizes[both])]
+            done = stop
+        return flat[_ragged(where[self.symbols], self.sizes[self.symbols])]
 
     def slice(self, doc: int, start: int, stop: int) -> np.ndarray:
         """Ids ``start`` to ``stop`` of document ``doc`` (place in the shard), by random access."""
@@ -151,67 +192,159 @@ class Shard:
         return self._expand(own[lo : hi + 1])[start - skipped : max(start, stop) - skipped]
 
 
-class _Encoder:
-    """The tokenizer of one Python worker, with what it remembers over all its tasks: ids (bytes) of
-    pieces of text that stand between two single spaces.
+#: Classes of bytes: 0 unknown, 1 letter, 2 digit, 3 punctuation.
+_CLASS = np.array(
+    [1 if chr(b).isalpha() else 2 if chr(b).isdigit() else 3 if 0x20 < b < 0x7F else 0 for b in range(128)] + [0] * 128, np.uint8
+)
+#: First bytes of two-byte letters (U+00C0 to U+023F, two signs excepted below).
+_LATIN = np.isin(np.arange(256), [0xC3, 0xC4, 0xC5, 0xC6, 0xC7, 0xC8])
+#: Bytes that may begin white space, controls included.
+_MAYBE_SPACE = np.array([b <= 0x20 or b in (0x7F, 0xC2, 0xE1, 0xE2, 0xE3) for b in range(256)])
+
+
+def cuts(data: np.ndarray) -> np.ndarray:
+    """Whether a text of these UTF-8 bytes may be cut before each, so that the parts encode as the
+    whole does. The byte-level pre-tokeniser looks ahead only for white space after white space, so
+    it may be cut: before a space that no white space follows; where letters, digits and
+    punctuation meet, but not after an apostrophe; around a line feed between plain characters."""
+    kind = _CLASS[data]
+    two = np.flatnonzero(_LATIN[data[:-1]]) if len(data) else np.zeros(0, np.int64)
+    two = two[(data[two] != 0xC3) | ((data[two + 1] != 0x97) & (data[two + 1] != 0xB7))]
+    kind[two] = kind[two + 1] = 1
+    out = np.zeros(len(data), bool)
+    if len(data) < 2:
+        return out
+    plain = kind > 0
+    out[1:] = plain[1:] & plain[:-1] & (kind[1:] != kind[:-1]) & (data[:-1] != 0x27)
+    space = np.flatnonzero(data[:-1] == 0x20)
+    out[space] = ~_MAYBE_SPACE[data[space + 1]]
+    feed = np.flatnonzero(data[1:-1] == 0x0A) + 1
+    feed = feed[plain[feed - 1] & plain[feed + 1]]
+    out[feed] = out[feed + 1] = True
+    return out
+
 
-    The pre-tokeniser never joins what stands before a single space to what follows, so such pieces
-    (each with its space) encode on their own. A text that begins or ends with white space, or has
-    two in a row, is encoded whole."""
+class Encoder:
+    """The tokenizer of one Python worker, with the ids of the pieces that it has met, over all its
+    tasks. The memory only saves work: a full one is emptied."""
 
-    _own: dict[str, "_Encoder"] = {}
+    _own: dict[str, "Encoder"] = {}
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.pieces: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.begins[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True  # how a space is spelt
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self._empty()
+
+    def _empty(self) -> None:
+        self.pieces: dict[bytes, int] = {}
+        self.start, self.length, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     @classmethod
-    def of(cls, path: str) -> "_Encoder":
+    def of(cls, path: str) -> "Encoder":
         if path not in cls._own:
             cls._own[path] = cls(path)
         return cls._own[path]
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, new: list[str]) -> None:
-        """Encode new pieces, many in one text, and cut the ids where the pieces begin."""
-        if len(self.pieces) + len(new) > KEEP:
-            self.pieces.clear()
-        for lo in range(0, len(new), 4096):
-            some = new[lo : lo + 4096]
-            got = self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False)
-            ids = np.array(got.ids, "<u4").tobytes()
-            begin = np.cumsum([0, *(len(p) + 1 for p in some)])
-            cut = (4 * np.searchsorted(np.array([a for a, _ in got.offsets]), begin)).tolist()
-            for p, a, b in zip(some, cut, cut[1:]):
-                self.pieces[p] = ids[a:b]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as uint32 bytes."""
-        plain = [k for k, t in enumerate(texts) if not _UNUSUAL(t)]
-        parts = {k: texts[k].split(" ") for k in plain}
-        for _ in range(2):  # a second time if the memory was cleared in between
-            known = self.pieces
-            new = {p for own in parts.values() for p in own[1:] if p not in known}
-            if not new:
-                break
-            self._learn(list(new))
-        starts = [own[0] for own in parts.values()]
-        out: list[bytes] = [b""] * len(texts)
-        known = self.pieces
-        for k, first in zip(plain, self._whole(starts), strict=True):
-            out[k] = first + b"".join([known[p] for p in parts[k][1:]])
-        rest = sorted(set(range(len(texts))) - parts.keys())
-        for k, got in zip(rest, self._whole([texts[k] for k in rest]), strict=True):
-            out[k] = got
-        return out
-
-
-_UNUSUAL = re.compile(r"\s\s|^\s|\s$|[\x1c-\x1f\x85]").search
+    def _each(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learnt(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each) of new pieces. Those with a space at their front alone go
+        through the library many in a text."""
+        simple = [p[:1] == b" " and p.count(b" ") == 1 for p in new]
+        spaced = [p for p, s in zip(new, simple) if s]
+        parts, sizes = [], []
+        for lo in range(0, len(spaced), 1024):
+            some = spaced[lo : lo + 1024]
+            ids = np.array(self._each([b"".join(some).decode()])[0], np.uint32)
+            begin = np.flatnonzero(self.begins[ids])
+            if len(begin) != len(some):  # a piece that the vocabulary spells otherwise
+                each = self._each([p.decode() for p in some])
+                ids, begin = np.array([i for e in each for i in e], np.uint32), np.cumsum([0, *map(len, each)])[:-1]
+            parts.append(ids)
+            sizes.append(np.diff(np.append(begin, len(ids))))
+        each = self._each([p.decode() for p, s in zip(new, simple) if not s])
+        flat = np.concatenate([*parts, np.array([i for e in each for i in e], np.uint32)])
+        size = np.concatenate([*sizes, np.array([len(e) for e in each], np.int64)]).astype(np.int64)
+        start = np.cumsum(size) - size
+        order = np.argsort(~np.array(simple, bool), kind="stable")  # where each piece of flat comes from
+        back = np.empty(len(new), np.int64)
+        back[order] = np.arange(len(new))
+        return flat[_ragged(start[back], size[back])], size[back]
+
+    def _numbers(self, unique: list[bytes]) -> np.ndarray:
+        """Place of each piece in ``start`` and ``length``, unknown pieces learnt."""
+        found = [self.pieces.get(p, -1) for p in unique]
+        if -1 in found and len(self.pieces) + found.count(-1) > KEEP:
+            self._empty()
+            found = [-1] * len(unique)
+        at = np.array(found, np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            own = [unique[k] for k in new]
+            ids, size = self._learnt(own)
+            first = len(self.length)
+            at[new] = first + np.arange(len(new))
+            self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
+            self.length = np.concatenate([self.length, size])
+            self.ids = np.concatenate([self.ids, ids])
+            self.pieces.update((p, first + k) for k, p in enumerate(own) if len(p) <= KEEP_BYTES)
+        return at
+
+    def _cut(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of whole texts that lie one after the other, and the number of ids of each."""
+        begins = cuts(data)
+        begins[offsets[:-1][offsets[:-1] < len(data)]] = True
+        at = np.append(np.flatnonzero(begins), len(data))
+        pieces = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)])
+        coded = pieces.dictionary_encode()
+        number = self._numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        length = self.length[number]
+        ends = np.append(0, np.cumsum(length))
+        return self.ids[_ragged(self.start[number], length)], np.diff(ends[np.searchsorted(at, offsets)])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (without nulls) one after the other, and the number of ids of each."""
+        special = np.zeros(len(texts), bool)
+        for s in self.special:
+            special |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        cut = np.flatnonzero(~special)
+        some = texts if len(cut) == len(texts) else texts.take(pa.array(cut))
+        own, offsets = np.zeros(0, np.uint8), np.zeros(1, np.int64)
+        if len(some):
+            offsets = np.frombuffer(some.buffers()[1], np.int32)[some.offset : some.offset + len(some) + 1].astype(np.int64)
+            if some.buffers()[2] is not None:
+                own = np.frombuffer(some.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+            offsets = offsets - offsets[0]
+        ids, n = self._cut(own, offsets) if len(own) else (np.zeros(0, np.uint32), np.zeros(len(cut), np.int64))
+        if not special.any():
+            return ids, n
+        whole = self._each([t.as_py() for t, s in zip(texts, special) if s])
+        sizes = np.zeros(len(texts), np.int64)
+        sizes[cut], sizes[special] = n, [len(w) for w in whole]
+        flat = np.concatenate([ids, np.array([i for w in whole for i in w], np.uint32)])
+        start = np.zeros(len(texts), np.int64)
+        start[cut] = np.cumsum(n) - n
+        start[special] = len(ids) + np.cumsum(sizes[special]) - sizes[special]
+        return flat[_ragged(start, sizes)], sizes
+
+
+def _steps(batches):
+    """(ids, texts) of runs of whole documents of about STEP bytes."""
+    for batch in batches:
+        texts = pc.fill_null(batch.column(1), "")
+        size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        lo = 0
+        while lo < len(texts):
+            done = size[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(size, done + STEP, side="right")))
+            yield batch.column(0).slice(lo, hi - lo).to_pylist(), texts.slice(lo, hi - lo)
+            lo = hi
 
 
 def _writer(path: str, end_id: int, terminals: int):
@@ -222,27 +355,32 @@ def _writer(path: str, end_id: int, terminals: int):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         part, shard, before = TaskContext.get().partitionId(), 0, 0
-        end = np.array([end_id], "<u4").tobytes()
-        docs, parts, sizes = [], [], []
-        encoder = _Encoder.of(path)
+        docs, parts, sizes, held = [], [], [], 0
+        encoder = Encoder.of(path)
 
         def flush():
-            nonlocal shard, before, docs, parts, sizes
-            ids = np.frombuffer(b"".join(parts), "<u4")
-            content = pack(docs, ids, np.array(sizes, np.int64), before, terminals)
-            row = pd.DataFrame({"part": [part], "shard": [shard], "n_ids": [len(ids)], "content": [content]})
-            shard, before, docs, parts, sizes = shard + 1, before + len(ids), [], [], []
+            nonlocal shard, before, docs, parts, sizes, held
+            ids = np.concatenate(parts)
+            content = pack(docs, ids, np.concatenate(sizes), before, terminals)
+            row = pa.RecordBatch.from_pylist([{"part": part, "shard": shard, "n_ids": len(ids), "content": content}], SHARDS)
+            shard, before, docs, parts, sizes, held = shard + 1, before + len(ids), [], [], [], 0
             return row
 
-        for batch in batches:
-            for lo in range(0, len(batch), 512):
-                some = batch.iloc[lo : lo + 512]
-                texts = [t or "" for t in some["text"]]
-                for doc, got in zip(some["id"], encoder.encode(texts), strict=True):
-                    docs.append(int(doc))
-                    parts.append(got + end)
-                    sizes.append(len(got) // 4 + 1)
-                if sum(sizes) >= SHARD:
+        for doc_ids, texts in _steps(batches):
+            ids, n = encoder.encode(texts)
+            ends = np.cumsum(n)
+            both = np.insert(ids, ends, end_id)  # the end id after the last of each
+            ends = ends + np.arange(1, len(n) + 1)
+            lo = 0
+            while lo < len(n):  # a shard is full with the document that takes it to SHARD ids
+                done = int(ends[lo - 1]) if lo else 0
+                hi = min(len(n), int(np.searchsorted(ends, done + SHARD - held)) + 1)
+                docs += doc_ids[lo:hi]
+                parts.append(both[done : ends[hi - 1]])
+                sizes.append(n[lo:hi] + 1)
+                held += int(ends[hi - 1]) - done
+                lo = hi
+                if held >= SHARD:
                     yield flush()
         if docs:
             yield flush()
@@ -250,11 +388,14 @@ def _writer(path: str, end_id: int, terminals: int):
     return run
 
 
+SHARDS = pa.schema([("part", pa.int64()), ("shard", pa.int64()), ("n_ids", pa.int64()), ("content", pa.binary())])
+
+
 def write_shards(
     docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text: str = "text"
 ) -> None:
     """Encode ``text`` with the tokenizers file ``tokenizer`` and write shards in ascending order of
-    ``id_col`` (null first; equal ids by the hash of their text).
+    ``id_col``, an integer (null first; equal ids by the hash of their text).
 
     A null or empty text is the end id alone. Repeated rows are written as often as they come. An
     empty table writes an empty folder. Other columns are ignored."""
@@ -264,7 +405,7 @@ def write_shards(
     plain = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text).alias("text"))
     ordered = plain.repartitionByRange("id").sortWithinPartitions("id", F.xxhash64("text"))
     schema = "part long, shard long, n_ids long, content binary"
-    ordered.mapInPandas(_writer(tokenizer, end_id, terminals), schema).write.parquet(folder)
+    ordered.mapInArrow(_writer(tokenizer, end_id, terminals), schema).write.parquet(folder)
 
 
 def _reader(batches):
