@@ -4,7 +4,9 @@ Encoding: a text splits into pretokens by the pattern of the vocabulary. Pretoke
 tokens themselves are folded by higher-order functions: the fold starts from the bytes of a pretoken
 and merges the adjacent pair of least rank until no pair has a rank. The pretokens are counted over
 all texts and the most frequent (``HOT`` at most) are folded once; the others are folded once in
-each text that holds them. Arrow functions on both sides of the fold put the ids in place.
+each text that holds them. Arrow functions on both sides of the fold split the texts and put the ids
+in place: they cut many texts at once into pieces at sure ends of pretokens, and apply the pattern to
+distinct pieces alone.
 
 The rank map is constant: one row of arrays that stands in the plan as an uncorrelated scalar
 subquery, so it acts as a literal without being printed as one. It maps two ids to the id of their
@@ -25,11 +27,13 @@ import heapq
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import stored
+from .pretokens import BYTE_LEVEL, cuts, pieces, ragged, steps
 
 #: Folded pretokens that every task holds.
 HOT = 1 << 19
@@ -46,10 +50,10 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def java_pattern(pattern: str) -> str:
-    r"""The pattern with ``\s`` and ``\S`` spelt as Unicode white space, as Java needs it."""
-    space = r"\t-\r \x85\xA0  -     　"
-    return pattern.replace(r"[^\s", f"[^{space}").replace(r"\s", f"[{space}]").replace(r"\S", f"[^{space}]")
+def finder(pattern: str):
+    r"""The function from a text to its pretokens. ``\s`` and ``\S`` are spelt as Unicode white space."""
+    space = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+    return regex.compile(pattern.replace(r"[^\s", f"[^{space}").replace(r"\s", f"[{space}]").replace(r"\S", f"[^{space}]")).findall
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -162,12 +166,6 @@ class Fold:
         return F.aggregate(F.sequence(F.lit(2), F.octet_length(word)), start, merge, lambda acc: acc["p"])
 
 
-def _gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """``flat[start : start + length]`` of each, one after the other."""
-    begin = np.cumsum(length) - length
-    return flat[np.repeat(start - begin, length) + np.arange(int(length.sum()))]
-
-
 def _lists(x: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Values and offsets (from 0) of a list array without nulls."""
     if not len(x):  # its offsets may be missing
@@ -177,23 +175,32 @@ def _lists(x: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 class Known:
-    """Pretokens whose ids are known: the tokens themselves and the hot pretokens."""
+    """Pretokens whose ids are known: the tokens themselves and the hot pretokens. The last of them
+    (from ``whole`` on) are tokens that the pattern would part if they stood alone."""
 
-    def __init__(self, ranks: dict[bytes, int], hot: pa.Table):
+    def __init__(self, ranks: dict[bytes, int], hot: pa.Table, find):
         own = {}
         for t, r in ranks.items():
             try:
                 own[t.decode()] = r
             except UnicodeDecodeError:
                 pass
+        parted = [t for t in own if find(t) != [t]]
+        plain = [t for t in own if t not in set(parted)]
         hot = hot.combine_chunks()
         words, ids = hot["word"].combine_chunks(), hot["ids"].combine_chunks()
         flat, offsets = _lists(ids)
-        self.words = pa.concat_arrays([pa.array(list(own), pa.string()), words.cast(pa.string())])
-        self.ids = np.concatenate([np.array(list(own.values()), np.int32), flat.to_numpy(zero_copy_only=False).astype(np.int32)])
-        self.length = np.concatenate([np.ones(len(own), np.int64), np.diff(offsets)])
+        rank = lambda some: np.array([own[t] for t in some], np.int32)
+        self.words = pa.concat_arrays([pa.array(plain, pa.string()), words.cast(pa.string()), pa.array(parted, pa.string())])
+        self.whole = len(plain) + len(words)
+        self.ids = np.concatenate([rank(plain), flat.to_numpy(zero_copy_only=False).astype(np.int32), rank(parted)])
+        self.length = np.concatenate([np.ones(len(plain), np.int64), np.diff(offsets), np.ones(len(parted), np.int64)])
         self.start = np.cumsum(self.length) - self.length
 
+    def number(self, words: pa.Array) -> np.ndarray:
+        """Place of each word here, or -1."""
+        return pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy().astype(np.int64)
+
 
 def _slices(offsets: np.ndarray):
     """Ranges of whole texts with about STEP values together."""
@@ -208,47 +215,65 @@ def _list_array(offsets: np.ndarray, values) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
 
 
-def _split(words: pa.Array, code: np.ndarray, offsets: np.ndarray, known: Known, ranks: dict[bytes, int]) -> pa.Array:
-    """``code``: the known number of each of ``words``, or -1; ``offsets``: where texts begin."""
-    length, start, ids = known.length[code], known.start[code], known.ids
-    unknown = np.flatnonzero(code < 0)
+def _pretokens(unique: pa.Array, find) -> tuple[list[str], np.ndarray]:
+    """Pretokens of pieces one after the other, and how many each has."""
+    found = [find(p) for p in unique.cast(pa.string()).to_pylist()]
+    return [w for own in found for w in own], np.array([len(own) for own in found], np.int64)
+
+
+def _split(words: np.ndarray, offsets: np.ndarray, unknown_words: pa.Array, known: Known, ranks: dict[bytes, int]) -> pa.Array:
+    """``words``: the known number of each pretoken, or that of an unknown one after them; ``offsets``:
+    where texts begin."""
+    size, ids = pc.binary_length(unknown_words).to_numpy(), known.ids
+    length, start = np.append(known.length, np.zeros(len(size), np.int64))[words], np.append(known.start, np.zeros(len(size), np.int64))[words]
+    unknown = np.flatnonzero(words >= len(known.length))
     rare, rare_offsets = pa.array([], pa.string()), np.zeros(len(offsets), np.int64)
     if len(unknown):
-        coded = words.take(pa.array(unknown)).dictionary_encode()
-        word = coded.indices.to_numpy().astype(np.int64)
         doc = np.searchsorted(offsets, unknown, side="right") - 1
-        size = pc.binary_length(coded.dictionary).to_numpy()
-        pair, at = np.unique(doc * len(size) + word, return_inverse=True)
+        pair, at = np.unique(doc * len(size) + words[unknown] - len(known.length), return_inverse=True)
         pair_doc, pair_word = np.divmod(pair, len(size))
         short = size[pair_word] <= LONG
-        rare = coded.dictionary.take(pa.array(pair_word[short]))
+        rare = unknown_words.take(pa.array(pair_word[short]))
         rare_offsets[1:] = np.cumsum(np.bincount(pair_doc[short], minlength=len(offsets) - 1))
         extra = (rare_offsets[pair_doc] - np.cumsum(short)).astype(np.int32)  # -1 - its place among its text's rare ones
         own = np.ones(len(pair), np.int64)
         if not short.all():
-            merged = {w: np.array(merge_long(coded.dictionary[w].as_py().encode(), ranks), np.int32) for w in np.flatnonzero(size > LONG)}
+            merged = {w: np.array(merge_long(unknown_words[w].as_py().encode(), ranks), np.int32) for w in np.flatnonzero(size > LONG)}
             parts = [extra[k : k + 1] if s else merged[w] for k, (s, w) in enumerate(zip(short, pair_word))]
             own, extra = np.array([len(p) for p in parts]), np.concatenate(parts)
         length[unknown] = own[at]
         start[unknown] = len(ids) + (np.cumsum(own) - own)[at]
         ids = np.concatenate([ids, extra])
-    out = _gather(ids, start, length)
+    out = ids[ragged(start, length)]
     ends = np.append(0, np.cumsum(length))[offsets]
     return pa.StructArray.from_arrays([_list_array(ends, pa.array(out, pa.int32())), _list_array(rare_offsets, rare)], ["ids", "rare"])
 
 
-def _splitter(shared):
+def _splitter(shared, pattern: str):
+    cut = cuts if pattern == BYTE_LEVEL else None
+
     @F.arrow_udf(T.StructType([T.StructField("ids", _IDS), T.StructField("rare", T.ArrayType(T.StringType()))]))
-    def split(words: pa.Array) -> pa.Array:
+    def split(texts: pa.Array) -> pa.Array:
         """Ids of the known pretokens of each text; -1 - k for its k-th distinct rare one."""
-        known, ranks = shared.value
-        flat, offsets = _lists(words)
-        code = pc.fill_null(pc.index_in(flat, value_set=known.words), -1).to_numpy()
-        parts = []
-        for lo, hi in _slices(offsets):
-            a, b = offsets[lo], offsets[hi]
-            parts.append(_split(flat.slice(a, b - a), code[a:b], offsets[lo : hi + 1] - a, known, ranks))
-        return pa.concat_arrays(parts) if parts else _split(flat, code, offsets, known, ranks)
+        (known, ranks), find = shared.value, finder(pattern)
+        texts, parts = pc.fill_null(texts, ""), []
+        for lo, hi in steps(texts):
+            unique, number, begin = pieces(texts.slice(lo, hi - lo), cut)
+            code = known.number(unique.cast(pa.string()))
+            other = np.flatnonzero((code < 0) | (code >= known.whole))
+            flat, n = _pretokens(unique.take(pa.array(other)), find)
+            words = pa.array(flat, pa.string())
+            own = known.number(words)
+            new = own < 0
+            coded = words.filter(pa.array(new)).dictionary_encode()
+            own[new] = len(known.length) + coded.indices.to_numpy()
+            length, start = np.ones(len(code), np.int64), np.arange(len(code))
+            length[other], start[other] = n, len(code) + np.cumsum(n) - n
+            length, start = length[number], start[number]
+            offsets = np.append(0, np.cumsum(length))[begin]
+            parts.append(_split(np.append(code, own)[ragged(start, length)], offsets, coded.dictionary, known, ranks))
+        none = pa.array([], pa.struct([("ids", pa.list_(pa.int32())), ("rare", pa.list_(pa.string()))]))
+        return pa.concat_arrays(parts) if parts else none
 
     return split
 
@@ -267,7 +292,7 @@ def _joined(ids: pa.Array, folded: pa.Array) -> pa.Array:
     length, start = np.ones(len(flat), np.int64), np.arange(len(flat))
     length[marks] = np.diff(begin)[which]
     start[marks] = len(flat) + begin[which]
-    out = _gather(np.concatenate([flat, rare]), start, length)
+    out = np.concatenate([flat, rare])[ragged(start, length)]
     ends = np.append(0, np.cumsum(length))[offsets]
     return _list_array(ends, pa.array(out, pa.int32()))
 
@@ -307,13 +332,29 @@ def decoder(spark: SparkSession, ranks: dict[bytes, int]):
     return decode
 
 
-def frequent(docs: DataFrame, pretokens: Column, most: int) -> DataFrame:
-    """``word`` of the most frequent pretokens of all texts: those counted often enough that ``most`` suffice."""
+def _counter(pattern: str):
+    cut = cuts if pattern == BYTE_LEVEL else None
+
+    def run(batches):
+        find = finder(pattern)
+        for batch in batches:
+            texts = pc.fill_null(batch.column(0), "")
+            for lo, hi in steps(texts):
+                unique, number, _ = pieces(texts.slice(lo, hi - lo), cut)
+                flat, n = _pretokens(unique, find)
+                often = np.repeat(np.bincount(number, minlength=len(unique)), n)
+                yield pa.RecordBatch.from_arrays([pa.array(flat, pa.string()), pa.array(often, pa.int64())], names=["word", "n"])
+
+    return run
+
+
+def frequent(docs: DataFrame, pattern: str, most: int) -> DataFrame:
+    """``word`` of the most frequent pretokens of ``docs(text)``: those counted often enough that ``most`` suffice."""
     counted = stored(
-        docs.select(F.explode(pretokens).alias("word"))
+        docs.mapInArrow(_counter(pattern), "word string, n long")
         .where((F.octet_length("word") <= LONG) & (F.octet_length("word") > 1))
         .groupBy("word")
-        .agg(F.count("*").alias("n"))
+        .agg(F.sum("n").alias("n"))
         .where("n > 1"),
         "bpe-counts",
     )
@@ -329,13 +370,12 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     empty result."""
     spark = docs.sparkSession
     fold = Fold(spark, ranks)
-    pretokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(java_pattern(pattern)), F.lit(0))
-    words = frequent(docs.select(text), pretokens, hot)
+    words = frequent(docs.select(text), pattern, hot)
     folded = fold.add(words.select("word", F.array("word").alias("own")), "own", "ids").select("word", F.get("ids", F.lit(0)).alias("ids"))
-    known = Known(ranks, folded.toArrow())  # ``hot`` rows at most
-    split = _splitter(spark.sparkContext.broadcast((known, ranks)))
+    known = Known(ranks, folded.toArrow(), finder(pattern))  # ``hot`` rows at most
+    split = _splitter(spark.sparkContext.broadcast((known, ranks)), pattern)
     kept = docs.drop(out)
-    parts = kept.withColumn("__bpe_split", split(pretokens)).withColumn("__bpe_rare", F.col("__bpe_split.rare"))
+    parts = docs.withColumn("__bpe_split", split(F.col(text))).withColumn("__bpe_rare", F.col("__bpe_split.rare"))
     folded = fold.add(parts, "__bpe_rare", "__bpe_folded")
     columns = [F.col(f"`{c}`") for c in kept.columns]
     schema = T.StructType([*kept.schema.fields, T.StructField(out, _IDS)])

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import shared_dir
+from .pretokens import pieces, ragged, steps
 
 MAGIC = b"RPS1"
 _HEAD = struct.Struct("<4sIIIQQ")
@@ -43,8 +44,6 @@ SPREAD = 64
 _SLOTS = 20
 #: Pieces that a Python worker remembers, and the longest of them in bytes.
 KEEP, KEEP_BYTES = 600_000, 64
-#: Bytes of text encoded at once.
-STEP = 1 << 22
 
 
 def _slot(keys: np.ndarray) -> np.ndarray:
@@ -58,12 +57,13 @@ def _counted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[begin], np.diff(np.append(begin, len(key)))
 
 
-def _round(seq: np.ndarray, last: np.ndarray):
+def _round(seq: np.ndarray, last: np.ndarray, live: np.ndarray):
     """Places whose pair is to be replaced, the pair of each (its number among those used), and the
-    pairs used as rows. None of the places overlap, and no pair is used under LEAST_COUNT times."""
+    pairs used as rows. None of the places overlap, and no pair is used under LEAST_COUNT times. Takes
+    from ``live`` the places whose pair is not frequent: it never will be, unless a new symbol comes."""
     none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
-    free = ~last[:-1]
-    same = np.flatnonzero((seq[:-1] == seq[1:]) & free)
+    free = live[:-1] & ~last[:-1]
+    same = np.flatnonzero((seq[:-1] == seq[1:]) & ~last[:-1])
     if len(same):  # in a run of one symbol every other pair counts
         begin = np.maximum.accumulate(np.where(np.append(True, np.diff(same) > 1), np.arange(len(same)), 0))
         free[same[(np.arange(len(same)) - begin) % 2 == 1]] = False
@@ -72,16 +72,18 @@ def _round(seq: np.ndarray, last: np.ndarray):
         return none
     key = (seq[places].astype(np.uint64) << np.uint64(32)) | seq[places + 1]
     keys, n = _counted(key)
-    if n.max() < LEAST_COUNT:
+    often = n >= LEAST_COUNT
+    if not often.any():
         return none
-    often = n >= max(LEAST_COUNT, n.max() // SPREAD)
     keys, n = keys[often], n[often]
     order = np.argsort(-n, kind="stable")
-    keys = keys[order]  # a pair's number is now its rank
+    keys, n = keys[order], n[order]  # a pair's number is now its rank
     table = np.full(1 << _SLOTS, -1, np.int32)
     table[_slot(keys)[::-1]] = np.arange(len(keys), dtype=np.int32)[::-1]  # pairs of one slot: the first now, others later
     pair = table[_slot(key)]
-    hit = np.flatnonzero(pair >= 0)
+    live[places[pair < 0]] = False
+    now = int(np.searchsorted(-n, -max(LEAST_COUNT, n[0] // SPREAD), side="right"))
+    hit = np.flatnonzero((pair >= 0) & (pair < now))
     hit = hit[keys[pair[hit]] == key[hit]]
     places, pair = places[hit], pair[hit]
     before = (np.diff(places, prepend=-2) == 1) & (np.append(len(keys), pair[:-1]) < pair)
@@ -99,25 +101,27 @@ def compress(ids: np.ndarray, lengths: np.ndarray, terminals: int):
     """Re-Pair over the documents of ``lengths`` ids: (symbols, symbols per document, rules,
     expansion lengths)."""
     seq = ids.astype(np.uint32)
-    last = np.zeros(len(seq), bool)
+    last, live = np.zeros(len(seq), bool), np.ones(len(seq), bool)
     last[np.cumsum(lengths) - 1] = True
-    rules, sizes, n = [], [np.ones(terminals, np.int64)], terminals
+    rules, size, n = [], np.ones(terminals, np.int64), terminals
     while len(seq) > 1:
-        places, number, pairs = _round(seq, last)
+        places, number, pairs = _round(seq, last, live)
         if not len(places):
             break
         seq[places] = n + number
         last[places] |= last[places + 1]
+        live[places] = True
         keep = np.ones(len(seq), bool)
         keep[places + 1] = False
-        seq, last = seq[keep], last[keep]
-        size = np.concatenate(sizes)
-        sizes = [size, size[pairs[:, 0]] + size[pairs[:, 1]]]
+        seq, last, live = seq[keep], last[keep], live[keep]
+        fresh = np.flatnonzero(seq >= n)
+        live[fresh] = live[np.maximum(fresh - 1, 0)] = True
+        size = np.append(size, size[pairs[:, 0]] + size[pairs[:, 1]])
         rules.append(pairs)
         n += len(pairs)
     ends = np.flatnonzero(last)
     table = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
-    return seq, np.diff(np.append(-1, ends)), table, np.concatenate(sizes)[terminals:]
+    return seq, np.diff(np.append(-1, ends)), table, size[terminals:]
 
 
 def pack(doc_ids: list[int], ids: np.ndarray, lengths: np.ndarray, before: int, terminals: int) -> bytes:
@@ -131,12 +135,6 @@ def pack(doc_ids: list[int], ids: np.ndarray, lengths: np.ndarray, before: int,
     )
 
 
-def _ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """start, start + 1, ... of each, ``length`` places, one after the other."""
-    begin = np.cumsum(length) - length
-    return np.repeat(start - begin, length) + np.arange(int(length.sum()))
-
-
 class Shard:
     """Reader of one packed shard."""
 
@@ -177,9 +175,9 @@ class Shard:
             stop = done + int(later[0]) if len(later) else len(self.rules)
             both = self.rules[done:stop].ravel()
             lo, hi = where[self.terminals + done], where[self.terminals + stop - 1] + self.sizes[self.terminals + stop - 1]
-            flat[lo:hi] = flat[_ragged(where[both], self.sizes[both])]
+            flat[lo:hi] = flat[ragged(where[both], self.sizes[both])]
             done = stop
-        return flat[_ragged(where[self.symbols], self.sizes[self.symbols])]
+        return flat[ragged(where[self.symbols], self.sizes[self.symbols])]
 
     def slice(self, doc: int, start: int, stop: int) -> np.ndarray:
         """Ids ``start`` to ``stop`` of document ``doc`` (place in the shard), by random access."""
@@ -192,38 +190,6 @@ class Shard:
         return self._expand(own[lo : hi + 1])[start - skipped : max(start, stop) - skipped]
 
 
-#: Classes of bytes: 0 unknown, 1 letter, 2 digit, 3 punctuation.
-_CLASS = np.array(
-    [1 if chr(b).isalpha() else 2 if chr(b).isdigit() else 3 if 0x20 < b < 0x7F else 0 for b in range(128)] + [0] * 128, np.uint8
-)
-#: First bytes of two-byte letters (U+00C0 to U+023F, two signs excepted below).
-_LATIN = np.isin(np.arange(256), [0xC3, 0xC4, 0xC5, 0xC6, 0xC7, 0xC8])
-#: Bytes that may begin white space, controls included.
-_MAYBE_SPACE = np.array([b <= 0x20 or b in (0x7F, 0xC2, 0xE1, 0xE2, 0xE3) for b in range(256)])
-
-
-def cuts(data: np.ndarray) -> np.ndarray:
-    """Whether a text of these UTF-8 bytes may be cut before each, so that the parts encode as the
-    whole does. The byte-level pre-tokeniser looks ahead only for white space after white space, so
-    it may be cut: before a space that no white space follows; where letters, digits and
-    punctuation meet, but not after an apostrophe; around a line feed between plain characters."""
-    kind = _CLASS[data]
-    two = np.flatnonzero(_LATIN[data[:-1]]) if len(data) else np.zeros(0, np.int64)
-    two = two[(data[two] != 0xC3) | ((data[two + 1] != 0x97) & (data[two + 1] != 0xB7))]
-    kind[two] = kind[two + 1] = 1
-    out = np.zeros(len(data), bool)
-    if len(data) < 2:
-        return out
-    plain = kind > 0
-    out[1:] = plain[1:] & plain[:-1] & (kind[1:] != kind[:-1]) & (data[:-1] != 0x27)
-    space = np.flatnonzero(data[:-1] == 0x20)
-    out[space] = ~_MAYBE_SPACE[data[space + 1]]
-    feed = np.flatnonzero(data[1:-1] == 0x0A) + 1
-    feed = feed[plain[feed - 1] & plain[feed + 1]]
-    out[feed] = out[feed + 1] = True
-    return out
-
-
 class Encoder:
     """The tokenizer of one Python worker, with the ids of the pieces that it has met, over all its
     tasks. The memory only saves work: a full one is emptied."""
@@ -275,7 +241,7 @@ class Encoder:
         order = np.argsort(~np.array(simple, bool), kind="stable")  # where each piece of flat comes from
         back = np.empty(len(new), np.int64)
         back[order] = np.arange(len(new))
-        return flat[_ragged(start[back], size[back])], size[back]
+        return flat[ragged(start[back], size[back])], size[back]
 
     def _numbers(self, unique: list[bytes]) -> np.ndarray:
         """Place of each piece in ``start`` and ``length``, unknown pieces learnt."""
@@ -296,32 +262,16 @@ class Encoder:
             self.pieces.update((p, first + k) for k, p in enumerate(own) if len(p) <= KEEP_BYTES)
         return at
 
-    def _cut(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of whole texts that lie one after the other, and the number of ids of each."""
-        begins = cuts(data)
-        begins[offsets[:-1][offsets[:-1] < len(data)]] = True
-        at = np.append(np.flatnonzero(begins), len(data))
-        pieces = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)])
-        coded = pieces.dictionary_encode()
-        number = self._numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-        length = self.length[number]
-        ends = np.append(0, np.cumsum(length))
-        return self.ids[_ragged(self.start[number], length)], np.diff(ends[np.searchsorted(at, offsets)])
-
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (without nulls) one after the other, and the number of ids of each."""
         special = np.zeros(len(texts), bool)
         for s in self.special:
             special |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
         cut = np.flatnonzero(~special)
-        some = texts if len(cut) == len(texts) else texts.take(pa.array(cut))
-        own, offsets = np.zeros(0, np.uint8), np.zeros(1, np.int64)
-        if len(some):
-            offsets = np.frombuffer(some.buffers()[1], np.int32)[some.offset : some.offset + len(some) + 1].astype(np.int64)
-            if some.buffers()[2] is not None:
-                own = np.frombuffer(some.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-            offsets = offsets - offsets[0]
-        ids, n = self._cut(own, offsets) if len(own) else (np.zeros(0, np.uint32), np.zeros(len(cut), np.int64))
+        unique, number, begin = pieces(texts.take(pa.array(cut)) if special.any() else texts)
+        number = self._numbers(unique.to_pylist())[number]
+        length = self.length[number]
+        ids, n = self.ids[ragged(self.start[number], length)], np.diff(np.append(0, np.cumsum(length))[begin])
         if not special.any():
             return ids, n
         whole = self._each([t.as_py() for t, s in zip(texts, special) if s])
@@ -331,20 +281,15 @@ class Encoder:
         start = np.zeros(len(texts), np.int64)
         start[cut] = np.cumsum(n) - n
         start[special] = len(ids) + np.cumsum(sizes[special]) - sizes[special]
-        return flat[_ragged(start, sizes)], sizes
+        return flat[ragged(start, sizes)], sizes
 
 
-def _steps(batches):
-    """(ids, texts) of runs of whole documents of about STEP bytes."""
+def _runs(batches):
+    """(ids, texts) of whole documents, some at a time; null texts are empty."""
     for batch in batches:
         texts = pc.fill_null(batch.column(1), "")
-        size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
-        lo = 0
-        while lo < len(texts):
-            done = size[lo - 1] if lo else 0
-            hi = max(lo + 1, int(np.searchsorted(size, done + STEP, side="right")))
+        for lo, hi in steps(texts):
             yield batch.column(0).slice(lo, hi - lo).to_pylist(), texts.slice(lo, hi - lo)
-            lo = hi
 
 
 def _writer(path: str, end_id: int, terminals: int):
@@ -366,7 +311,7 @@ def _writer(path: str, end_id: int, terminals: int):
             shard, before, docs, parts, sizes, held = shard + 1, before + len(ids), [], [], [], 0
             return row
 
-        for doc_ids, texts in _steps(batches):
+        for doc_ids, texts in _runs(batches):
             ids, n = encoder.encode(texts)
             ends = np.cumsum(n)
             both = np.insert(ids, ends, end_id)  # the end id after the last of each
