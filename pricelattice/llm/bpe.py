@@ -160,8 +160,8 @@ class Fold:
                     F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), left, right, F.slice(r, i + 2, n)).alias("r"),
                 )
 
-            found = _let(F.array_min(r), lambda new: _let(F.array_position(r, new).cast("int"), lambda i: at(new, i)))
-            return F.when(F.array_min(r).isNull(), acc).otherwise(found)
+            place = lambda new: _let(F.array_position(r, new).cast("int"), lambda i: at(new, i))
+            return _let(F.array_min(r), lambda new: F.when(new.isNull(), acc).otherwise(place(new)))
 
         return F.aggregate(F.sequence(F.lit(2), F.octet_length(word)), start, merge, lambda acc: acc["p"])
 
@@ -252,30 +252,34 @@ def _split(words: np.ndarray, offsets: np.ndarray, unknown_words: pa.Array, know
 def _splitter(shared, pattern: str):
     cut = cuts if pattern == BYTE_LEVEL else None
 
-    @F.arrow_udf(T.StructType([T.StructField("ids", _IDS), T.StructField("rare", T.ArrayType(T.StringType()))]))
-    def split(texts: pa.Array) -> pa.Array:
+    def split(texts: pa.Array, known: Known, ranks: dict[bytes, int], find) -> pa.Array:
         """Ids of the known pretokens of each text; -1 - k for its k-th distinct rare one."""
+        unique, number, begin = pieces(texts, cut)
+        code = known.number(unique.cast(pa.string()))
+        other = np.flatnonzero((code < 0) | (code >= known.whole))
+        flat, n = _pretokens(unique.take(pa.array(other)), find)
+        words = pa.array(flat, pa.string())
+        own = known.number(words)
+        new = own < 0
+        coded = words.filter(pa.array(new)).dictionary_encode()
+        own[new] = len(known.length) + coded.indices.to_numpy()
+        length, start = np.ones(len(code), np.int64), np.arange(len(code))
+        length[other], start[other] = n, len(code) + np.cumsum(n) - n
+        length, start = length[number], start[number]
+        offsets = np.append(0, np.cumsum(length))[begin]
+        return _split(np.append(code, own)[ragged(start, length)], offsets, coded.dictionary, known, ranks)
+
+    def run(batches):
         (known, ranks), find = shared.value, finder(pattern)
-        texts, parts = pc.fill_null(texts, ""), []
-        for lo, hi in steps(texts):
-            unique, number, begin = pieces(texts.slice(lo, hi - lo), cut)
-            code = known.number(unique.cast(pa.string()))
-            other = np.flatnonzero((code < 0) | (code >= known.whole))
-            flat, n = _pretokens(unique.take(pa.array(other)), find)
-            words = pa.array(flat, pa.string())
-            own = known.number(words)
-            new = own < 0
-            coded = words.filter(pa.array(new)).dictionary_encode()
-            own[new] = len(known.length) + coded.indices.to_numpy()
-            length, start = np.ones(len(code), np.int64), np.arange(len(code))
-            length[other], start[other] = n, len(code) + np.cumsum(n) - n
-            length, start = length[number], start[number]
-            offsets = np.append(0, np.cumsum(length))[begin]
-            parts.append(_split(np.append(code, own)[ragged(start, length)], offsets, coded.dictionary, known, ranks))
-        none = pa.array([], pa.struct([("ids", pa.list_(pa.int32())), ("rare", pa.list_(pa.string()))]))
-        return pa.concat_arrays(parts) if parts else none
-
-    return split
+        for batch in batches:
+            *kept, texts = batch.columns
+            texts = pc.fill_null(texts, "")
+            for lo, hi in steps(texts):
+                out = split(texts.slice(lo, hi - lo), known, ranks, find)
+                columns = [*(c.slice(lo, hi - lo) for c in kept), out.field("ids"), out.field("rare")]
+                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "__bpe_ids", "__bpe_rare"])
+
+    return run
 
 
 def _joined(ids: pa.Array, folded: pa.Array) -> pa.Array:
@@ -297,35 +301,47 @@ def _joined(ids: pa.Array, folded: pa.Array) -> pa.Array:
     return _list_array(ends, pa.array(out, pa.int32()))
 
 
-def _join(batches):
-    for batch in batches:
-        *kept, ids, folded = batch.columns
-        parts = [_joined(ids.slice(lo, hi - lo), folded.slice(lo, hi - lo)) for lo, hi in _slices(_lists(ids)[1])]
-        yield pa.RecordBatch.from_arrays([*kept, pa.concat_arrays(parts) if parts else ids], names=batch.schema.names[:-1])
+def _id_bytes(ids: pa.Array) -> pa.Array:
+    flat, offsets = _lists(ids)
+    data = flat.to_numpy(zero_copy_only=False).astype("<u4").tobytes()
+    return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer((offsets * 4).astype(np.int32)), pa.py_buffer(data)])
 
 
-@F.arrow_udf(T.BinaryType())
-def id_bytes(ids: pa.Array) -> pa.Array:
-    """The ids as little-endian unsigned 32-bit integers; null for null."""
-    flat, offsets = _lists(pc.fill_null(ids, []) if ids.null_count else ids)
-    data = flat.to_numpy(zero_copy_only=False).astype("<u4").tobytes()
-    out = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer((offsets * 4).astype(np.int32)), pa.py_buffer(data)])
-    return pc.if_else(ids.is_valid(), out, None) if ids.null_count else out
+def _decoded(ids: pa.Array, by_id: pa.Array) -> pa.Array:
+    flat, offsets = _lists(ids)
+    return pc.binary_join(_list_array(offsets, by_id.take(flat)), b"")
 
 
-def decoder(spark: SparkSession, ranks: dict[bytes, int]):
-    """A function of a column of ids to the bytes that they stand for; an id without a token stands for none."""
+def _pieces_by_id(ranks: dict[bytes, int]) -> pa.Array:
     by_id = {r: t for t, r in ranks.items()}
-    shared = spark.sparkContext.broadcast([by_id.get(k, b"") for k in range(max(by_id) + 1)])
+    return pa.array([by_id.get(k, b"") for k in range(max(by_id) + 1)], pa.binary())
+
+
+def _joiner(shared, more: list[str]):
+    """Put the ids in place; ``more`` names id_bytes and decoded columns (or None)."""
+
+    def run(batches):
+        by_id = shared.value
+        for batch in batches:
+            *kept, ids, folded = batch.columns
+            for lo, hi in _slices(_lists(ids)[1]):
+                own = _joined(ids.slice(lo, hi - lo), folded.slice(lo, hi - lo))
+                columns = [*(c.slice(lo, hi - lo) for c in kept), own]
+                columns += [f(own) for name, f in zip(more, (_id_bytes, lambda x: _decoded(x, by_id))) if name]
+                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], *filter(None, more)])
+
+    return run
+
+
+def decoder(spark: SparkSession, ranks: dict[bytes, int]):
+    """A function of a column of ids to the bytes that they stand for: the pieces of the ids, concatenated. An
+    id without a token stands for none; null for null."""
+    shared = spark.sparkContext.broadcast(_pieces_by_id(ranks))
 
     @F.arrow_udf(T.BinaryType())
     def decode(ids: pa.Array) -> pa.Array:
-        pieces = pa.array(shared.value, pa.binary())
-        flat, offsets = _lists(pc.fill_null(ids, []) if ids.null_count else ids)
-        parts = []
-        for lo, hi in _slices(offsets):
-            own = pieces.take(flat.slice(offsets[lo], offsets[hi] - offsets[lo]))
-            parts.append(pc.binary_join(_list_array(offsets[lo : hi + 1] - offsets[lo], own), b""))
+        whole = pc.fill_null(ids, []) if ids.null_count else ids
+        parts = [_decoded(whole.slice(lo, hi - lo), shared.value) for lo, hi in _slices(_lists(whole)[1])]
         out = pa.concat_arrays([pa.array([], pa.binary()), *parts])
         return pc.if_else(ids.is_valid(), out, None) if ids.null_count else out
 
@@ -363,20 +379,36 @@ def frequent(docs: DataFrame, pattern: str, most: int) -> DataFrame:
     return counted.where(F.col("n") >= (int(enough.min()) if len(enough) else 1 << 62)).select("word")
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", out: str = "ids", hot: int = HOT) -> DataFrame:
-    """Add ``out``: the ids of ``text`` as an array of ints. A null text counts as empty and has no
-    ids. Repeated rows and ties need no care: each row stands for itself. Other columns stay, but for
-    one named ``out``, which is replaced, and names that begin with ``__bpe_``. An empty table gives an
-    empty result."""
+def encode(
+    docs: DataFrame,
+    ranks: dict[bytes, int],
+    pattern: str,
+    text: str = "text",
+    out: str = "ids",
+    id_bytes: str | None = None,
+    decoded: str | None = None,
+    keep: list[str] | None = None,
+    hot: int = HOT,
+) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (all by default) and ``out``: the ids of ``text`` as an array of ints.
+    ``id_bytes`` and ``decoded`` name two more columns: the ids as little-endian unsigned 32-bit integers, and the
+    bytes that they decode to.
+
+    A null text counts as empty and has no ids. Repeated rows and ties need no care: each row stands for
+    itself. Columns of the new names are replaced; names that begin with ``__bpe_`` are not allowed. An empty table
+    gives an empty result."""
     spark = docs.sparkSession
     fold = Fold(spark, ranks)
     words = frequent(docs.select(text), pattern, hot)
     folded = fold.add(words.select("word", F.array("word").alias("own")), "own", "ids").select("word", F.get("ids", F.lit(0)).alias("ids"))
     known = Known(ranks, folded.toArrow(), finder(pattern))  # ``hot`` rows at most
-    split = _splitter(spark.sparkContext.broadcast((known, ranks)), pattern)
-    kept = docs.drop(out)
-    parts = docs.withColumn("__bpe_split", split(F.col(text))).withColumn("__bpe_rare", F.col("__bpe_split.rare"))
-    folded = fold.add(parts, "__bpe_rare", "__bpe_folded")
-    columns = [F.col(f"`{c}`") for c in kept.columns]
-    schema = T.StructType([*kept.schema.fields, T.StructField(out, _IDS)])
-    return folded.select(*columns, F.col("__bpe_split.ids").alias(out), "__bpe_folded").mapInArrow(_join, schema)
+    send = spark.sparkContext.broadcast
+    more = [id_bytes, decoded]
+    kept = docs.select(*[F.col(f"`{c}`") for c in (keep or docs.columns) if c not in (out, id_bytes, decoded)])
+    fields, ids = kept.schema.fields, T.StructField(out, _IDS)
+    rare = T.StructField("__bpe_rare", T.ArrayType(T.StringType()))
+    own = docs.select(*[F.col(f"`{c}`") for c in kept.columns], F.col(text).alias("__bpe_text"))
+    parts = own.mapInArrow(_splitter(send((known, ranks)), pattern), T.StructType([*fields, T.StructField("__bpe_ids", _IDS), rare]))
+    placed = fold.add(parts, "__bpe_rare", "__bpe_folded").withColumnRenamed("__bpe_ids", out).drop("__bpe_rare")
+    schema = T.StructType([*fields, ids, *(T.StructField(c, T.BinaryType()) for c in more if c)])
+    return placed.mapInArrow(_joiner(send(_pieces_by_id(ranks)), more), schema)

@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 #: Fixed value: the pattern of byte-level pretokens that ``cuts`` is made for.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of text handled at once.
-STEP = 1 << 22
+STEP = 1 << 21
 #: Classes of bytes: 0 unknown, 1 letter, 2 digit, 3 punctuation.
 _CLASS = np.array(
     [1 if chr(b).isalpha() else 2 if chr(b).isdigit() else 3 if 0x20 < b < 0x7F else 0 for b in range(128)] + [0] * 128, np.uint8

@@ -75,16 +75,13 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from .bpe import decoder, encode, id_bytes, read_ranks
+    from .bpe import encode, read_ranks
 
     ranks = read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = encode(docs, ranks, public_tokenizers.PATTERN).select("doc_id", "ids")
+    docs = table(spark, sf_dir, "documents")
+    ids = encode(docs, ranks, public_tokenizers.PATTERN, id_bytes="raw", decoded="back", keep=["doc_id"])
     return ids.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(id_bytes(F.col("ids")), 256).alias("ids_sha256"),
-        F.sha2(decoder(spark, ranks)(F.col("ids")), 256).alias("decoded_sha256"),
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("raw", 256).alias("ids_sha256"), F.sha2("back", 256).alias("decoded_sha256")
     )
 
 

@@ -6,7 +6,7 @@ import public_tokenizers as P
 import tiktoken
 from pyspark.sql import functions as F
 
-from pricelattice.llm.bpe import LONG, decoder, displaced, encode, id_bytes, merge_long, merges, read_ranks
+from pricelattice.llm.bpe import LONG, decoder, displaced, encode, merge_long, merges, read_ranks
 
 RANKS = read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
 LIB = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=RANKS, special_tokens={})
@@ -15,15 +15,14 @@ LIB = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=RANKS, special
 def check(spark, texts, schema="doc_id long, text string, ids string, w int", hot=1 << 19):
     rows = [(i, t, "x", 1) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, schema)
-    ids = F.col("ids")
-    out = encode(df, RANKS, P.PATTERN, hot=hot).select(
-        "text", "ids", "w", decoder(spark, RANKS)(ids).alias("back"), F.sha2(id_bytes(ids), 256).alias("sha")
-    )
+    out = encode(df, RANKS, P.PATTERN, id_bytes="raw", decoded="back", hot=hot)
+    assert out.columns == ["doc_id", "text", "w", "ids", "raw", "back"]
+    out = out.select("*", F.sha2("raw", 256).alias("sha"), decoder(spark, RANKS)(F.col("ids")).alias("again"))
     got = out.collect()
     assert len(got) == len(texts)
     for r in got:
         want = LIB.encode_ordinary(r.text or "")
-        assert r.ids == want and bytes(r.back) == (r.text or "").encode()
+        assert r.ids == want and bytes(r.back) == bytes(r.again) == (r.text or "").encode()
         assert r.sha == hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest()
 
 
