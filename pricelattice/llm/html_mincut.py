@@ -19,9 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: A comment, declaration or tag. Nothing in it is tried twice, and one that never ends takes the rest of the
+#: page, as in browsers, so that a page is read in linear time.
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))?)*+)(?:>|\Z)",
     re.S,
 )
 _ATTRIBUTE = re.compile(r"(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -36,16 +38,24 @@ INLINE = {
 CLOSED_BY_BLOCK = {"p"}
 ONE_OF = {"li": {"ul", "ol", "menu"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr"}, "th": {"tr"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}}
 BOILERPLATE_TAGS = {"nav", "footer", "aside", "form", "dialog", "menu", "button", "fieldset"}
-HINTS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|copyright|disclaimer|disqus|footer|foot|gdpr|header|legal|"
-    r"login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pager|pagination|popup|promo\w*|recommend\w*|related|replies|"
-    r"share|sharing|sidebar|side|signup|social|sponsor\w*|subscribe|tags?|toolbar|topbar|widget|alert|complementary|contentinfo)(?:$|[\s_-])",
+#: Names of boilerplate that say so in any compound, and others that say so standing alone.
+SURE = re.compile(
+    r"(?:^|[\s_-])(?:advert\w*|breadcrumbs?|comments?|cookies?|consent|disqus|footer|gdpr|nav|navbar|navigation|newsletter|pagination|"
+    r"related|share|sharing|sidebar|social|sponsor\w*|subscribe|complementary|contentinfo)(?:$|[\s_-])",
     re.I,
 )
+HINT = (
+    "ads?|banner|copyright|disclaimer|foot|header|legal|login|masthead|menu|modal|notice|pager|popup|promo\\w*|recommend\\w*|replies|"
+    "side|signup|tags?|toolbar|topbar|widget|alert"
+)
+ALONE = re.compile(rf"(?:^|\s)(?:{HINT})(?:$|\s)", re.I)
+PART = re.compile(rf"(?:^|[\s_-])(?:{HINT})(?:$|[\s_-])", re.I)
 CONTENT = re.compile(r"(?:^|[\s_-])(?:article|content|entry|main|post|story|body)(?:$|[\s_-])", re.I)
 
 #: Log-odds of the classifier.
-IN_ARTICLE, BAD_TAG, BAD_NAME, GOOD_NAME = 4.0, -9.0, -8.0, 2.0
+IN_ARTICLE, BAD_TAG, BAD_NAME, HINT_NAME, GOOD_NAME = 4.0, -9.0, -8.0, -3.0, 2.0
+#: For the blocks of a page without an article or main element.
+NO_ARTICLE = 1.0
 PARAGRAPH, HEADING, LONG_TEXT, SHORT_TEXT, LINKS = 1.5, 0.5, 1.5, -0.75, -4.0
 #: Cost of a change of label between blocks in a row, and more if they share a parent.
 NEXT, SIBLING = 0.4, 0.8
@@ -56,6 +66,7 @@ class Block:
     text: str
     parent: int
     score: float
+    in_article: bool
 
 
 def _collapse(parts: list[str]) -> str:
@@ -101,7 +112,9 @@ def blocks(page: str) -> list[Block]:
         if name in RAW:
             if not tag[1] and not tag[3].endswith("/"):
                 closing = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
-                at = closing.end() if closing else end
+                if not closing:
+                    break
+                at = closing.end()
             continue
         if name in ("br", "wbr"):
             parts.append(" " if name == "br" else "")
@@ -144,8 +157,10 @@ def _context(name: str, attributes: str, around: tuple[str, int, float, bool]) -
     if name in BOILERPLATE_TAGS or (name == "header" and not article) or name == "head":
         odds += BAD_TAG
     if names and name not in ("html", "body"):
-        if HINTS.search(names):
+        if SURE.search(names) or ALONE.search(names):
             odds += BAD_NAME
+        elif PART.search(names):
+            odds += HINT_NAME
         elif CONTENT.search(names):
             odds += GOOD_NAME
     return odds, article
@@ -159,7 +174,7 @@ def _scored(text: str, linked: int, stack: list) -> Block:
     odds += LONG_TEXT if words >= 20 else SHORT_TEXT if words < 6 and not article else 0
     if linked > 0.5 * len(text):
         odds += LINKS if not article else LINKS / 2
-    return Block(text, parent, odds)
+    return Block(text, parent, odds, article)
 
 
 def min_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -228,6 +243,9 @@ def min_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bo
 def labelled(page: str) -> list[tuple[Block, bool]]:
     """Blocks of a page and whether each is content."""
     found = blocks(page)
+    if not any(b.in_article for b in found):
+        for b in found:
+            b.score += NO_ARTICLE
     edges = [(k, k + 1, NEXT + (SIBLING if a.parent == b.parent else 0)) for k, (a, b) in enumerate(zip(found, found[1:]))]
     last: dict[int, int] = {}
     for k, b in enumerate(found):

@@ -1,3 +1,4 @@
+import time
 import html
 import itertools
 import random
@@ -57,3 +58,21 @@ def test_pages_table(spark):
         inner = re.sub(r"<!--.*?-->", "", r.html.split("<article>", 1)[1].split("</article>")[0], flags=re.S)
         want = [" ".join(html.unescape(re.sub(r"<br>", " ", x)).split()) for x in re.split(r"</?(?:p|h1)>", inner.replace("<b>", ""))]
         assert main_text(r.html) == " ".join(x for x in want if x)
+
+
+def test_unclosed_tags_take_linear_time():
+    for page in ("<a " * 100_000, "<p>x" + "<a href=" * 50_000, "<a title='" * 50_001, "<!--" * 50_000, "<script>" * 50_000, "<" * 200_000):
+        began = time.time()
+        main_text("<article><p>kept</p></article>" + page)
+        assert time.time() - began < 5
+    assert main_text("<article><p>kept <a title='>' x=\">\">b</a></p></article><a ") == "kept b"
+
+
+def test_names_that_hold_a_listed_word():
+    p = "<p>Taken with food this rarely does any harm to adults at all.</p>"
+    assert main_text(f'<article><div class="side-effects">{p}</div></article>').startswith("Taken")
+    assert main_text('<article><p class="notice-board-topic">Boards were hung in every hall.</p></article>').startswith("Boards")
+    assert main_text("<div>Hello world</div>") == "Hello world"
+    for name in ("sidebar", "comments", "comment-list", "ad", "footer-links", "notice"):
+        assert main_text(f'<article><p>Kept words of the main article text here.</p></article><div class="{name}">{p}</div>').startswith("Kept")
+        assert "Taken" not in main_text(f'<article><p>Kept words of the main article text here.</p></article><div class="{name}">{p}</div>')
