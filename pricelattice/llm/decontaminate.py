@@ -173,7 +173,7 @@ def projection(docs: DataFrame, idf: np.ndarray) -> np.ndarray:
     half = y @ (vec[:, good] / np.sqrt(lam[good]))
     u, s, _ = np.linalg.svd(half, full_matrices=False)
     r = int((s > s[:1].max(initial=0) * 1e-4).sum())
-    some = slice(SKIP if r > 2 * SKIP else 0, r)  # a small corpus has few directions: use all
+    some = slice(min(SKIP, r), r)  # none in a corpus of few directions: its matches come by the counts of rare words
     return (u[:, some] / np.maximum(s[some], 1e-12) * idf[:, None]).astype(np.float32)
 
 

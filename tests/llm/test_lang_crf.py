@@ -2,7 +2,7 @@ import itertools
 
 import numpy as np
 
-from pricelattice.llm.lang_crf import _Scores, forward_backward, identify, letters, train
+from pricelattice.llm.lang_crf import forward_backward, gradient, identify, label_words, letters, spans, train
 from pricelattice.llm.queries import op3_lang_crf
 
 
@@ -20,18 +20,50 @@ def test_marginals_match_enumeration():
         assert np.allclose(got[:n, s], want / want.sum(axis=1, keepdims=True))
 
 
+def test_gradient_matches_enumeration():
+    rng = np.random.default_rng(5)
+    score, move = rng.normal(size=(6, 3)), rng.normal(size=(3, 3))
+    words, labels = [np.array([0, 4, 2, 4]), np.array([5, 1])], [np.array([0, 1, 1, 2]), np.array([2, 2])]
+
+    def loss(s, m):
+        total = 0.0
+        for w, y in zip(words, labels, strict=True):
+            of = lambda path: sum(s[a, b] for a, b in zip(w, path)) + sum(m[a, b] for a, b in zip(path, path[1:]))
+            total += np.log(sum(np.exp(of(p)) for p in itertools.product(range(3), repeat=len(w)))) - of(y)
+        return total
+
+    by_word, by_move, n = gradient(words, labels, score, move)
+    assert n == 4
+    for x, got, which in ((score, by_word, 0), (move, by_move, 1)):
+        for at in np.ndindex(x.shape):
+            up, down = x.copy(), x.copy()
+            up[at] += 1e-5
+            down[at] -= 1e-5
+            slope = (loss(*((up, move) if which == 0 else (score, up))) - loss(*((down, move) if which == 0 else (score, down)))) / 2e-5
+            assert abs(slope - got[at]) < 1e-6
+
+
+def test_letters():
+    assert letters("½ ² ③ x² Ünï_co9de") == ["x", "ünï", "co", "de"] and letters(None) == []
+
+
 def test_code_switching(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang in ('en', 'de')").limit(300).collect()
     model = train([r.text for r in rows[:200]], [r.lang for r in rows[:200]])
     en, de = (next(r.text for r in rows[200:] if r.lang == x and len(r.text) > 300) for x in ("en", "de"))
-    words = letters(en)[:30] + letters(de)[:30]
-    scores = _Scores(model)
-    (ids,) = scores.of([words])
-    p = forward_backward(scores.table[ids][:, None, :].copy(), np.ones(60, int), np.exp(model.move))[:, 0]
-    top = [model.labels[k] for k in p.argmax(axis=1)]
+    (own,) = spans(model, [" ".join(letters(en)[:30] + letters(de)[:30])])
+    assert sum(s["n_words"] for s in own) == 60 and [s["first_word"] for s in own] == np.cumsum([0, *(s["n_words"] for s in own)])[:-1].tolist()
+    top = [s["lang"] for s in own for _ in range(s["n_words"])]
     assert sum(a == b for a, b in zip(top, ["en"] * 30 + ["de"] * 30, strict=True)) >= 54
 
 
+def test_spans_of_a_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    text = {r.doc_id: r.text for r in docs.collect()}
+    for r in label_words(docs).collect():
+        assert sum(s.n_words for s in r.spans) == len(letters(text[r.doc_id])) and all(0 <= s.probability <= 1 for s in r.spans)
+
+
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.01"
     got = op3_lang_crf(spark, d).toPandas()
