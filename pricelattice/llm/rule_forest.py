@@ -20,21 +20,21 @@ from .common import stored
 
 TREES = 128
 SUBSAMPLE = 256
-#: Labelled documents that set the threshold, by least hash of the id.
-SAMPLE = 20_000
 GOOD_WEIGHT = 3
+#: Scores are counted to so many places for the threshold.
+PLACES = 4
 #: The definitions of the base rules.
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\f\r"
 WINDOW = 5
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: What the forest sees. Repeated lines and words are left to the base rules: most texts have none, so
-#: that a forest isolates every text with a repeated footer.
-FEATURES = ["symbol_share", "upper_share", "mark_share"]
+#: that a forest isolates every text with a repeated footer (README has the figures).
+FEATURES = ["symbol_share", "upper_share", "mark_share", "word_length"]
 #: Shares are drawn to a usual value by so many words, so that short texts are not odd by chance.
-PRIOR_WORDS, USUAL_UPPER, USUAL_MARK = 20, 0.01, 0.17
+PRIOR_WORDS, USUAL_UPPER, USUAL_MARK, USUAL_LENGTH = 20, 0.01, 0.17, 5
 STATS = (
-    "id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
+    "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
     + ", ".join(f"{f} double" for f in FEATURES)
 )
 
@@ -81,6 +81,7 @@ def statistics(text: str | None) -> tuple:
         symbols / m,
         (upper + USUAL_UPPER * PRIOR_WORDS) / (n + PRIOR_WORDS),
         (n - letters + USUAL_MARK * PRIOR_WORDS) / (n + PRIOR_WORDS),
+        (chars + USUAL_LENGTH * PRIOR_WORDS) / (n + PRIOR_WORDS),
     )
 
 
@@ -88,7 +89,7 @@ def _all_statistics(batches):
     names = [c.split()[0] for c in STATS.split(", ")]
     for batch in batches:
         rows = [statistics(t) for t in batch["text"]]
-        out = pd.DataFrame(rows, columns=names[1:])
+        out = pd.DataFrame(rows, columns=names)
         out.insert(0, "id", batch["id"].to_numpy())
         yield out
 
@@ -153,21 +154,29 @@ class Forest:
         return 2.0 ** (-total / len(self.trees) / max(self._mean_path(self.size), 1e-9))
 
 
-def threshold(scores: np.ndarray, good: np.ndarray) -> float:
+def threshold(scores: np.ndarray, good: np.ndarray, bad: np.ndarray) -> float:
     """The cut that parts good (below) from bad with the best balanced accuracy, in which good texts
-    weigh GOOD_WEIGHT times as much, in the middle of the gap; above all scores if a kind is missing."""
-    if not good.any() or good.all():
+    weigh GOOD_WEIGHT times as much, in the middle of the gap; above all scores if a kind is missing.
+    ``good`` and ``bad`` count the texts of each of the distinct ``scores``."""
+    if not good.sum() or not bad.sum():
         return 2.0
-    order = np.argsort(scores, kind="stable")
-    s, g = scores[order], good[order]
-    kept_good = np.append(0, np.cumsum(g)) / g.sum()
-    kept_bad = np.append(0, np.cumsum(~g)) / (~g).sum()
-    ends = np.append(True, np.append(s[1:] > s[:-1], True))
-    gain = np.where(ends, GOOD_WEIGHT * kept_good - kept_bad, -2)
-    k = int(np.argmax(gain))
+    order = np.argsort(scores)
+    s = scores[order]
+    kept_good = np.append(0, np.cumsum(good[order])) / good.sum()
+    kept_bad = np.append(0, np.cumsum(bad[order])) / bad.sum()
+    k = int(np.argmax(GOOD_WEIGHT * kept_good - kept_bad))
     return float(s[0] if k == 0 else s[-1] + 1e-9 if k == len(s) else (s[k - 1] + s[k]) / 2)
 
 
+def least_by_hash(rows: DataFrame, k: int, key: list[str]) -> DataFrame:
+    """The ``k`` rows of least hash of ``key``. Rows that cannot be among them (hashes spread evenly, so a few
+    times the share suffices) go before the sort."""
+    share = min(1.0, 4 * k / max(1, rows.count()))
+    hashed = F.xxhash64(*key)
+    near = F.pmod(hashed, F.lit(1 << 30)) < int(share * (1 << 30)) + 1
+    return rows.where(near).orderBy(F.pmod(hashed, F.lit(1 << 30)), *key).limit(k)
+
+
 def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``id_col``, the base statistics, ``base_failed``, ``score`` (the
     anomaly score) and ``kept``.
@@ -177,26 +186,27 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     kinds only the base rules reject. An empty table gives an empty result. Other columns are ignored."""
     spark = docs.sparkSession
     plain = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    stats = stored(plain.mapInPandas(_all_statistics, STATS), "rule-stats")
+    kind = plain.schema["id"].dataType.simpleString()
+    stats = stored(plain.mapInPandas(_all_statistics, f"id {kind}, {STATS}"), "rule-stats")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     usual = stats.where(~failed)
-    drawn = usual.orderBy(F.xxhash64("id", *FEATURES), "id").limit(TREES * SUBSAMPLE).select(*FEATURES).toPandas()
-    known = (
-        labels.where("doc_id is not null and quality is not null")
-        .groupBy(F.col("doc_id").alias("id"))
-        .agg(F.max("quality").alias("quality"))
-        .orderBy(F.xxhash64("id"), "id")
-        .limit(SAMPLE)
-    )
-    marked = usual.join(known, "id").select(*FEATURES, "quality").toPandas()
+    drawn = least_by_hash(usual.select("id", *FEATURES), TREES * SUBSAMPLE, ["id", *FEATURES]).select(*FEATURES).toPandas()
     forest = Forest(drawn.to_numpy(np.float64))
-    cut_at = threshold(forest.score(marked[FEATURES].to_numpy(np.float64)), marked["quality"].to_numpy() == 1)
     shared = spark.sparkContext.broadcast(forest)
 
     @F.pandas_udf("double")
     def anomaly(*columns: pd.Series) -> pd.Series:
         return pd.Series(shared.value.score(np.column_stack([c.to_numpy(np.float64) for c in columns])))
 
+    known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("quality"))
+    marked = (
+        usual.join(known, "id")
+        .groupBy(F.round(anomaly(*FEATURES), PLACES).alias("score"))
+        .agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") != 1).alias("bad"))
+        .toPandas()  # a row for each score that occurs, 10**PLACES + 1 at most
+    )
+    cut_at = threshold(marked["score"].to_numpy(), marked["good"].to_numpy(), marked["bad"].to_numpy())
+
     return (
         stats.withColumn("base_failed", failed)
         .withColumn("score", anomaly(*FEATURES))

@@ -2,8 +2,10 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+
 from pricelattice.llm.queries import op2_rule_forest
-from pricelattice.llm.rule_forest import judged, repeat_words
+from pricelattice.llm.rule_forest import Forest, judged, least_by_hash, repeat_words, statistics, threshold
 
 
 def brute(text):
@@ -25,6 +27,56 @@ def test_repeat_words():
         assert repeat_words(words) == brute(" ".join(words))[4]
 
 
+def test_path_lengths_by_walking_the_trees():
+    rng = np.random.default_rng(3)
+    rows = rng.normal(size=(400, 3))
+    forest = Forest(rows, trees=7, subsample=64)
+    for row, got in zip(rows[:50], forest.score(rows[:50])):
+        total = 0.0
+        for feature, value, left, right, length in forest.trees:
+            k = 0
+            while feature[k] >= 0:
+                k = left[k] if row[feature[k]] < value[k] else right[k]
+            total += length[k]
+        assert abs(got - 2 ** (-total / 7 / Forest._mean_path(64))) < 1e-12
+    assert forest.score(np.array([[9.0, 9.0, 9.0]]))[0] > forest.score(np.zeros((1, 3)))[0]
+
+
+def test_threshold_is_the_best_cut():
+    rng = np.random.default_rng(4)
+    for _ in range(100):
+        s = np.sort(rng.choice(50, 12, replace=False)) / 50
+        good, bad = rng.integers(0, 5, 12), rng.integers(0, 5, 12)
+        if good.sum() and bad.sum():
+            gain = lambda c: 3 * good[s < c].sum() / good.sum() - bad[s < c].sum() / bad.sum()
+            assert abs(gain(threshold(s, good, bad)) - max(map(gain, [*s, 2.0]))) < 1e-12
+    assert threshold(np.array([0.1]), np.array([3]), np.array([0])) == 2.0
+
+
+def test_odd_texts_are_isolated(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect() if r.text]
+    rows = np.array([statistics(t)[5:] for t in texts if len(t) > 200])
+    forest = Forest(rows)
+    odd = [" ".join(["x" * 300] * 3 + ["a"] * 60), "### " * 60, "SHOUTING LOUD " * 30]
+    assert forest.score(np.array([statistics(t)[5:] for t in odd])).min() > np.quantile(forest.score(rows), 0.9)
+
+
+def test_draw(spark):
+    rows = spark.range(5_000).withColumnRenamed("id", "a")
+    assert least_by_hash(rows, 10_000, ["a"]).count() == 5_000 and least_by_hash(rows, 100, ["a"]).count() == 100
+
+
+def test_held_out_labels(spark):
+    """The threshold from half of the labels keeps good and rejects bad documents of the other half."""
+    d = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    quality = {r.doc_id: r.quality for r in labels.where("doc_id % 2 = 1").collect()}
+    rows = [r for r in judged(spark.read.parquet(f"{d}/documents.parquet"), labels.where("doc_id % 2 = 0")).collect() if not r.base_failed]
+    good = [r.kept for r in rows if quality.get(r.doc_id) == 1]
+    bad = [r.kept for r in rows if quality.get(r.doc_id) == 0]
+    assert sum(good) >= 0.97 * len(good) and sum(bad) <= 0.1 * len(bad)
+
+
 def test_documents(spark):
     d = "/root/testdata/sf0.01"
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
