@@ -203,15 +203,15 @@ def _scorer(shared, features: bool):
         for batch in batches:
             x = _pool(batch["__text"], vectors, index, buckets)
             out = batch.drop(columns="__text")
-            yield out.assign(features=list(x)) if features else out.assign(score=net.score(x).astype(float))
+            yield out.assign(__features=list(x)) if features else out.assign(__score=net.score(x).astype(float))
 
     return run
 
 
 def _pooled(docs: DataFrame, text: str, shared, features: bool) -> DataFrame:
-    """``docs`` without ``text``, with ``features`` or ``score``."""
+    """``docs`` without ``text``, with ``__features`` or ``__score``."""
     rest = [c for c in docs.columns if c != text]
-    field = T.StructField("features", T.ArrayType(T.FloatType())) if features else T.StructField("score", T.DoubleType())
+    field = T.StructField("__features", T.ArrayType(T.FloatType())) if features else T.StructField("__score", T.DoubleType())
     schema = T.StructType([*[docs.schema[c] for c in rest], field])
     return docs.select(*rest, _plain(F.col(text)).alias("__text")).mapInPandas(_scorer(shared, features), schema)
 
@@ -234,7 +234,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, sample: int = SAMPL
         docs.select("doc_id", F.col(text).alias("text")).join(known, "doc_id"), "text", shared, True
     ).toPandas()
     rows = rows.sort_values("doc_id", kind="stable")
-    x = np.stack(rows["features"].to_list()) if len(rows) else np.zeros((0, FEATURES), np.float32)
+    x = np.stack(rows["__features"].to_list()) if len(rows) else np.zeros((0, FEATURES), np.float32)
     net = train(x.astype(np.float64), rows["quality"].to_numpy(np.float64))
     return spark.sparkContext.broadcast((vectors, net))
 
@@ -253,11 +253,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, text: str = "text", id_col
     result. Other columns are ignored."""
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
     shared = fit(plain, labels.select("doc_id", "quality"), learnable())
-    return _pooled(plain, "text", shared, False).select(F.col("doc_id").alias(id_col), "score")
+    return _pooled(plain, "text", shared, False).select(F.col("doc_id").alias(id_col), F.col("__score").alias("score"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` (with ``doc_id``) whose score is at least ``least``, with all columns."""
     shared = fit(docs.select("doc_id", F.col(text).alias("text")), labels.select("doc_id", "quality"), learnable())
     scored = _pooled(docs.withColumn("__words_of", F.col(text)), "__words_of", shared, False)
-    return scored.where(F.col("score") >= least).select(*docs.columns)
+    return scored.where(F.col("__score") >= least).select(*docs.columns)

@@ -9,6 +9,10 @@ import numpy as np
 #: What stands between words: ASCII but for letters and digits.
 _BETWEEN = re.compile(r"[\x00-/:-@\[-`{-\x7f]+")
 _IS_BETWEEN = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+#: The white space of the word definition `[^\\x20\\x09-\\x0D]+` alone.
+_IS_SPACE = np.array([b == 0x20 or 0x09 <= b <= 0x0D for b in range(256)])
+#: Bytes with A-Z in lower case.
+_LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint8)
 _BASE = 0x9E3779B97F4A7C15
 #: Characters of text handled at once.
 STEP = 1 << 20
@@ -38,9 +42,18 @@ class _Powers:
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words (as ``plain_words`` cuts them) of ``texts``, and the number of words
     of each: a polynomial in the bytes of each word, by differences of one running sum."""
-    parts = [t.lower().encode() for t in texts]
+    return _hashed([t.lower().encode() for t in texts], _IS_BETWEEN, False)
+
+
+def space_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """As ``word_hashes``, for words between white space, A-Z in lower case."""
+    return _hashed([t.encode() for t in texts], _IS_SPACE, True)
+
+
+def _hashed(parts: list[bytes], is_between: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(b" ".join([b"", *parts, b""]), np.uint8)
-    between = _IS_BETWEEN[data]
+    data = _LOWER[data] if lower else data
+    between = is_between[data]
     starts = np.flatnonzero(between[:-1] & ~between[1:])  # the byte before each word
     ends = np.flatnonzero(~between[:-1] & between[1:])
     up, down = _Powers.of(len(data))
