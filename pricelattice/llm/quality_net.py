@@ -30,10 +30,10 @@ REACH = 2
 #: Labelled documents that train the network, by least hash of the id.
 SAMPLE = 20_000
 HIDDEN = 32
-#: Word occurrences that one step handles at once, which bounds a task's memory.
-STEP = 1 << 19
+#: Word occurrences that one step handles at once, which bounds a task's memory: of contexts, and of pooling.
+STEP, POOL_STEP = 1 << 18, 1 << 16
 FEATURES = 3 * DIM + 1
-KEEP = 300_000
+KEEP = 200_000
 
 
 def index_vectors() -> np.ndarray:
@@ -55,15 +55,15 @@ class _Buckets(dict):
         return b
 
 
-def _flat(texts: pd.Series, buckets: _Buckets):
-    """Runs of whole documents of about STEP words: (bucket of each word, words per document)."""
+def _flat(texts: pd.Series, buckets: _Buckets, step: int = STEP):
+    """Runs of whole documents of about ``step`` words: (bucket of each word, words per document)."""
     ids: list[int] = []
     lengths: list[int] = []
     for text in texts:
         own = [buckets[w] for w in text.split(" ") if w] if text else []
         ids += own
         lengths.append(len(own))
-        if len(ids) >= STEP:
+        if len(ids) >= step:
             yield np.array(ids, np.int64), np.array(lengths, np.int64)
             ids, lengths = [], []
     if lengths:
@@ -115,7 +115,7 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
 def _pool(texts: pd.Series, vectors: np.ndarray, index: np.ndarray, buckets: _Buckets) -> np.ndarray:
     """One row of FEATURES per text."""
     parts = []
-    for ids, lengths in _flat(texts, buckets):
+    for ids, lengths in _flat(texts, buckets, POOL_STEP):
         out = np.zeros((len(lengths), FEATURES), np.float32)
         full = lengths > 0
         if len(ids):
