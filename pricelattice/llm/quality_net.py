@@ -13,8 +13,8 @@
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .word_hash import exact_hashes
+
 
 BUCKETS = 1 << 15
 DIM = 32
@@ -33,9 +35,9 @@ HIDDEN = 32
 #: Word occurrences that one step handles at once, which bounds a task's memory: of contexts, and of pooling.
 STEP, POOL_STEP = 1 << 18, 1 << 16
 FEATURES = 3 * DIM + 1
-KEEP = 200_000
 
 
+@lru_cache(1)
 def index_vectors() -> np.ndarray:
     """BUCKETS x DIM: the fixed random index vector of each bucket."""
     rng = np.random.default_rng(7)
@@ -45,43 +47,33 @@ def index_vectors() -> np.ndarray:
     return out
 
 
-class _Buckets(dict):
-    """Bucket of a word, remembered per task for up to KEEP words."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > KEEP:
-            self.clear()
-        self[word] = b = zlib.crc32(word.encode()) % BUCKETS
-        return b
-
-
-def _flat(texts: pd.Series, buckets: _Buckets, step: int = STEP):
-    """Runs of whole documents of about ``step`` words: (bucket of each word, words per document)."""
-    ids: list[int] = []
-    lengths: list[int] = []
+def _flat(texts: pd.Series, step: int):
+    """Runs of whole documents of about ``step`` words (taken as six characters each): (bucket of each word, words
+    per document)."""
+    own: list[str] = []
+    held = 0
     for text in texts:
-        own = [buckets[w] for w in text.split(" ") if w] if text else []
-        ids += own
-        lengths.append(len(own))
-        if len(ids) >= step:
-            yield np.array(ids, np.int64), np.array(lengths, np.int64)
-            ids, lengths = [], []
-    if lengths:
-        yield np.array(ids, np.int64), np.array(lengths, np.int64)
+        own.append(text or "")
+        held += len(own[-1])
+        if held >= 6 * step:
+            yield _bucketed(own)
+            own, held = [], 0
+    if own:
+        yield _bucketed(own)
 
 
-def _plain(text: Column) -> Column:
-    """The text with each of the word definition's white-space characters as a space."""
-    return F.translate(text, "\t\n\x0b\f\r", "     ")
+def _bucketed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    hashes, n = exact_hashes(texts)
+    return (hashes % np.uint64(BUCKETS)).astype(np.int64), n.astype(np.int64)
 
 
 def _context_tables(batches):
-    buckets, table = _Buckets(), np.zeros(BUCKETS * DIM)
+    table = np.zeros(BUCKETS * DIM)
     index = index_vectors()
     where = np.argsort(index == 0, axis=1, kind="stable")[:, :NONZERO]
     sign = np.take_along_axis(index, where, axis=1)
     for batch in batches:
-        for ids, lengths in _flat(batch["text"], buckets):
+        for ids, lengths in _flat(batch["text"], STEP):
             doc = np.repeat(np.arange(len(lengths)), lengths)
             for gap in range(1, REACH + 1):
                 same = doc[gap:] == doc[:-gap]
@@ -100,7 +92,7 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
     schema = T.StructType([T.StructField("bucket", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in cols]])
     sums = (
         docs.where(F.col(text).isNotNull())
-        .select(_plain(F.col(text)).alias("text"))
+        .select(F.col(text).alias("text"))
         .mapInPandas(_context_tables, schema)
         .groupBy("bucket")
         .agg(*[F.sum(c).alias(c) for c in cols])
@@ -112,10 +104,10 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
     return (out / np.where(norm > 0, norm, 1)).astype(np.float32)
 
 
-def _pool(texts: pd.Series, vectors: np.ndarray, index: np.ndarray, buckets: _Buckets) -> np.ndarray:
+def _pool(texts: pd.Series, vectors: np.ndarray, index: np.ndarray) -> np.ndarray:
     """One row of FEATURES per text."""
     parts = []
-    for ids, lengths in _flat(texts, buckets, POOL_STEP):
+    for ids, lengths in _flat(texts, POOL_STEP):
         out = np.zeros((len(lengths), FEATURES), np.float32)
         full = lengths > 0
         if len(ids):
@@ -199,9 +191,9 @@ def train(x: np.ndarray, y: np.ndarray, hidden: int = HIDDEN, epochs: int = 60,
 def _scorer(shared, features: bool):
     def run(batches):
         vectors, net = shared.value
-        index, buckets = index_vectors(), _Buckets()
+        index = index_vectors()
         for batch in batches:
-            x = _pool(batch["__text"], vectors, index, buckets)
+            x = _pool(batch["__text"], vectors, index)
             out = batch.drop(columns="__text")
             yield out.assign(__features=list(x)) if features else out.assign(__score=net.score(x).astype(float))
 
@@ -213,7 +205,7 @@ def _pooled(docs: DataFrame, text: str, shared, features: bool) -> DataFrame:
     rest = [c for c in docs.columns if c != text]
     field = T.StructField("__features", T.ArrayType(T.FloatType())) if features else T.StructField("__score", T.DoubleType())
     schema = T.StructType([*[docs.schema[c] for c in rest], field])
-    return docs.select(*rest, _plain(F.col(text)).alias("__text")).mapInPandas(_scorer(shared, features), schema)
+    return docs.select(*rest, F.col(text).alias("__text")).mapInPandas(_scorer(shared, features), schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column, sample: int = SAMPLE, text: str = "text"):

@@ -50,6 +50,11 @@ def space_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return _hashed([t.encode() for t in texts], _IS_SPACE, True)
 
 
+def exact_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """As ``word_hashes``, for words between white space as they are."""
+    return _hashed([t.encode() for t in texts], _IS_SPACE, False)
+
+
 def _hashed(parts: list[bytes], is_between: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(b" ".join([b"", *parts, b""]), np.uint8)
     data = _LOWER[data] if lower else data

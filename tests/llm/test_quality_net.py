@@ -1,10 +1,10 @@
 import random
-import zlib
 
 import numpy as np
 import pandas as pd
 
 from pricelattice.llm import quality_net as Q
+from pricelattice.llm.word_hash import exact_hashes
 from pyspark.sql import functions as F
 
 from pricelattice.llm.queries import op10_quality
@@ -36,7 +36,7 @@ def test_vectors_and_pooling_by_brute_force(spark):
     rng = random.Random(2)
     texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 30))) for _ in range(40)] + [None, "", " \n"]
     index = Q.index_vectors().astype(float)
-    bucket = lambda w: zlib.crc32(w.encode()) % Q.BUCKETS
+    bucket = lambda w: int(exact_hashes([w])[0][0] % np.uint64(Q.BUCKETS))
     want = np.zeros((Q.BUCKETS, Q.DIM))
     for t in texts:
         w = (t or "").split()
@@ -48,7 +48,7 @@ def test_vectors_and_pooling_by_brute_force(spark):
     want = want / np.where(norm > 0, norm, 1)
     got = Q.word_vectors(spark.createDataFrame([(t,) for t in texts], "text string"))
     assert np.allclose(got, want, atol=1e-6)
-    pooled = Q._pool(pd.Series([(t or "").replace("\n", " ") for t in texts]), got, Q.index_vectors(), Q._Buckets())
+    pooled = Q._pool(pd.Series([t for t in texts]), got, Q.index_vectors())
     for t, row in zip(texts, pooled, strict=True):
         b = [bucket(w) for w in (t or "").split()]
         if not b:
