@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import lean, stored
 from .pretokens import BYTE_LEVEL, cuts, pieces, ragged, steps
 
 #: Folded pretokens that every task holds.
@@ -269,6 +269,7 @@ def _splitter(shared, pattern: str):
         offsets = np.append(0, np.cumsum(length))[begin]
         return _split(np.append(code, own)[ragged(start, length)], offsets, coded.dictionary, known, ranks)
 
+    @lean
     def run(batches):
         (known, ranks), find = shared.value, finder(pattern)
         for batch in batches:
@@ -320,6 +321,7 @@ def _pieces_by_id(ranks: dict[bytes, int]) -> pa.Array:
 def _joiner(shared, more: list[str]):
     """Put the ids in place; ``more`` names id_bytes and decoded columns (or None)."""
 
+    @lean
     def run(batches):
         by_id = shared.value
         for batch in batches:
@@ -351,6 +353,7 @@ def decoder(spark: SparkSession, ranks: dict[bytes, int]):
 def _counter(pattern: str):
     cut = cuts if pattern == BYTE_LEVEL else None
 
+    @lean
     def run(batches):
         find = finder(pattern)
         for batch in batches:

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import lean
 from .word_hash import plain_words, runs, word_hashes
 
 HASHED = 1 << 14
@@ -110,6 +111,7 @@ def _pairs(blocks: np.ndarray, follow: np.ndarray) -> np.ndarray:
     return blocks + blocks[follow] * (twice[:, None] if blocks.ndim > 1 else twice)
 
 
+@lean
 def _document_frequencies(batches):
     counts, docs = np.zeros(HASHED, np.int64), 0
     for batch in batches:
@@ -131,6 +133,7 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
 
 
 def _sketch(idf: np.ndarray):
+    @lean
     def run(batches):
         weighted = np.random.default_rng(11).normal(size=(HASHED, SKETCH)).astype(np.float32) * idf[:, None]
         total = np.zeros((HASHED, SKETCH))
@@ -305,6 +308,7 @@ class _ByCount:
 
 
 def _search(shared):
+    @lean
     def run(batches):
         project, idf, items = shared.value
         by_count = _ByCount(items, idf)

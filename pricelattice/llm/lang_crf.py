@@ -26,6 +26,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
 from .pretokens import ragged
 
 BUCKETS = 1 << 16
@@ -281,6 +282,7 @@ def _applied(docs: DataFrame, id_col: str, text: str, lang: str, schema: str, no
     key = zlib.crc32(model.weights.tobytes())
     names = [c.split(" ")[0] for c in schema.split(", ")]
 
+    @lean
     def run(batches):
         scores = _MEMO.get(key)
         if scores is None:

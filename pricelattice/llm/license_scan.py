@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
 from .word_hash import plain_words, runs
 
 SHINGLE = 5
@@ -158,6 +159,7 @@ class Templates:
 
 
 def _scan(shared, least: float):
+    @lean
     def run(batches):
         templates: Templates = shared.value
         for batch in batches:

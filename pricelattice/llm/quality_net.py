@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import lean
 from .word_hash import exact_hashes
 
 
@@ -48,25 +49,23 @@ def index_vectors() -> np.ndarray:
 
 
 def _flat(texts: pd.Series, step: int):
-    """Runs of whole documents of about ``step`` words (taken as six characters each): (bucket of each word, words
-    per document)."""
-    own: list[str] = []
-    held = 0
-    for text in texts:
+    """Runs of whole documents of about ``step`` words: (bucket of each word, words per document)."""
+    runs, held, own, size = [], 0, [], 0
+    for k, text in enumerate(texts):
         own.append(text or "")
-        held += len(own[-1])
-        if held >= 6 * step:
-            yield _bucketed(own)
-            own, held = [], 0
-    if own:
-        yield _bucketed(own)
-
-
-def _bucketed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    hashes, n = exact_hashes(texts)
-    return (hashes % np.uint64(BUCKETS)).astype(np.int64), n.astype(np.int64)
-
-
+        size += len(own[-1])
+        last = k + 1 == len(texts)
+        if size >= 6 * POOL_STEP or last:  # so many words are hashed at once, taken as six characters each
+            hashes, n = exact_hashes(own)
+            runs.append(((hashes % np.uint64(BUCKETS)).astype(np.int64), n.astype(np.int64)))
+            held += len(hashes)
+            own, size = [], 0
+        if runs and (held >= step or last):
+            yield tuple(np.concatenate(x) for x in zip(*runs))
+            runs, held = [], 0
+
+
+@lean
 def _context_tables(batches):
     table = np.zeros(BUCKETS * DIM)
     index = index_vectors()
@@ -189,6 +188,7 @@ def train(x: np.ndarray, y: np.ndarray, hidden: int = HIDDEN, epochs: int = 60,
 
 
 def _scorer(shared, features: bool):
+    @lean
     def run(batches):
         vectors, net = shared.value
         index = index_vectors()

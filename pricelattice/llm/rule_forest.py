@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import lean, stored
 
 TREES = 128
 SUBSAMPLE = 256
@@ -85,6 +85,7 @@ def statistics(text: str | None) -> tuple:
     )
 
 
+@lean
 def _all_statistics(batches):
     names = [c.split()[0] for c in STATS.split(", ")]
     for batch in batches:

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import lean, shared_dir
 from .pretokens import pieces, ragged, steps
 
 MAGIC = b"RPS1"
@@ -293,6 +293,7 @@ def _runs(batches):
 
 
 def _writer(path: str, end_id: int, terminals: int):
+    @lean
     def run(batches):
         import os
 
@@ -353,6 +354,7 @@ def write_shards(
     ordered.mapInArrow(_writer(tokenizer, end_id, terminals), schema).write.parquet(folder)
 
 
+@lean
 def _reader(batches):
     for batch in batches:
         for base, content in zip(batch["base"], batch["content"], strict=True):

@@ -15,7 +15,7 @@ _IS_SPACE = np.array([b == 0x20 or 0x09 <= b <= 0x0D for b in range(256)])
 _LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint8)
 _BASE = 0x9E3779B97F4A7C15
 #: Characters of text handled at once.
-STEP = 1 << 20
+STEP = 1 << 18
 
 
 def plain_words(text: str | None) -> list[str]:
