@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Latin spelling of Cyrillic letters.
 CYRILLIC = {
@@ -24,10 +28,15 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
+@F.pandas_udf(T.StringType())
+def decomposed(c: pd.Series) -> pd.Series:
+    """Compatibility decomposition (NFKD), which Spark has no function for."""
+    return c.map(lambda x: unicodedata.normalize("NFKD", x), na_action="ignore")
+
+
 def normalise_name(c: Column) -> Column:
-    """Lower case, punctuation dropped, white space collapsed. (Compatibility decomposition changes
-    nothing in Latin and Cyrillic text without marks; names with marks keep them composed.)"""
-    return collapse(F.regexp_replace(F.lower(c), r"(?U)[^\w\s]", ""))
+    """Decomposed, lower case, punctuation and marks dropped, white space collapsed."""
+    return collapse(F.regexp_replace(F.lower(decomposed(c)), r"(?U)[^\p{L}\p{N}_\s]", ""))
 
 
 def normalise_title(c: Column) -> Column:

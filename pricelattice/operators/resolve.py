@@ -41,6 +41,26 @@ def similar_names(names: DataFrame, least: float = 80.0) -> DataFrame:
     return scored.where(F.col("score") >= least).select(F.col("n_a").alias("a"), F.col("n_b").alias("b"), F.round("score", 4).alias("score"))
 
 
+def duplicate_products(products: DataFrame, least: float = 80.0) -> DataFrame:
+    """Per product ``(product_id, name)`` its normalised ``name`` and ``n_links``, the number of other products whose name
+    reaches a token-sort ratio of ``least``: those of an equal name, and those of the names that ``similar_names`` pairs it
+    with. Links between names, with their scores, are in ``similar_names``. Products without a name have none."""
+    own = products.select("product_id", normalise_name(F.col("name")).alias("name"))
+    size = own.where("name <> ''").groupBy("name").agg(F.count("*").alias("n"))
+    pairs = similar_names(products.select("name"), least)
+    both = pairs.select(F.col("a").alias("name"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("name"), F.col("a").alias("other")))
+    others = both.join(size.withColumnsRenamed({"name": "other", "n": "m"}), "other").groupBy("name").agg(F.sum("m").alias("m"))
+    links = size.join(others, "name", "left").select("name", (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("n_links"))
+    return own.join(links, "name", "left").select("product_id", "name", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def match_barcode(items: DataFrame, products: DataFrame) -> DataFrame:
+    """The first product of each item's barcode ``(item_no, barcode)``; null for an unknown, empty or null one."""
+    code = F.nullif(F.trim("barcode"), F.lit("")).alias("barcode")
+    first = products.select("product_id", code).where("barcode is not null").groupBy("barcode").agg(F.min("product_id").alias("product_id"))
+    return items.select("item_no", code).join(first, "barcode", "left").select("item_no", "product_id")
+
+
 def _near_names(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """Pairs ``(brand, a, b, score)`` of distinct ``(brand, name)`` of both sides with equal brand (null is one) and a ratio of
     ``least`` or more. Equal names meet as they are, others by the prefix filter of ``similar_names``, inside their brand."""

@@ -26,11 +26,15 @@ def category_tree(categories: DataFrame, max_depth: int = 16) -> DataFrame:
     raise ValueError(f"the tree is deeper than {max_depth}")
 
 
-def in_subtree(categories: DataFrame, root: int) -> DataFrame:
-    """Ids of a category and all below it."""
+def in_subtree(categories: DataFrame, root: int, max_depth: int = 16) -> DataFrame:
+    """Ids of a category and all below it. A cycle, or a tree deeper than ``max_depth``, raises."""
     found = categories.where(F.col("id") == root).select("id")
     level = found
-    while not level.isEmpty():
+    for depth in range(max_depth + 2):
+        if level.isEmpty():
+            break
+        if depth > max_depth:
+            raise ValueError(f"the tree is deeper than {max_depth}")
         level = categories.join(level.withColumnRenamed("id", "up"), F.col("parent_id") == F.col("up")).select("id")
         found = found.unionByName(level)
     return found
@@ -92,8 +96,10 @@ def enrich(products: DataFrame, batch: DataFrame, column: str, key: str = "produ
 
 
 def moderate(products: DataFrame, actions: DataFrame) -> DataFrame:
-    """Approve or reject: approved products become active, rejected ones go if they are pending; others stay."""
-    out = products.join(actions, "product_id", "left")
+    """Approve or reject: approved products become active, rejected ones go if they are pending; others stay. Of several
+    actions on a product a rejection counts."""
+    one = actions.groupBy("product_id").agg(F.max("action").alias("action"))
+    out = products.join(one, "product_id", "left")
     reject = F.coalesce((F.col("action") == "reject") & (F.col("status") == "pending_review"), F.lit(False))
     return (
         out.where(~reject)
@@ -103,8 +109,8 @@ def moderate(products: DataFrame, actions: DataFrame) -> DataFrame:
 
 
 def update_partial(products: DataFrame, updates: DataFrame, columns: list[str], key: str = "product_id") -> DataFrame:
-    """Set the given columns where the update has a value."""
-    new = updates.select(key, *[F.col(c).alias(f"__{c}") for c in columns])
+    """Set the given columns where the update has a value; of several updates of a key the greatest value of each column."""
+    new = updates.groupBy(key).agg(*[F.max(c).alias(f"__{c}") for c in columns])
     out = products.join(new, key, "left")
     for c in columns:
         out = out.withColumn(c, F.coalesce(f"__{c}", c))
@@ -133,6 +139,15 @@ def search(products: DataFrame, query: str) -> DataFrame:
     return products.where("status = 'active'").where(reduce(Column.__and__, hits, F.lit(True)))
 
 
+def search_or_part(products: DataFrame, query: str) -> DataFrame:
+    """The hits of ``search``; if there is none, active products whose name or brand holds the query as it is."""
+    hits = search(products, query)
+    like = lambda c: F.coalesce(F.lower(c).contains(query.lower()), F.lit(False))
+    part = products.where("status = 'active'").where(like("name") | like("brand"))
+    none = hits.agg((F.count("*") == 0).alias("__none"))  # one row
+    return hits.unionByName(part.join(F.broadcast(none), F.col("__none")).drop("__none"))
+
+
 def backfill_category(products: DataFrame, prices: DataFrame) -> DataFrame:
     """``category`` of each product: that of its latest price that has one."""
     known = latest(prices.where("category is not null"), ["product_id"], "recorded_at", [F.desc("load_key"), F.desc("load_line")])

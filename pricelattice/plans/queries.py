@@ -496,7 +496,7 @@ def page_dedup(t):
 
 @query(
     "",
-    f"""WITH {LINES} SELECT page_id, line_no, trim(regexp_replace(regexp_replace(lower(line), '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g'), '\\s+', ' ', 'g')) AS name,
+    f"""WITH {LINES} SELECT page_id, line_no, trim(regexp_replace(regexp_replace(lower(strip_accents(line)), '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g'), '\\s+', ' ', 'g')) AS name,
     trim(regexp_replace(regexp_replace(lower(line), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS title FROM l""",
 )
 def normalise_names(t):
@@ -546,6 +546,47 @@ def dup_candidates(t):
     return similar_names(t("products").select("name"))
 
 
+@query(
+    "products",
+    """c AS (SELECT name, count(*) AS n FROM products GROUP BY name)
+    SELECT product_id, name, n - 1 AS same_name FROM products JOIN c USING (name)""",
+)
+def same_names(t):
+    """Products of an equal normalised name, the surest duplicates."""
+    from ..operators.resolve import duplicate_products
+
+    return duplicate_products(t("products"), 100.0).withColumnRenamed("n_links", "same_name")
+
+
+@query()
+def dup_products(t):
+    """Rows only: the number of likely duplicates of every product."""
+    from ..operators.resolve import duplicate_products
+
+    return duplicate_products(t("products"))
+
+
+@query(
+    "prices products",
+    """p AS (SELECT CASE WHEN product_id % 9 = 0 THEN '' ELSE lpad(CAST(product_id // 2 AS VARCHAR), 13, '0') END AS barcode, product_id FROM products),
+    f AS (SELECT barcode, min(product_id) AS product_id FROM p WHERE barcode <> '' GROUP BY 1)
+    SELECT load_key, load_line, f.product_id FROM prices LEFT JOIN f ON f.barcode = lpad(CAST(prices.product_id // 2 AS VARCHAR), 13, '0')""",
+)
+def match_barcode(t):
+    """Every price row as an item with a barcode; two products share one, some have none."""
+    from ..operators.resolve import match_barcode as match
+
+    code = F.lpad(F.expr("product_id div 2").cast("string"), 13, "0")
+    p = t("products").select("product_id", F.when(F.col("product_id") % 9 == 0, "").otherwise(code).alias("barcode"))
+    items = t("prices").select(F.struct("load_key", "load_line").alias("item_no"), code.alias("barcode"))
+    return match(items, p).select("item_no.load_key", "item_no.load_line", "product_id")
+
+
+@query("products", "SELECT product_id, name, brand FROM products WHERE status = 'active' AND (name ILIKE '%lue bol%' OR brand ILIKE '%lue bol%')")
+def search_fallback(t):
+    return T.search_or_part(t("products"), "lue bol").select("product_id", "name", "brand")
+
+
 @query()
 def match_sku(t):
     """Rows only: every product, an s after its name, as an item against all products."""

@@ -11,7 +11,11 @@ from pyspark.sql import functions as F
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
+        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 

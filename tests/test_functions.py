@@ -77,3 +77,11 @@ def test_page_runs(spark):
     rows = [(1, k, c) for k, c in enumerate("aabbbcddddeee")]
     got = page_runs(spark.createDataFrame(rows, "seq_id int, page_no int, content string")).orderBy("page_no").collect()
     assert "".join(r.content for r in got) == "abcd"
+
+
+def test_no_break_space(spark):
+    row = spark.range(1).select(
+        packs.pack_size(F.lit("500\u00a0г")).alias("size"), packs.first_price(F.lit("12\u00a099 лв")).alias("price"),
+        dates.date_range(F.lit("01.04\u00a0-\u00a007.04"), 2026).alias("r"),
+    ).first()
+    assert float(row["size"]) == 0.5 and float(row["price"]) == 12.99 and str(row.r.valid_to) == "2026-04-07"

@@ -1,7 +1,7 @@
 import itertools
 
 from pricelattice.functions.similarity import ratio_of, token_set_of, token_sort_of
-from pricelattice.operators.resolve import match_catalog, match_sku, similar_names
+from pricelattice.operators.resolve import duplicate_products, match_barcode, match_catalog, match_sku, similar_names
 
 
 def test_hand_values():
@@ -63,3 +63,15 @@ def test_sku_is_brute_force(spark):
     rows = match_sku(i.withColumnRenamed("id", "item_no"), p.withColumnRenamed("id", "product_id")).collect()
     assert len(rows) == len(sides[0])
     assert {r.item_no: (r.product_id, r.matched_by) for r in rows} == brute_sku(*sides)
+
+
+def test_duplicates_count_equal_names(spark):
+    names = ["Milk 1 l", "milk 1 l", "l milk, 1", "чай", "чаи", "butter", None, ""]
+    got = {r.product_id: (r.name, r.n_links) for r in duplicate_products(spark.createDataFrame(list(enumerate(names)), "product_id int, name string")).collect()}
+    assert got == {0: ("milk 1 l", 2), 1: ("milk 1 l", 2), 2: ("l milk 1", 2), 3: ("чаи", 1), 4: ("чаи", 1), 5: ("butter", 0), 6: (None, 0), 7: ("", 0)}
+
+
+def test_barcode(spark):
+    p = spark.createDataFrame([(5, "123"), (3, " 123 "), (1, ""), (2, None)], "product_id int, barcode string")
+    i = spark.createDataFrame([(1, "123"), (2, ""), (3, None), (4, "9")], "item_no int, barcode string")
+    assert {r.item_no: r.product_id for r in match_barcode(i, p).collect()} == {1: 3, 2: None, 3: None, 4: None}
