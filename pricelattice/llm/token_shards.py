@@ -4,13 +4,13 @@ Documents are sorted by id over a range partitioning. Each task encodes its docu
 end id to each, and packs whole documents into shards of about ``SHARD`` ids. A shard's ids are
 compressed by Re-Pair: in each round all adjacent pairs are counted exactly and the frequent ones
 become nonterminals, the more frequent pair first where two overlap. Rounds go on until no pair
-occurs ``LEAST_COUNT`` times, the number from which a rule is smaller than what it saves. No rule
+occurs ``LEAST_COUNT`` times, the number from which a rule is no larger than what it saves. No rule
 spans two documents. A shard is one binary value:
 
     magic "RPS1" | uint32: terminals, rules, documents | uint64: ids of this task before it, symbols
     rules: 2 uint32 each | expansion length of each rule: uint32
     documents: int64 id (least for null), uint64 first symbol, uint64 ids
-    symbols: uint16, or uint32 if there are more than 65,536 different ones
+    symbols: of 2 bytes, or 3 or 4 if there are more than 2**16 or 2**24 different ones
 
 all little-endian. With the expansion lengths, a reader finds any range of ids of a document and
 expands only the symbols that cover it. Shards are rows (part, shard, content) of a Parquet
@@ -37,7 +37,7 @@ _HEAD = struct.Struct("<4sIIIQQ")
 _DOC = np.dtype([("id", "<i8"), ("first", "<u8"), ("n", "<u8")])
 NULL_ID = -(1 << 63)
 SHARD = 1 << 20
-#: A rule takes 12 bytes, a symbol 4.
+#: A rule takes 12 bytes, a symbol 3.
 LEAST_COUNT = 4
 #: A round takes the pairs that occur at least this part as often as the most frequent one.
 SPREAD = 64
@@ -124,14 +124,18 @@ def compress(ids: np.ndarray, lengths: np.ndarray, terminals: int):
     return seq, np.diff(np.append(-1, ends)), table, size[terminals:]
 
 
+def _width(symbols: int) -> int:
+    return 2 if symbols <= 1 << 16 else 3 if symbols <= 1 << 24 else 4
+
+
 def pack(doc_ids: list[int], ids: np.ndarray, lengths: np.ndarray, before: int, terminals: int) -> bytes:
     seq, symbols, rules, sizes = compress(ids, lengths, terminals)
     docs = np.zeros(len(doc_ids), _DOC)
     docs["id"], docs["first"], docs["n"] = doc_ids, np.cumsum(symbols) - symbols, lengths
-    kind = "<u2" if terminals + len(rules) <= 1 << 16 else "<u4"
+    plain = seq.astype("<u4").view(np.uint8).reshape(-1, 4)[:, : _width(terminals + len(rules))]
     head = _HEAD.pack(MAGIC, terminals, len(rules), len(docs), before, len(seq))
     return b"".join(
-        [head, rules.astype("<u4").tobytes(), sizes.astype("<u4").tobytes(), docs.tobytes(), seq.astype(kind).tobytes()]
+        [head, rules.astype("<u4").tobytes(), sizes.astype("<u4").tobytes(), docs.tobytes(), plain.tobytes()]
     )
 
 
@@ -149,8 +153,10 @@ class Shard:
         at += 4 * n_rules
         self.docs = np.frombuffer(content, _DOC, n_docs, at)
         at += _DOC.itemsize * n_docs
-        kind = "<u2" if self.terminals + n_rules <= 1 << 16 else "<u4"
-        self.symbols = np.frombuffer(content, kind, n_symbols, at).astype(np.int64)
+        width = _width(self.terminals + n_rules)
+        plain = np.zeros((n_symbols, 4), np.uint8)
+        plain[:, :width] = np.frombuffer(content, np.uint8, width * n_symbols, at).reshape(-1, width)
+        self.symbols = plain.view("<u4")[:, 0].astype(np.int64)
 
     def _expand(self, symbols: np.ndarray) -> np.ndarray:
         while (symbols >= self.terminals).any():
