@@ -58,3 +58,15 @@ def weekly_means(stream: DataFrame) -> DataFrame:
     done = _finished(weeks, "stream-weekly", "complete")
     last = done.agg(F.max("epoch").alias("epoch"))  # one row: in complete mode the last epoch has all
     return done.join(F.broadcast(last), "epoch").select("store_id", F.to_date("window.start").alias("week"), F.round("mean_value", 6).alias("mean_value"), "n")
+
+
+def stale_stores(stream: DataFrame, seconds: int = 1800) -> DataFrame:
+    """Per store the last sign of life (any event but a view, which is a run under way), and whether it is ``stale``: none, or
+    more than ``seconds`` before the newest event of all. The state is a row a store."""
+    beat = F.max(F.when(F.col("event_type") != "view", F.col("started_at"))).alias("beat")
+    done = _finished(stream.groupBy("store_id").agg(beat, F.max("started_at").alias("seen")), "stream-stale", "complete")
+    last = done.agg(F.max("epoch").alias("epoch"))  # one row: in complete mode the last epoch has all
+    rows = done.join(F.broadcast(last), "epoch")
+    now = rows.agg(F.max("seen").alias("now"))  # one row
+    late = F.col("beat") < F.col("now") - F.make_interval(secs=F.lit(seconds))
+    return rows.join(F.broadcast(now), F.lit(True)).select("store_id", "beat", F.coalesce(late, F.lit(True)).alias("stale"))

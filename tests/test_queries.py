@@ -7,9 +7,10 @@ import os
 import duckdb
 import pytest
 
+from pricelattice.plans import listing_queries  # noqa: F401 - registers its queries
 from pricelattice.plans.queries import ORACLE, QUERIES
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents pages".split()
 
 
