@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -228,7 +229,7 @@ class Encoder:
     def _learnt(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each) of new pieces. Those with a space at their front alone go
         through the library many in a text."""
-        simple = [p[:1] == b" " and p.count(b" ") == 1 for p in new]
+        simple = [p.rfind(b" ") == 0 for p in new]
         spaced = [p for p, s in zip(new, simple) if s]
         parts, sizes = [], []
         for lo in range(0, len(spaced), 1024):
@@ -251,7 +252,7 @@ class Encoder:
 
     def _numbers(self, unique: list[bytes]) -> np.ndarray:
         """Place of each piece in ``start`` and ``length``, unknown pieces learnt."""
-        found = [self.pieces.get(p, -1) for p in unique]
+        found = list(map(self.pieces.get, unique, repeat(-1)))
         if -1 in found and len(self.pieces) + found.count(-1) > KEEP:
             self._empty()
             found = [-1] * len(unique)
@@ -275,7 +276,7 @@ class Encoder:
             special |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
         cut = np.flatnonzero(~special)
         unique, number, begin = pieces(texts.take(pa.array(cut)) if special.any() else texts)
-        number = self._numbers(unique.to_pylist())[number]
+        number = self._numbers(unique.to_numpy(zero_copy_only=False).tolist())[number]
         length = self.length[number]
         ids, n = self.ids[ragged(self.start[number], length)], np.diff(np.append(0, np.cumsum(length))[begin])
         if not special.any():
