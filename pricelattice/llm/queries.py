@@ -120,5 +120,42 @@ def op3_lang_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~learnable()).alias("held_out"), "lang_pred", "score")
 
 
+def op11_piece_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .piece_prefix import encode, read_model
+
+    model = read_model(public_tokenizers.path("piece_bpe_32k.model"))
+    found = encode(table(spark, sf_dir, "documents"), model, decoded="decoded", keep=["doc_id"])
+    digits = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return found.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(digits, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+def op13_sphere_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sphere_kmeans import cluster
+
+    return cluster(table(spark, sf_dir, "embeddings"))
+
+
+def _op13_sql(rounds: int = 10) -> str:
+    """Every assignment and every mean written out, on lists of whole numbers."""
+    near = """near{r} AS MATERIALIZED (SELECT rid, any_value(v) AS v, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS d FROM (
+  SELECT rid, v, cluster, list_sum(list_transform(list_zip(v, c), lambda z: CAST((z[1] - z[2]) * (z[1] - z[2]) AS HUGEINT))) AS d FROM kept, cent{r}) GROUP BY rid)"""
+    mean = """cent{s} AS MATERIALIZED (SELECT o.cluster, coalesce(n.c, o.c) AS c FROM cent{r} o LEFT JOIN (
+  SELECT cluster, list(m ORDER BY dim) AS c FROM (SELECT cluster, dim, CAST((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS m
+    FROM (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS dim FROM near{r}) GROUP BY cluster, dim) GROUP BY cluster) n ON n.cluster = o.cluster)"""
+    steps = [x for r in range(rounds) for x in (near.format(r=r), mean.format(r=r, s=r + 1))] + [near.format(r=rounds)]
+    return f"""WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+cent0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS cluster, v AS c FROM kept WHERE vec_id IS NOT NULL ORDER BY 1 LIMIT 8),
+{", ".join(steps)}
+SELECT vec_id, CAST(n.cluster AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY n.cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM near{rounds} n JOIN kept USING (rid) JOIN cent{rounds} c ON c.cluster = n.cluster"""
+
+
 QUERIES = {"op3_lang_crf": op3_lang_crf, "op6_license_scan": op6_license_scan, "op2_rule_forest": op2_rule_forest, "op1_html_mincut": op1_html_mincut, "op7_token_shards": op7_token_shards, "op5_bpe": op5_bpe, "op9_decontaminate": op9_decontaminate, "op10_quality": op10_quality, "op4_line_dedup": op4_line_dedup, "op8_simhash": op8_simhash}
-ORACLE: dict[str, str] = {"op4_line_dedup": OP4_SQL}
+QUERIES |= {"op11_piece_prefix": op11_piece_prefix, "op13_sphere_kmeans": op13_sphere_kmeans}
+ORACLE: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op13_sphere_kmeans": _op13_sql()}
