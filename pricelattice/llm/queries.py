@@ -139,6 +139,33 @@ def op13_sphere_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op12_zfast_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .zfast_trie import conversation_trie
+
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+#: Prefixes as strings of turn digests. The CRC goes bit by bit: 8 steps give the table of bytes, the digits of an id fold over it.
+OP12_SQL = f"""WITH bytes AS (SELECT {"list_transform(" * 8}range(256){", lambda x: xor(x >> 1, 3988292384 * (x & 1)))" * 8} AS crc),
+turns AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(len(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos,
+  md5(len(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS mark, len(coalesce(text, '')) AS chars FROM conversations WHERE conv_id IS NOT NULL),
+sizes AS (SELECT conv_id, count(*) AS n FROM turns GROUP BY 1),
+crcs AS (SELECT conv_id, n, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+  lambda a, b: xor(a >> 8, crc[(xor(a, b) & 255) + 1])) AS reg FROM sizes, bytes),
+plan AS (SELECT conv_id, conv_id - conv_id % 100 AS base, xor(reg, 4294967295) % 6 AS h FROM crcs),
+full_plan AS (SELECT p.*, least(h, coalesce(s.n, 0)) AS taken FROM plan p LEFT JOIN sizes s ON s.conv_id = p.base),
+built AS (SELECT p.conv_id, t.pos AS d, mark, chars FROM full_plan p JOIN turns t ON t.conv_id = p.base AND t.pos <= h
+  UNION ALL SELECT p.conv_id, t.pos - h + taken, mark, chars FROM full_plan p JOIN turns t ON t.conv_id = p.conv_id AND t.pos > h
+  UNION ALL SELECT conv_id, 0, '', 0 FROM plan),
+path AS (SELECT conv_id, d, chars, string_agg(mark, '') OVER (PARTITION BY conv_id ORDER BY d) AS key, d = max(d) OVER (PARTITION BY conv_id) AS ends FROM built),
+node AS (SELECT key, d, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(chars) AS own,
+  sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM path GROUP BY key, d),
+kids AS (SELECT substr(key, 1, 32 * (d - 1)) AS key, count(*) AS n FROM node WHERE d > 0 GROUP BY 1),
+below AS (SELECT p.key, sum(n.own) AS saved, count(*) FILTER (k.n IS NULL) AS leaves FROM node n JOIN path p ON p.conv_id = n.conv_id AND p.d <= n.d LEFT JOIN kids k ON k.key = n.key GROUP BY p.key)
+SELECT n.conv_id, n.d AS depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM node n JOIN below b ON b.key = n.key LEFT JOIN kids k ON k.key = n.key LEFT JOIN node up ON n.d > 0 AND up.d = n.d - 1 AND up.key = substr(n.key, 1, 32 * (n.d - 1))"""
+
+
 def _op13_sql(rounds: int = 10) -> str:
     """Every assignment and every mean written out, on lists of whole numbers."""
     near = """near{r} AS MATERIALIZED (SELECT rid, any_value(v) AS v, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS d FROM (
@@ -157,5 +184,5 @@ FROM near{rounds} n JOIN kept USING (rid) JOIN cent{rounds} c ON c.cluster = n.c
 
 
 QUERIES = {"op3_lang_crf": op3_lang_crf, "op6_license_scan": op6_license_scan, "op2_rule_forest": op2_rule_forest, "op1_html_mincut": op1_html_mincut, "op7_token_shards": op7_token_shards, "op5_bpe": op5_bpe, "op9_decontaminate": op9_decontaminate, "op10_quality": op10_quality, "op4_line_dedup": op4_line_dedup, "op8_simhash": op8_simhash}
-QUERIES |= {"op11_piece_prefix": op11_piece_prefix, "op13_sphere_kmeans": op13_sphere_kmeans}
-ORACLE: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op13_sphere_kmeans": _op13_sql()}
+QUERIES |= {"op11_piece_prefix": op11_piece_prefix, "op12_zfast_trie": op12_zfast_trie, "op13_sphere_kmeans": op13_sphere_kmeans}
+ORACLE: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op12_zfast_trie": OP12_SQL, "op13_sphere_kmeans": _op13_sql()}
