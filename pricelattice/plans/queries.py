@@ -626,7 +626,28 @@ def _stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("store_id").cast("long").alias("store_id"), "event_type", "day")
 
 
-QUERIES |= {"stream_weekly": _stream_weekly, "stream_ingest": _stream_ingest}
+ORACLE["stream_closed_weeks"] = ORACLE["stream_weekly"] + """
+    HAVING CAST(date_trunc('week', any_value(ts)) AS TIMESTAMP) + INTERVAL 7 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY"""
+ORACLE["stream_silent"] = """WITH b AS (SELECT DISTINCT CAST(user_id % 80 AS BIGINT) AS store_id, ts FROM events WHERE event_type <> 'view'),
+    n AS (SELECT *, lead(ts) OVER (PARTITION BY store_id ORDER BY ts) AS after FROM b)
+    SELECT store_id, ts AS beat, ts + INTERVAL 1800 SECOND AS silent_at FROM n
+    WHERE (after IS NULL OR after > ts + INTERVAL 1800 SECOND) AND ts + INTERVAL 1800 SECOND <= date_trunc('milliseconds', (SELECT max(ts) FROM b)) - INTERVAL 2 DAY"""
+
+
+def _stream_closed_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming import jobs
+
+    return jobs.closed_weeks(jobs.runs_stream(spark, sf_dir)).withColumn("store_id", F.col("store_id").cast("long"))
+
+
+def _stream_silent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming import jobs
+
+    out = jobs.silent_stores(jobs.runs_stream(spark, sf_dir))
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("beat", "silent_at")})
+
+
+QUERIES |= {"stream_weekly": _stream_weekly, "stream_ingest": _stream_ingest, "stream_closed_weeks": _stream_closed_weeks, "stream_silent": _stream_silent}
 
 
 @query("products", "SELECT product_id, name, brand FROM products WHERE product_id = 42")

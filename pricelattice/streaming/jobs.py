@@ -6,8 +6,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -29,7 +30,7 @@ def runs_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _finished(frame: DataFrame, name: str, mode: str) -> DataFrame:
+def _finished(frame: DataFrame, name: str, mode: str, late: list[int] | None = None) -> DataFrame:
     spark = frame.sparkSession
     out = _folder(spark, name)
 
@@ -38,26 +39,114 @@ def _finished(frame: DataFrame, name: str, mode: str) -> DataFrame:
 
     run = frame.writeStream.outputMode(mode).option("checkpointLocation", _folder(spark, f"{name}-log")).foreachBatch(put).trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.parquet(out)
+    if late is not None:
+        late.append(sum(op.numRowsDroppedByWatermark for step in run.recentProgress for op in step.stateOperators))
+    return spark.read.schema(frame.schema.add("epoch", "long")).parquet(out)
+
+
+def guarded_ingest(stream: DataFrame, days: int = 2) -> DataFrame:
+    """One run of each store, kind and day, in whatever order the files come.
+
+    A run of the last ``days`` days before the newest day that earlier batches had is on time: it is compared with the runs of
+    these days alone, which the output keeps in a folder a day, so that what a batch holds and reads is bounded by days. An older one is late: it goes to a
+    second output as it is. The result unites both; late runs count where the first output has none. A batch that runs again
+    overwrites what it wrote and reads only the batches before it."""
+    spark, key = stream.sparkSession, ["store_id", "event_type", "day"]
+    out = _folder(spark, "stream-ingest")
+
+    def earlier(name: str, epoch: int) -> DataFrame | None:
+        return spark.read.parquet(f"{out}/{name}").where(F.col("epoch") < epoch) if epoch else None
+
+    def put(batch: DataFrame, epoch: int) -> None:
+        rows = batch.select("store_id", "event_type", F.to_date("started_at").alias("day")).where("day is not null").distinct().persist()
+        marks = earlier("marks", epoch)
+        newest = marks.agg(F.max("newest")).first()[0] if marks is not None else None
+        fresh, late = rows, rows.where("false")
+        if newest is not None:
+            on_time = F.col("day") >= F.date_sub(F.lit(newest), days)
+            late, known = rows.where(~on_time), earlier("runs", epoch).where(on_time)
+            fresh = rows.where(on_time).join(known.select(*key), key, "left_anti")
+        for name, part in (("runs", fresh), ("late", late)):
+            part.withColumn("on_day", F.col("day")).write.mode("overwrite").partitionBy("on_day").parquet(f"{out}/{name}/epoch={epoch}")
+        rows.agg(F.max("day").alias("newest")).coalesce(1).write.mode("overwrite").parquet(f"{out}/marks/epoch={epoch}")
+        rows.unpersist()
+
+    run = stream.writeStream.option("checkpointLocation", _folder(spark, "stream-ingest-log")).foreachBatch(put).trigger(availableNow=True).start()
+    run.awaitTermination()
+    schema = "store_id long, event_type string, day date"
+    runs, late = (spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{out}/{name}") for name in ("runs", "late"))
+    return runs.unionByName(late.distinct().join(runs, key, "left_anti"))
+
 
+def _weeks(stream: DataFrame, lateness: str) -> DataFrame:
+    weeks = stream.withWatermark("started_at", lateness).groupBy("store_id", F.window("started_at", "7 days", "7 days", "4 days"))
+    return weeks.agg(F.avg("value").alias("mean_value"), F.count("*").alias("n"))
 
-def guarded_ingest(stream: DataFrame) -> DataFrame:
-    """One run of each store, kind and day. There is no watermark: files come in any order of time, and a run behind the newest
-    event is kept. The state is a row for each row of the result."""
-    once = stream.withColumn("day", F.to_date("started_at")).dropDuplicates(["store_id", "event_type", "day"])
-    return _finished(once, "stream-ingest", "append").drop("epoch")
+
+def _by_week(done: DataFrame) -> DataFrame:
+    return done.select("store_id", F.to_date("window.start").alias("week"), F.round("mean_value", 6).alias("mean_value"), "n")
 
 
 def weekly_means(stream: DataFrame) -> DataFrame:
     """Mean value per store and week from Monday, after the last event."""
-    weeks = (
-        stream.withWatermark("started_at", "2 days")
-        .groupBy("store_id", F.window("started_at", "7 days", "7 days", "4 days"))
-        .agg(F.avg("value").alias("mean_value"), F.count("*").alias("n"))
-    )
-    done = _finished(weeks, "stream-weekly", "complete")
+    done = _finished(_weeks(stream, "2 days"), "stream-weekly", "complete")
     last = done.agg(F.max("epoch").alias("epoch"))  # one row: in complete mode the last epoch has all
-    return done.join(F.broadcast(last), "epoch").select("store_id", F.to_date("window.start").alias("week"), F.round("mean_value", 6).alias("mean_value"), "n")
+    return _by_week(done.join(F.broadcast(last), "epoch"))
+
+
+def closed_weeks(stream: DataFrame, lateness: str = "2 days", late: list[int] | None = None) -> DataFrame:
+    """The weeks of ``weekly_means`` that are over: a week is written once, when the newest event is ``lateness`` past its end, and leaves
+    the state, which holds open weeks alone. Events later than that do not count; ``late`` gets the number of their groups."""
+    done = _finished(_weeks(stream, lateness), "stream-closed", "append", late)
+    return _by_week(done)
+
+
+class _Silence(StatefulProcessor):
+    """Beats of a store that are not settled; a timer for each settles it when no later beat can come."""
+
+    def __init__(self, seconds: int):
+        self.span = seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.beats = handle.getMapState("beats", "beat long", "n long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        for row in rows:
+            if not self.beats.containsKey((row.beat,)):
+                self.beats.updateValue((row.beat,), (1,))
+                self.handle.registerTimer(-(-(row.beat + self.span) // 1000))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        held = sorted(k[0] for k in self.beats.keys())
+        for beat, after in zip(held, [*held[1:], None]):
+            if beat + self.span <= now:
+                self.beats.removeKey((beat,))
+                if after is None or after > beat + self.span:
+                    yield Row(store_id=key[0], beat=beat)
+
+    def close(self) -> None:
+        pass
+
+
+def silent_stores(stream: DataFrame, seconds: int = 1800, lateness: str = "2 days") -> DataFrame:
+    """``(store_id, beat, silent_at)`` of every time that a store went silent: after ``beat``, a sign of life (any event but a view), none
+    came for ``seconds``. The row is made by an event-time timer, whether or not the store is ever heard again.
+
+    A store's state is its beats of the last ``seconds`` and ``lateness``; beats later than ``lateness`` behind the newest one do not count,
+    and what the newest beat less ``lateness`` has not reached is open."""
+    spark, option = stream.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    beats = stream.where("event_type <> 'view'").select("store_id", F.unix_micros("started_at").alias("beat"), "started_at").withWatermark("started_at", lateness)
+    silent = beats.groupBy("store_id").transformWithState(_Silence(seconds), "store_id long, beat long", "append", "eventTime")
+    before = spark.conf.get(option)
+    spark.conf.set(option, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # the one that has timers
+    try:
+        done = _finished(silent, "stream-silent", "append")
+    finally:
+        spark.conf.set(option, before)
+    return done.select("store_id", F.timestamp_micros("beat").alias("beat"), F.timestamp_micros(F.col("beat") + seconds * 1_000_000).alias("silent_at"))
 
 
 def stale_stores(stream: DataFrame, seconds: int = 1800) -> DataFrame:

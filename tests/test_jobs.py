@@ -16,3 +16,36 @@ def test_ingest_keeps_files_out_of_order(spark, tmp_path):
     want = sorted({(r.user_id % 80, r.event_type, r.ts.date()) for r in spark.read.parquet(f"{tmp_path}/events.parquet").collect()})
     got = QUERIES["stream_ingest"](spark, str(tmp_path))
     assert sorted((r.store_id, r.event_type, r.day) for r in got.collect()) == want
+
+
+def events(spark, path, parts):
+    columns = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double"
+    for k, rows in enumerate(parts):
+        spark.createDataFrame([(k * 1000 + j, *r) for j, r in enumerate(rows)], columns).coalesce(1).write.mode("append").parquet(f"{path}/events.parquet")
+
+
+def test_a_silent_store_is_told_by_its_timer(spark, tmp_path):
+    """Store 1 stops early and is never heard again; store 2 pauses twice; views are no sign of life; rows within two days may come late."""
+    day = datetime.datetime(2024, 1, 1)
+    at = lambda m: day + datetime.timedelta(minutes=m)
+    one = [(at(0), 1, "click", 1.0), (at(29), 1, "click", 1.0), (at(40), 1, "view", 1.0)]
+    two = [(at(m), 2, "click", 1.0) for m in (0, 20, 51, 81, 81, 200)]
+    far = [(at(60 * 24 * 3), 3, "click", 1.0)]
+    events(spark, tmp_path, [[two[3], two[0]], one[1:], [two[1], two[2], one[0]], two[4:], far])
+    from pricelattice.streaming import jobs
+
+    got = sorted((r.store_id, r.beat, r.silent_at) for r in jobs.silent_stores(jobs.runs_stream(spark, str(tmp_path))).collect())
+    assert got == [(s, at(m), at(m + 30)) for s, m in ((1, 29), (2, 20), (2, 81), (2, 200))]
+
+
+def test_weeks_close_once(spark, tmp_path):
+    from pricelattice.streaming import jobs
+
+    monday = datetime.datetime(2024, 1, 1)
+    at = lambda d: monday + datetime.timedelta(days=d)
+    idle = [(at(9), 9, "a", 1.0)]
+    first = [[(at(0.5), 1, "a", 2.0), (at(8), 1, "a", 5.0)], [(at(1), 1, "a", 4.0)], idle, idle]
+    events(spark, tmp_path, [*first, [(at(10), 1, "a", 1.0)], [(at(9.5), 1, "a", 3.0)], *[idle] * 6, [(at(0.2), 1, "a", 99.0)]])
+    late = []
+    got = sorted(map(tuple, jobs.closed_weeks(jobs.runs_stream(spark, str(tmp_path)), late=late).collect()))
+    assert got == [(1, monday.date(), 3.0, 2)] and late == [1]
