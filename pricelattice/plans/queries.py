@@ -602,8 +602,7 @@ def match_catalog(t):
     """Rows only: titles of pages against a catalog of product names."""
     from ..operators.resolve import match_catalog as match
 
-    p = t("products").select("name").distinct()
-    catalog = p.select(F.dense_rank().over(Window.orderBy("name")).alias("ordinal"), "name")
+    catalog = t("products").groupBy("name").agg(F.min("product_id").alias("ordinal"))
     titles = t("products").select(F.concat_ws(" ", "brand", "name", "pack_info").alias("title"))
     return match(titles, catalog)
 

@@ -1,7 +1,11 @@
 import itertools
+import random
+
+import pytest
+from pyspark.sql import Observation
 
 from pricelattice.functions.similarity import ratio_of, token_set_of, token_sort_of
-from pricelattice.operators.resolve import duplicate_products, match_barcode, match_catalog, match_sku, similar_names
+from pricelattice.operators.resolve import catalog_hits, duplicate_products, match_barcode, match_catalog, match_sku, similar_names
 
 
 def test_hand_values():
@@ -16,6 +20,60 @@ def test_blocked_join_is_brute_force(spark):
     assert got == {(a, b) for a, b in itertools.combinations(sorted(set(names)), 2) if token_sort_of(a, b) >= 80}
 
 
+def some_names(kind):
+    rng = random.Random(3)
+    words = ["red", "green", "apple", "milk", "мляко", "прясно", "хляб", "3", "percent", "of", "a", "bio"]
+    if kind == "skewed":  # nearly all begin alike
+        return [f"pack of sweet cookies {k:03d}" for k in range(150)] + ["pack of sweet biscuits", "a", "ab", "abc"]
+    if kind == "short":
+        return ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 12))) for _ in range(250)]
+    if kind == "spread":
+        return ["".join(rng.choice("etaoinshrdlucmfw ") for _ in range(rng.randrange(6, 30))) for _ in range(1200)]
+    base = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 6))) for _ in range(200)]
+    return base + ["".join(c for c in n if rng.random() > 0.08) for n in base]
+
+
+@pytest.mark.parametrize("kind, least", [("words", 80), ("skewed", 80), ("short", 80), ("spread", 80), ("words", 90), ("words", 60)])
+def test_no_pair_is_lost(spark, kind, least):
+    seen = Observation()
+    names = spark.createDataFrame([(n,) for n in some_names(kind)], "name string")
+    got = {(r.a, r.b): r.score for r in similar_names(names, float(least), seen).collect()}
+    own = sorted({" ".join(n.split()) for n in some_names(kind)} - {""})
+    want = {(a, b): round(token_sort_of(a, b), 4) for a, b in itertools.combinations(own, 2) if token_sort_of(a, b) >= least}
+    assert got == want
+    if kind == "spread":
+        assert seen.get["candidates"] < len(own) * (len(own) - 1) / 2 / 4
+
+
+def test_catalog_is_brute_force(spark):
+    names = sorted(set(some_names("words")))[:120]
+    catalog = spark.createDataFrame(list(enumerate(names)), "ordinal long, name string")
+    titles = [" ".join(n.split()) for n in some_names("words")[150:260]] + ["zzz", "qq 77", "apple"]
+    got = {}
+    for size in (1000, 50):  # one pass, three passes
+        rows = match_catalog(spark.createDataFrame([(n,) for n in titles], "title string"), catalog, slice_size=size).collect()
+        got[size] = {(r.title, r.place): (r.catalog_name, r.score) for r in rows}
+    norm = [" ".join(n.split()) for n in names]
+    for title in {x for x in titles if x}:
+        best = sorted(range(len(names)), key=lambda k: (-token_set_of(title, norm[k]), k))[:5]
+        for place, k in enumerate(best, 1):
+            assert got[1000][title, place] == got[50][title, place] == (names[k], round(token_set_of(title, norm[k]), 4))
+    first = [r.n_scored for r in match_catalog(spark.createDataFrame([(n,) for n in titles], "title string"), catalog).where("place = 1").collect()]
+    assert sum(first) < 0.7 * len(first) * len(names)
+
+
+def test_catalog_decisions(spark):
+    c = spark.createDataFrame([(1, "Бира", "Бира"), (2, "Бира тъмна", "Бира"), (3, "Сок", "Сокове")], "ordinal int, name string, category string")
+    t = spark.createDataFrame([("бира тъмна",), ("Нещо друго тук",), ("съвсем чуждо",), ("  ",), (None,)], "title string")
+    d = spark.createDataFrame(
+        [("Нещо друго тук", "Сок", "A", None, "x"), ("Нещо друго тук", "Хляб", "B", None, None), ("съвсем чуждо", "Хляб", None, None, None), ("бира тъмна", "Сок", None, None, None)],
+        "raw_title string, catalog_match string, brand string, pack_info string, additional_info string",
+    )
+    got = {r.title: (r.catalog_name, r.category, r.found_by, r.decided_brand) for r in catalog_hits(t, c, d).collect()}
+    assert got == {"бира тъмна": ("Бира", "Бира", "score", None), "Нещо друго тук": ("Сок", "Сокове", "decision", "A"), "съвсем чуждо": (None, None, None, None)}
+    assert {r.found_by for r in catalog_hits(t, c).collect()} == {"score", None}
+
+
 def test_sku(spark):
     cols = "id int, name string, brand string, pack_info string"
     p = spark.createDataFrame([(1, "Mleko", "A", "1 l"), (2, "Mleko 3", "A", "2 l"), (3, "Sir", None, None)], cols).withColumnRenamed("id", "product_id")
