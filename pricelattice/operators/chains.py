@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from ..functions.listing import is_brand_name
-from ..functions.names import is_product_name
+from ..functions.listing import ascii_slug, is_brand_name
+from ..functions.names import is_product_name, pack_components
 from ..functions.text import brand_key, canonical_brand, name_slug, normalise_name, normalise_pack
+from ..sources.facts import append_batch
+from ..sources.shared import kept
+from .order import first_of_group
 from .prices import latest_prices
-from .resolve import match_barcode, match_sku
-from .tables import guarded, merge_products, new_products
+from .resolve import catalog_hits, match_barcode, match_sku, similar_names
+from .tables import enrich, guarded, merge_products, new_products
 
 
 def without_brand_names(items: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -41,10 +44,16 @@ def family_extras(products: DataFrame, prices: DataFrame, categories: DataFrame)
 
 
 def ingest(items: DataFrame, products: DataFrame, prices: DataFrame) -> DataFrame:
+    """The outcome of ``ingest_rows``, without the items' other columns."""
+    return ingest_rows(items, products, prices).select("load_key", "load_line", "product_id", "matched_by", "outcome")
+
+
+def ingest_rows(items: DataFrame, products: DataFrame, prices: DataFrame) -> DataFrame:
     """Every item ``(load_key, load_line, name, brand, pack_info, barcode, store_id, price, recorded_at)`` with its product
     and outcome. Names that are none are ``rejected``. Brands become canonical; the product is that of the barcode, else of
     the fuzzy match, else a new one named by a hash of the key. Of a product, store, brand and day one price is
-    ``inserted``, unless ``prices`` has it; others are ``skipped``. Repeated rows are items of their own. Catalog names are matched beforehand (``match_catalog``)."""
+    ``inserted``, unless ``prices`` has it; others are ``skipped``. Repeated rows are items of their own; other columns
+    stay. ``ingest_batch`` matches catalog names before, and appends what is inserted."""
     rows = items.withColumn("brand", canonical_brand(F.col("brand")))
     good = rows.where(is_product_name(F.col("name")))
     codes = good.select("barcode", F.col("barcode").alias("item_no")).where("barcode is not null").distinct()
@@ -62,27 +71,88 @@ def ingest(items: DataFrame, products: DataFrame, prices: DataFrame) -> DataFram
     same = F.col("known_id").isNull() & F.col("__name").eqNullSafe(F.col("n")) & F.col("__brand").eqNullSafe(F.col("b")) & F.col("__pack").eqNullSafe(F.col("p"))
     placed = keyed.join(fresh, same, "left").withColumn("product_id", F.coalesce(F.col("known_id").cast("string"), "product_key"))
     how = F.when(F.col("by_code").isNotNull(), "barcode").when(F.col("by_name").isNotNull(), "name").otherwise("new")
-    out = ["load_key", "load_line", "product_id", "matched_by", "outcome"]
-    done = guarded(placed.withColumn("matched_by", how), prices.withColumn("product_id", F.col("product_id").cast("string"))).select(*out)
+    done = guarded(placed.withColumn("matched_by", how), prices.withColumn("product_id", F.col("product_id").cast("string")))
+    out = [*items.columns, "product_id", "matched_by", "outcome"]
     none = F.lit(None).cast("string")
-    gone = rows.where(~is_product_name(F.col("name"))).select("load_key", "load_line", none.alias("product_id"), none.alias("matched_by"))
-    return done.unionByName(gone.withColumn("outcome", F.lit("rejected")))
-
-
-def merge_duplicates(products: DataFrame, prices: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Products and prices after the merges of ``decisions(id_a, id_b, merge, canonical_name)``: each later product goes into
-    the least one that it was decided to be, and that one takes the canonical name of the decision with the least ``id_b``,
-    if one has a name. Decisions that chain are followed by running the job again, as they compare what is left."""
-    yes = decisions.where("merge and id_a < id_b")
-    to = yes.groupBy(F.col("id_b").alias("product_id")).agg(F.min("id_a").alias("kept_id"))
-    ends = to.join(to.select(F.col("product_id").alias("kept_id")), "kept_id", "left_anti").select("product_id", "kept_id")
-    left, moved = merge_products(products, prices, ends)
-    done = ends.select(F.col("kept_id").alias("id_a"), F.col("product_id").alias("id_b"))
-    named = yes.join(done, ["id_a", "id_b"], "left_semi").where("canonical_name is not null").groupBy(F.col("id_a").alias("product_id"))
-    names = named.agg(F.min_by("canonical_name", "id_b").alias("__name"))
+    gone = rows.where(~is_product_name(F.col("name"))).withColumns({"product_id": none, "matched_by": none, "outcome": F.lit("rejected")})
+    return done.select(*out).unionByName(gone.select(*out))
+
+
+def ingest_batch(
+    items: DataFrame, products: DataFrame, prices: DataFrame, catalog: DataFrame, path: str, batch: str, decisions: DataFrame | None = None, every: str = "day",
+) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """The whole ingest of a batch: ``(outcomes, products, counts)``.
+
+    ``items`` are those of ``ingest_rows`` with ``category``, ``image_url`` and ``additional_info``. Names that are a brand alone, or no name, are rejected;
+    brands become canonical; names that the catalog knows become its names, with its category (a decision may also give brand, pack and additional
+    information); products are found by barcode, by name, or are new; a product, store, brand and day has one price; the prices that are
+    inserted are appended to the facts at ``path`` (nothing changes where the batch is there); empty categories, images and additional information of products
+    are filled from the first inserted item that has them, and new products are added as pending. ``outcomes`` has a row for each item; ``counts`` is observed
+    while it is written: items, inserted, skipped, rejected, and by_barcode, by_name, by_new of those that were placed."""
+    cleared = without_brand_names(items, catalog)
+    hits = catalog_hits(items.select(F.col("name").alias("title")), catalog.withColumn("category", F.coalesce("category", F.lit(""))), decisions)
+    told = hits.select(F.col("title").alias("name"), "catalog_name", F.col("category").alias("catalog_category"), *[c for c in hits.columns if c.startswith("decided_")])
+    named = cleared.join(told, "name", "left")
+    fields = {c: F.coalesce(f"decided_{c}", c) for c in ("brand", "pack_info", "additional_info")}
+    title = F.when(F.col("rejected"), F.lit("")).otherwise(F.coalesce("catalog_name", "name"))  # a name that is none
+    ready = named.withColumns({**fields, "name": title, "category": F.coalesce(F.nullif("catalog_category", F.lit("")), "category")})
+    ready = kept(ready.select(*items.columns), "ingest-items")
+    seen = Observation()
+    is_ = lambda c, v: F.count(F.when(F.col(c) == v, 1))
+    counts = [F.count(F.lit(1)).alias("items"), *[is_("outcome", v).alias(v) for v in ("inserted", "skipped", "rejected")], *[is_("matched_by", v).alias(f"by_{v}") for v in ("barcode", "name", "new")]]
+    outcomes = kept(ingest_rows(ready, products, prices).observe(seen, *counts), "ingest-outcomes")
+    inserted = outcomes.where("outcome = 'inserted'")
+    append_batch(inserted, path, batch, every=every)
+    pack = pack_components(F.col("pack_info"))
+    newest = outcomes.where("matched_by = 'new'").groupBy("product_id").agg(F.min_by(F.struct("name", "brand", "pack_info", "barcode"), F.struct("load_key", "load_line")).alias("x"))
+    fresh = newest.select(
+        "product_id", "x.*", ascii_slug(F.col("x.name"), F.col("x.barcode"), F.col("product_id")).alias("slug"), F.lit("pending_review").alias("status")
+    ).withColumns({"generic_pack": pack["generic_pack"], "pack_type": pack["pack_type"]})
+    every_one = products.withColumn("product_id", F.col("product_id").cast("string")).unionByName(fresh, allowMissingColumns=True)
+    for column in ("category", "image_url", "additional_info"):
+        blank = every_one.withColumn(column, F.nullif(column, F.lit("")) if column in every_one.columns else F.lit(None).cast("string"))
+        every_one = enrich(blank, inserted.withColumn(column, F.nullif(column, F.lit(""))), column)
+    return outcomes, every_one, {k: int(v) for k, v in seen.get.items()}
+
+
+def accepted_links(decisions: DataFrame) -> DataFrame:
+    """``(id_a, id_b, canonical_name)`` with id_a < id_b of pairs that are to be merged, whichever way round they were asked. A pair merges if no
+    decision on it refuses; its name is the least one given. A pair of a product with itself is none."""
+    pairs = decisions.where("id_a <> id_b").select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), F.coalesce("merge", F.lit(False)).alias("merge"), "canonical_name")
+    one = pairs.groupBy("id_a", "id_b").agg(F.min("merge").alias("merge"), F.min("canonical_name").alias("canonical_name"))
+    return one.where("merge").drop("merge")
+
+
+def merge_duplicates(products: DataFrame, prices: DataFrame, decisions: DataFrame, created: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Products and prices after the merges of ``decisions(id_a, id_b, merge, canonical_name)``, chains and cycles in one pass: all products that
+    accepted decisions link become the earliest ``created`` one of them (unknown times last, then the least id; without ``created`` the least id
+    alone), which takes the canonical name of its group's first decision that has one, by its two ids. Decisions on unknown products do not count."""
+    born = F.struct(F.col(created).isNull(), F.col(created), "product_id") if created else F.struct("product_id")
+    known = products.select(F.col("product_id").alias("id"), born.alias("rank"))
+    yes = accepted_links(decisions)
+    side = lambda c, to: known.select(F.col("id").alias(c), F.col("rank").alias(to))
+    links = kept(yes.join(side("id_a", "a"), "id_a").join(side("id_b", "b"), "id_b"), "merge-links")
+    groups = first_of_group(links).select(F.col("a.product_id").alias("product_id"), F.col("up.product_id").alias("kept_id"))
+    groups = kept(groups, "merge-groups")
+    left, moved = merge_products(products, prices, groups)
+    ends = links.where("canonical_name is not null").join(groups, F.col("id_a") == F.col("product_id"), "left")
+    first = F.min_by("canonical_name", F.struct("id_a", "id_b")).alias("__name")
+    names = ends.groupBy(F.coalesce("kept_id", "id_a").alias("product_id")).agg(first)
     return left.join(names, "product_id", "left").withColumn("name", F.coalesce("__name", "name")).drop("__name"), moved
 
 
+def merge_candidates(products: DataFrame, created: str, least: float = 80.0) -> DataFrame:
+    """``(id_a, id_b, name_a, name_b, score)`` to be decided on: products of an equal normalised name with the first of them, and the first ones of
+    similar names with each other. They hold together every group that all pairs of products would."""
+    own = products.select("product_id", F.col(created).alias("born"), "name", normalise_name(F.col("name")).alias("n")).where("n <> ''")
+    first = own.groupBy("n").agg(F.min_by(F.struct("product_id", "name"), F.struct(F.col("born").isNull(), "born", "product_id")).alias("x"))
+    heads = kept(first.select("n", F.col("x.product_id").alias("head"), F.col("x.name").alias("head_name")), "merge-heads")
+    equal = own.join(heads, "n").where("product_id <> head").select(F.col("head").alias("id_a"), F.col("product_id").alias("id_b"), F.col("head_name").alias("name_a"), F.col("name").alias("name_b"), F.lit(100.0).alias("score"))
+    side = lambda n, i, c: heads.select(F.col("n").alias(n), F.col("head").alias(i), F.col("head_name").alias(c))
+    alike = similar_names(products.select("name"), least).join(side("a", "id_a", "name_a"), "a").join(side("b", "id_b", "name_b"), "b")
+    return equal.unionByName(alike.select("id_a", "id_b", "name_a", "name_b", "score"))
+
+
 def equal_products(products: DataFrame) -> DataFrame:
     """``(id_a, id_b)``: the first product of an equal normalised name, brand and pack with each other one: links that hold a group
     together without all of its pairs."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.packs import pack_base, unit_price
 from ..functions.text import brand_key, normalise_pack
+from .order import half_even
 
 
 def latest(df: DataFrame, keys: list[str], order: str = "recorded_at", tie_break: list[Column] | None = None) -> DataFrame:
@@ -24,7 +25,7 @@ def compare(prices: DataFrame, stores: DataFrame, products: Column) -> DataFrame
     """Latest prices of some products by store, with the percentage above the cheapest."""
     now = latest_prices(prices.where(products)).select("product_id", "store_id", "price", "load_key", "load_line")
     low = F.min("price").over(Window.partitionBy("product_id"))
-    above = F.when(low == 0, F.lit(0)).otherwise(F.round((F.col("price") - low) * 100 / low, 1))
+    above = F.when(low == 0, F.lit(0)).otherwise(half_even((F.col("price") - low) * 100, low, 1))
     return now.join(stores, "store_id").withColumn("pct_above", above.cast("decimal(10,1)"))
 
 
@@ -118,7 +119,7 @@ def weekly(prices: DataFrame) -> DataFrame:
     return (
         prices.groupBy("product_id", "store_id", F.to_date(F.date_trunc("week", "recorded_at")).alias("week"))
         .agg(F.sum("price").alias("total"), F.count("*").alias("n"), F.min(F.to_date("recorded_at")).alias("first_date"))
-        .select("product_id", "store_id", "first_date", "n", F.round(F.col("total") / F.col("n"), 2).cast("decimal(12,2)").alias("avg_price"))
+        .select("product_id", "store_id", "first_date", "n", half_even(F.col("total"), F.col("n"), 2).cast("decimal(12,2)").alias("avg_price"))
     )
 
 

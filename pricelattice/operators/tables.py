@@ -108,13 +108,13 @@ def moderate(products: DataFrame, actions: DataFrame) -> DataFrame:
     )
 
 
-def update_partial(products: DataFrame, updates: DataFrame, columns: list[str], key: str = "product_id") -> DataFrame:
-    """Set the given columns where the update has a value; of several updates of a key the greatest value of each column."""
-    new = updates.groupBy(key).agg(*[F.max(c).alias(f"__{c}") for c in columns])
+def update_partial(products: DataFrame, updates: DataFrame, columns: list[str], key: str = "product_id", order: str | None = None) -> DataFrame:
+    """Set the given columns where the update has a value. Of several updates of a key the last one in ``order`` counts, whole (without an
+    order, and among equals of it, the greatest one, columns compared from left to right)."""
+    row = F.struct(*([F.col(order).alias("__order")] if order else []), *columns)
+    new = updates.groupBy(key).agg(F.max(row).alias("__new"))
     out = products.join(new, key, "left")
-    for c in columns:
-        out = out.withColumn(c, F.coalesce(f"__{c}", c))
-    return out.drop(*[f"__{c}" for c in columns])
+    return out.withColumns({c: F.coalesce(F.col(f"__new.{c}"), c) for c in columns}).drop("__new")
 
 
 def delete_cascade(products: DataFrame, prices: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -125,7 +125,8 @@ def delete_cascade(products: DataFrame, prices: DataFrame, gone: DataFrame) -> t
 
 def merge_products(products: DataFrame, prices: DataFrame, merged: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``merged(product_id, kept_id)``: prices move to the kept product, whose brand becomes null; the
-    others go."""
+    others go. A product merged into itself stays as it is."""
+    merged = merged.where("product_id <> kept_id")
     moved = prices.join(merged, "product_id", "left").withColumn("product_id", F.coalesce("kept_id", "product_id")).drop("kept_id")
     keep = merged.select(F.col("kept_id").alias("product_id")).distinct().withColumn("__kept", F.lit(True))
     left = products.join(merged, "product_id", "left_anti").join(keep, "product_id", "left")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from ..functions import listing as L
 from ..functions import names, text
 from ..operators import chains
-from ..sources import catalog, offers
+from ..sources import catalog, facts, offers
+from ..sources.shared import folder
 from . import queries as Q
 from .queries import LATEST, query
 
@@ -241,6 +242,47 @@ def ingest_job(t):
     return out.withColumn("product_id", F.when(F.col("matched_by") != "new", F.col("product_id")))
 
 
+@query(
+    "prices products",
+    """b AS (SELECT *, CAST(recorded_at AS DATE) AS day, load_key % 8 AS kind FROM prices WHERE recorded_at >= TIMESTAMP '1998-01-01'),
+    low AS (SELECT name, brand, pack_info, min(product_id) AS low FROM products GROUP BY ALL),
+    x AS (SELECT b.*, CASE WHEN kind < 4 THEN 'barcode' WHEN kind = 4 THEN 'name' WHEN kind < 7 THEN 'new' END AS how,
+      CASE WHEN kind < 4 THEN CAST(b.product_id AS VARCHAR) WHEN kind = 4 THEN CAST(low AS VARCHAR) WHEN kind = 5 THEN 'прясно мляко' WHEN kind = 6 THEN 'сирене' END AS target
+      FROM b JOIN products p ON p.product_id = b.product_id JOIN low l ON l.name = p.name AND l.brand IS NOT DISTINCT FROM p.brand AND l.pack_info IS NOT DISTINCT FROM p.pack_info),
+    h AS (SELECT DISTINCT CAST(product_id AS VARCHAR) AS target, store_id, brand, CAST(recorded_at AS DATE) AS day, true AS have FROM prices WHERE recorded_at < TIMESTAMP '1998-01-01' OR load_line = 2),
+    g AS (SELECT *, row_number() OVER (PARTITION BY target, store_id, brand, day ORDER BY load_key, load_line) AS nth FROM x WHERE how IS NOT NULL),
+    o AS (SELECT g.load_key, g.load_line, g.price, how AS matched_by, CASE WHEN nth > 1 OR have THEN 'skipped' ELSE 'inserted' END AS outcome,
+      CASE WHEN kind = 5 THEN 'Прясно мляко' WHEN kind = 6 THEN 'Сирене' WHEN kind = 4 THEN 'Друго' ELSE '' END AS category
+      FROM g LEFT JOIN h ON g.target = h.target AND g.store_id = h.store_id AND g.brand IS NOT DISTINCT FROM h.brand AND g.day = h.day)
+    SELECT load_key, load_line, matched_by, outcome, category, CASE WHEN outcome = 'inserted' THEN CAST(price AS DOUBLE) END AS appended FROM o
+    UNION ALL SELECT load_key, load_line, NULL, 'rejected', '', NULL FROM x WHERE how IS NULL""",
+)
+def ingest_whole(t):
+    """A batch by every way that an item can go: barcodes, fuzzy names, a catalog name, a decision, no name, and prices that are there."""
+    new = F.col("recorded_at") >= F.expr("timestamp_ntz'1998-01-01'")
+    own = t("products").select("product_id", "name", "brand", "pack_info")
+    rows = t("prices").where(new).drop("brand", "category").join(own, "product_id")
+    way = lambda *x: F.expr("CASE load_key % 8 " + " ".join(f"WHEN {k} THEN {v}" for k, v in zip((4, 5, 6, 7), x[:4])) + f" ELSE {x[4]} END")
+    items = rows.select(
+        "load_key", "load_line", "store_id", "price", "recorded_at", "brand",
+        way("concat(name, 's')", "'Мляко прясно!'", "'нещо неясно'", "CASE WHEN load_line % 2 = 0 THEN 'Нова' ELSE ' я' END", "name").alias("name"),
+        way("pack_info", "NULL", "NULL", "pack_info", "pack_info").alias("pack_info"),
+        way("''", "NULL", "''", "NULL", "concat('38', product_id)").alias("barcode"),
+        way("'Друго'", "'Друго'", "NULL", "''", "''").alias("category"), F.concat(F.lit("i"), "load_key").alias("image_url"), F.lit(None).cast("string").alias("additional_info"),
+    )
+    spark = items.sparkSession
+    catalog_rows = spark.createDataFrame([(1, "Прясно мляко", "Прясно мляко"), (2, "Сирене", "Сирене")], "ordinal long, name string, category string")
+    told = spark.createDataFrame([("нещо неясно", "Сирене", None, None, "краве")], "raw_title string, catalog_match string, brand string, pack_info string, additional_info string")
+    known = t("products").withColumn("barcode", F.expr("concat('38', product_id)"))
+    path = folder(spark, "ingest")
+    history = t("prices").where(~new | (F.col("load_line") == 2))
+    out, _, _ = chains.ingest_batch(items, known, history, catalog_rows, path, "batch-1998", told, every="month")
+    appended = facts.read_facts(spark, path, out.schema)
+    gone = out.where("outcome <> 'inserted'").withColumn("appended", F.lit(None).cast("double"))
+    every = appended.withColumn("appended", F.col("price").cast("double")).unionByName(gone, allowMissingColumns=True)
+    return every.select("load_key", "load_line", "matched_by", "outcome", F.coalesce("category", F.lit("")).alias("category"), "appended")
+
+
 Q.ORACLE["stream_stale"] = """SELECT CAST(user_id % 80 AS BIGINT) AS store_id, max(ts) FILTER (event_type <> 'view') AS beat,
     coalesce(max(ts) FILTER (event_type <> 'view') < (SELECT max(ts) FROM events) - INTERVAL 1800 SECOND, true) AS stale FROM events GROUP BY 1"""
 

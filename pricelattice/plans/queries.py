@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..fixtures import load, with_tables
 from ..functions import dates, packs, text
+from ..operators import chains
+from ..operators import order as O
 from ..operators import prices as P
 from ..operators import tables as T
+from ..sources import facts
+from ..sources.shared import folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -26,8 +31,16 @@ SIZED = f"""sized AS (
   FROM products WHERE pack_info IS NOT NULL)"""
 _A, _B = "(CAST(price * 100 AS HUGEINT) * 1000000)", "CAST(size * 1000000 AS HUGEINT)"
 #: price / size to cents, halves to even, in whole numbers.
-PPU = f"""CAST(({_A} // {_B} + CASE WHEN 2 * ({_A} % {_B}) > {_B} OR (2 * ({_A} % {_B}) = {_B} AND ({_A} // {_B}) % 2 = 1)
-  THEN 1 ELSE 0 END) AS DECIMAL(18,0)) / 100"""
+
+
+def half_even(num: str, den: str, unit: int) -> str:
+    """num / den, neither below zero, in whole ``unit`` parts, halves to even, as SQL in whole numbers."""
+    return f"""CAST(({num} // {den} + CASE WHEN 2 * ({num} % {den}) > {den} OR (2 * ({num} % {den}) = {den} AND ({num} // {den}) % 2 = 1)
+  THEN 1 ELSE 0 END) AS DECIMAL(18,0)) / {unit}"""
+
+
+PPU = half_even(_A, _B, 100)
+_CENTS = "CAST({} * 100 AS HUGEINT)"
 
 
 def query(tables: str = "", sql: str = ""):
@@ -57,7 +70,7 @@ def product_store_prices(t):
 @query(
     "prices stores",
     f"""{LATEST} SELECT product_id, store_id, store_name, price, load_key, load_line,
-    CAST(round((price - low) * 100 / low, 1) AS DECIMAL(10,1)) AS pct_above
+    CASE WHEN low = 0 THEN 0 ELSE {half_even("(" + _CENTS.format("(price - low)") + " * 1000)", _CENTS.format("low"), 10)} END AS pct_above
     FROM (SELECT *, min(price) OVER (PARTITION BY product_id) AS low FROM latest) JOIN stores USING (store_id)""",
 )
 def compare_prices(t):
@@ -218,8 +231,8 @@ def browse_rollup(t):
 
 @query(
     "prices",
-    """SELECT product_id, store_id, CAST(min(recorded_at) AS DATE) AS first_date, count(*) AS n,
-    CAST(round(CAST(sum(price) AS DOUBLE) / count(*) + 1e-9, 2) AS DECIMAL(12,2)) AS avg_price
+    f"""SELECT product_id, store_id, CAST(min(recorded_at) AS DATE) AS first_date, count(*) AS n,
+    {half_even(_CENTS.format("sum(price)"), "count(*)", 100)} AS avg_price
     FROM prices GROUP BY product_id, store_id, date_trunc('week', recorded_at)""",
 )
 def history_weekly(t):
@@ -711,10 +724,10 @@ def search_compare(t):
 @query(
     "products",
     """SELECT lower(trim(name)) AS name, lower(brand) AS brand, pack_info, count(*) AS n_items, min(product_id) AS first_item FROM products
-    WHERE product_id % 3 = 0 GROUP BY 1, 2, 3""",
+    GROUP BY 1, 2, 3""",
 )
 def new_products(t):
-    items = t("products").where("product_id % 3 = 0").withColumnRenamed("product_id", "item_no")
+    items = t("products").withColumnRenamed("product_id", "item_no")
     out = T.new_products(items, text.normalise_name(F.col("name")), text.brand_key(F.col("brand")), text.normalise_pack(F.col("pack_info")))
     return out.select("name", "brand", "pack_info", "n_items", "first_item")
 
@@ -787,6 +800,109 @@ def price_sanity(t):
 
 
 
+@query(
+    "",
+    """WITH RECURSIVE c AS (SELECT c_custkey AS id, c_name AS name, nullif(c_custkey // 4, 0) AS parent_id FROM customer),
+    w AS (SELECT id, name, parent_id, 0 AS depth, [{'name': name, 'id': id}] AS way FROM c WHERE parent_id IS NULL
+      UNION ALL SELECT c.id, c.name, c.parent_id, depth + 1, list_append(way, {'name': c.name, 'id': c.id}) FROM c JOIN w ON c.parent_id = w.id),
+    sizes AS (SELECT id, count(*) AS size FROM (SELECT unnest(list_transform(way, lambda x: x.id)) AS id FROM w) GROUP BY id)
+    SELECT id, name, parent_id, depth, row_number() OVER (ORDER BY way) - 1 AS pre, row_number() OVER (ORDER BY way) - 2 + size AS last FROM w JOIN sizes USING (id)""",
+)
+def category_order(t):
+    """A tree of all customers, each under the fourth of its number: pre-order and the range of each subtree."""
+    tree = t("customer").selectExpr("c_custkey AS id", "c_name AS name", "nullif(c_custkey div 4, 0) AS parent_id")
+    return O.tree_intervals(tree)
+
+
+@query(
+    "categories products",
+    """sub AS (SELECT id FROM categories WHERE id = 102 UNION ALL SELECT c.id FROM categories c JOIN sub s ON c.parent_id = s.id)
+    SELECT product_id, name, category_id FROM products WHERE category_id IN (SELECT id FROM sub)""",
+)
+def subtree_range(t):
+    ids = O.subtree(O.tree_intervals(t("categories")), 102).select(F.col("id").alias("category_id"))
+    return t("products").join(ids, "category_id", "left_semi").select("product_id", "name", "category_id")
+
+
+@query(
+    "prices",
+    """SELECT product_id, store_id, nth, recorded_at, price, dense_rank() OVER (PARTITION BY product_id ORDER BY since, store_id) AS store_place FROM (
+    SELECT *, row_number() OVER (PARTITION BY product_id, store_id ORDER BY recorded_at, price, load_key, load_line) AS nth,
+    min(recorded_at) OVER (PARTITION BY product_id, store_id) AS since FROM prices)""",
+)
+def history_series(t):
+    """Every observation with its place in its store's series, stores in order of their first one."""
+    rows = O.numbered(t("prices").select("product_id", "store_id", "recorded_at", "price", "load_key", "load_line"), ["product_id", "store_id"], ["recorded_at", "price", "load_key", "load_line"])
+    first = rows.where("nth = 1").select("product_id", "store_id", F.col("recorded_at").alias("since"))
+    place = F.row_number().over(Window.partitionBy("product_id").orderBy("since", "store_id")).cast("long")
+    stores = first.withColumn("store_place", place).drop("since")
+    return rows.join(stores, ["product_id", "store_id"]).select("product_id", "store_id", "nth", "recorded_at", "price", "store_place")
+
+
+PAGES = [("first", 0, 20), ("inner", 27, 20), ("last", 50, 100), ("past", 100_000_000, 20)]
+
+
+@query(
+    "products prices",
+    f"""{FAMILIES}, ranked AS (SELECT name, n_products, min_price, row_number() OVER (ORDER BY name) - 1 AS place, count(*) OVER () AS total FROM f),
+    pages AS (SELECT * FROM (VALUES {", ".join(f"('{p}', {o}, {n})" for p, o, n in PAGES)}) v(page, begin, size))
+    SELECT page, name, n_products, min_price, (SELECT count(*) FROM f) AS total FROM pages LEFT JOIN ranked ON place >= begin AND place < begin + size""",
+)
+def catalogue_total(t):
+    """Pages of families with the total; a page past the end is its total alone."""
+    index = O.RankIndex(P.families(t("products"), t("prices")).select("name", "n_products", "min_price"), "name")
+    pages = [index.page(o, n).withColumn("page", F.lit(p)) for p, o, n in PAGES]
+    rows = reduce(DataFrame.unionByName, pages)
+    empty = index.rows.agg(F.count("*").alias("total")).select(F.explode(F.array(*[F.lit(p) for p, _, _ in PAGES])).alias("page"), "total")
+    return empty.join(rows.drop("total"), "page", "left").select("page", "name", "n_products", "min_price", "total")
+
+
+@query(
+    "prices",
+    """SELECT product_id, store_id, load_key, load_line, price, CASE WHEN recorded_at < TIMESTAMP '1998-01-01' THEN 'history' ELSE 'batch-1998' END AS batch,
+    CAST(date_trunc('month', recorded_at) AS DATE) AS part FROM prices""",
+)
+def append_prices(t):
+    """Two batches; the second one is begun and left, appended, and appended again."""
+    rows = t("prices").select("product_id", "store_id", "load_key", "load_line", "price", "recorded_at")
+    new = F.col("recorded_at") >= F.expr("timestamp_ntz'1998-01-01'")
+    spark, path = rows.sparkSession, folder(rows.sparkSession, "facts")
+    facts.append_batch(rows.where(~new), path, "history", every="month")
+    facts.write_attempt(rows.where(new), path, "batch-1998", every="month")
+    for _ in range(2):
+        facts.append_batch(rows.where(new), path, "batch-1998", every="month")
+    return facts.read_facts(spark, path, rows.schema).select("product_id", "store_id", "load_key", "load_line", "price", "batch", "part")
+
+
+@query(
+    "products",
+    """g AS (SELECT *, (product_id + 4) // 5 AS grp FROM products),
+    k AS (SELECT *, first_value(product_id) OVER (PARTITION BY grp ORDER BY created_on, product_id) AS kept, min(product_id) OVER (PARTITION BY grp) AS low,
+      count(*) OVER (PARTITION BY grp) AS n FROM g)
+    SELECT product_id, CASE WHEN n > 1 THEN 'N' || low ELSE name END AS name, CASE WHEN n = 1 THEN brand END AS brand FROM k WHERE product_id = kept""",
+)
+def merge_chains(t):
+    """Groups of five products that decisions link one after the other, and the last with the first; the earliest one stays."""
+    ids = t("products").select("product_id")
+    onward = ids.where("product_id % 5 <> 0").selectExpr("product_id AS id_a", "product_id + 1 AS id_b")
+    back = ids.where("product_id % 5 = 0").selectExpr("product_id AS id_a", "product_id - 4 AS id_b")
+    itself = ids.selectExpr("product_id AS id_a", "product_id AS id_b")
+    decisions = onward.unionByName(back).unionByName(itself).withColumns({"merge": F.lit(True), "canonical_name": F.concat(F.lit("N"), F.least("id_a", "id_b"))})
+    left, _ = chains.merge_duplicates(t("products"), t("prices"), decisions, "created_on")
+    return left.select("product_id", "name", "brand")
+
+
+@query()
+def merge_similar(t):
+    """Rows only: products after the merge of similar names whose first words agree."""
+    p = t("products")
+    asked = chains.merge_candidates(p, "created_on")
+    word = lambda c: F.split_part(F.lower(c), F.lit(" "), F.lit(1))
+    decisions = asked.select("id_a", "id_b", (word("name_a") == word("name_b")).alias("merge"), F.col("name_a").alias("canonical_name"))
+    left, _ = chains.merge_duplicates(p, t("prices"), decisions, "created_on")
+    return left.select("product_id", "name", "brand")
+
+
 #: Exact decimal columns, which both sides hand over as doubles.
 DECIMALS = {
     "latest_prices": "price", "product_store_prices": "price", "compare_prices": "price pct_above", "cheapest_store": "price",
@@ -795,6 +911,7 @@ DECIMALS = {
     "browse_brands": "min_price max_price", "browse_rollup": "min_price max_price", "history_weekly": "avg_price",
     "history_range": "price", "history_pivot": "s1 s2 s3", "price_trend": "first_price last_price", "dedup_prices": "price",
     "delete_cascade": "total", "merge_products": "total", "brochure_prices": "price",
+    "append_prices": "price", "history_series": "price", "catalogue_total": "min_price",
     "review_queue": "last_price", "family_variants": "price", "search_compare": "price",
 }
 

@@ -3,21 +3,11 @@ folder that the cluster shares (``spark.checkpoint.dir``)."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-
-def _folder(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+from ..sources.shared import folder
 
 
 def runs_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,12 +22,12 @@ def runs_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _finished(frame: DataFrame, name: str, mode: str, late: list[int] | None = None) -> DataFrame:
     spark = frame.sparkSession
-    out = _folder(spark, name)
+    out = folder(spark, name)
 
     def put(batch: DataFrame, epoch: int) -> None:  # the same epoch again overwrites itself
         batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
-    run = frame.writeStream.outputMode(mode).option("checkpointLocation", _folder(spark, f"{name}-log")).foreachBatch(put).trigger(availableNow=True).start()
+    run = frame.writeStream.outputMode(mode).option("checkpointLocation", folder(spark, f"{name}-log")).foreachBatch(put).trigger(availableNow=True).start()
     run.awaitTermination()
     if late is not None:
         late.append(sum(op.numRowsDroppedByWatermark for step in run.recentProgress for op in step.stateOperators))
@@ -52,7 +42,7 @@ def guarded_ingest(stream: DataFrame, days: int = 2) -> DataFrame:
     second output as it is. The result unites both; late runs count where the first output has none. A batch that runs again
     overwrites what it wrote and reads only the batches before it."""
     spark, key = stream.sparkSession, ["store_id", "event_type", "day"]
-    out = _folder(spark, "stream-ingest")
+    out = folder(spark, "stream-ingest")
 
     def earlier(name: str, epoch: int) -> DataFrame | None:
         return spark.read.parquet(f"{out}/{name}").where(F.col("epoch") < epoch) if epoch else None
@@ -71,7 +61,7 @@ def guarded_ingest(stream: DataFrame, days: int = 2) -> DataFrame:
         rows.agg(F.max("day").alias("newest")).coalesce(1).write.mode("overwrite").parquet(f"{out}/marks/epoch={epoch}")
         rows.unpersist()
 
-    run = stream.writeStream.option("checkpointLocation", _folder(spark, "stream-ingest-log")).foreachBatch(put).trigger(availableNow=True).start()
+    run = stream.writeStream.option("checkpointLocation", folder(spark, "stream-ingest-log")).foreachBatch(put).trigger(availableNow=True).start()
     run.awaitTermination()
     schema = "store_id long, event_type string, day date"
     runs, late = (spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{out}/{name}") for name in ("runs", "late"))
