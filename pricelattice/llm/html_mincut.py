@@ -37,6 +37,8 @@ INLINE = {
 }
 CLOSED_BY_BLOCK = {"p"}
 ONE_OF = {"li": {"ul", "ol", "menu"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr"}, "th": {"tr"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}}
+#: Elements that close each other.
+TWIN = {"td": "th", "th": "td", "dt": "dd", "dd": "dt"}
 BOILERPLATE_TAGS = {"nav", "footer", "aside", "form", "dialog", "menu", "button", "fieldset"}
 #: Names of boilerplate that say so in any compound, and others that say so standing alone.
 SURE = re.compile(
@@ -78,10 +80,14 @@ def blocks(page: str) -> list[Block]:
     no blocks. Tags that are never closed are closed by their surroundings, as browsers do."""
     out: list[Block] = []
     stack: list[tuple[str, int, float, bool]] = [("", 0, 0.0, False)]  # tag, number, log-odds, in an article
+    places: dict[str, list[int]] = {}  # of the open elements of each tag in the stack, outermost first
     parts: list[str] = []
     linked = opened = 0
     in_link = 0
 
+    def inmost(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
     def flush() -> None:
         nonlocal linked
         if parts:
@@ -93,6 +99,8 @@ def blocks(page: str) -> list[Block]:
 
     def close(k: int) -> None:
         flush()
+        for tag, *_ in stack[k:]:
+            places[tag].pop()
         del stack[k:]
 
     at, end = 0, len(page)
@@ -124,10 +132,8 @@ def blocks(page: str) -> list[Block]:
         elif name in VOID:
             flush()
         elif tag[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    close(k)
-                    break
+            if own := inmost([name]):
+                close(own)
             else:
                 flush()
             in_link = 0
@@ -135,14 +141,12 @@ def blocks(page: str) -> list[Block]:
             if stack[-1][0] in CLOSED_BY_BLOCK:
                 close(len(stack) - 1)
             if name in ONE_OF:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in ONE_OF[name]:
-                        break
-                    if stack[k][0] == name or {stack[k][0], name} in ({"td", "th"}, {"dt", "dd"}):
-                        close(k)
-                        break
+                same = inmost([name, TWIN.get(name, name)])
+                if same > inmost(ONE_OF[name]):
+                    close(same)
             flush()
             opened += 1
+            places.setdefault(name, []).append(len(stack))
             stack.append((name, opened, *_context(name, tag[3], stack[-1])))
     flush()
     return out

@@ -267,7 +267,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Field:
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(sample)
     )
-    rows = docs.where("lang is not null and text is not null").join(ids, "doc_id").select("doc_id", "text", "lang").toPandas()
+    told = docs.where("lang is not null and text is not null").join(ids, "doc_id").select("doc_id", "text", "lang")
+    # a row an id, however often it repeats: that of the least hash
+    rows = told.groupBy("doc_id").agg(F.min_by(F.struct("text", "lang"), F.xxhash64("text", "lang")).alias("x")).select("doc_id", "x.*").toPandas()
     rows = rows.sort_values(["doc_id", "lang"], kind="stable")
     return train(rows["text"].to_list(), rows["lang"].to_list())
 

@@ -222,9 +222,9 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, sample: int = SAMPL
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(sample)
     )
-    rows = _pooled(
-        docs.select("doc_id", F.col(text).alias("text")).join(known, "doc_id"), "text", shared, True
-    ).toPandas()
+    told = docs.select("doc_id", F.col(text).alias("text")).join(known, "doc_id")
+    one = told.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # a row an id, however often it repeats
+    rows = _pooled(one, "text", shared, True).toPandas()
     rows = rows.sort_values("doc_id", kind="stable")
     x = np.stack(rows["__features"].to_list()) if len(rows) else np.zeros((0, FEATURES), np.float32)
     net = train(x.astype(np.float64), rows["quality"].to_numpy(np.float64))

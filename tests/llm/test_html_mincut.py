@@ -4,7 +4,7 @@ import itertools
 import random
 import re
 
-from pricelattice.llm.html_mincut import extract, main_text, min_cut
+from pricelattice.llm.html_mincut import blocks, extract, main_text, min_cut
 
 
 def test_min_cut_matches_enumeration():
@@ -76,3 +76,11 @@ def test_names_that_hold_a_listed_word():
     for name in ("sidebar", "comments", "comment-list", "ad", "footer-links", "notice"):
         assert main_text(f'<article><p>Kept words of the main article text here.</p></article><div class="{name}">{p}</div>').startswith("Kept")
         assert "Taken" not in main_text(f'<article><p>Kept words of the main article text here.</p></article><div class="{name}">{p}</div>')
+
+
+def test_deep_pages_take_linear_time():
+    began = time.time()
+    for page in ("<div>" * 30_000 + "x" + "</section>" * 30_000, "<div>" * 30_000 + "<li>x</li>" * 30_000, "<ul><li>" * 20_000 + "</b>" * 20_000):
+        blocks(page)
+    assert time.time() - began < 20
+    assert [b.text for b in blocks("<ul><li>a<li>b<ul><li>c</ul><li>d</ul><table><tr><td>e<th>f<tr><td>g</table>")] == list("abcdefg")
