@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lean
+from .common import give_back, lean
 from .word_hash import exact_hashes
 
 
@@ -228,6 +228,9 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, sample: int = SAMPL
     rows = rows.sort_values("doc_id", kind="stable")
     x = np.stack(rows["__features"].to_list()) if len(rows) else np.zeros((0, FEATURES), np.float32)
     net = train(x.astype(np.float64), rows["quality"].to_numpy(np.float64))
+    shared.unpersist()
+    del rows, x
+    give_back()
     return spark.sparkContext.broadcast((vectors, net))
 
 
