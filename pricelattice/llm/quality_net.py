@@ -212,7 +212,9 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, sample: int = SAMPL
     """Broadcast (word vectors, network). ``labels(doc_id, quality)``; rows with a null are
     ignored. ``allowed`` says of a doc_id whether its label may be learnt from."""
     spark: SparkSession = docs.sparkSession
+    give_back()  # what stages before have left on the driver
     vectors = word_vectors(docs, text)
+    give_back()
     shared = spark.sparkContext.broadcast((vectors, None))
     known = (
         labels.where("doc_id is not null and quality is not null")
@@ -227,9 +229,12 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, sample: int = SAMPL
     rows = _pooled(one, "text", shared, True).toPandas()
     rows = rows.sort_values("doc_id", kind="stable")
     x = np.stack(rows["__features"].to_list()) if len(rows) else np.zeros((0, FEATURES), np.float32)
-    net = train(x.astype(np.float64), rows["quality"].to_numpy(np.float64))
+    y = rows["quality"].to_numpy(np.float64)
+    del rows
+    give_back()
+    net = train(x.astype(np.float64), y)
     shared.unpersist()
-    del rows, x
+    del x
     give_back()
     return spark.sparkContext.broadcast((vectors, net))
 
