@@ -40,22 +40,28 @@ ONE_OF = {"li": {"ul", "ol", "menu"}, "tr": {"table", "tbody", "thead", "tfoot"}
 #: Elements that close each other.
 TWIN = {"td": "th", "th": "td", "dt": "dd", "dd": "dt"}
 BOILERPLATE_TAGS = {"nav", "footer", "aside", "form", "dialog", "menu", "button", "fieldset"}
-#: Names of boilerplate that say so in any compound, and others that say so standing alone.
+#: Names of boilerplate; names of link lists, which a text may be about as well; weaker names; names of content.
 SURE = re.compile(
-    r"(?:^|[\s_-])(?:advert\w*|breadcrumbs?|comments?|cookies?|consent|disqus|footer|gdpr|nav|navbar|navigation|newsletter|pagination|"
-    r"related|share|sharing|sidebar|social|sponsor\w*|subscribe|complementary|contentinfo)(?:$|[\s_-])",
-    re.I,
+    r"ads?|advert\w*|breadcrumbs?|comments?|cookies?|consent|disqus|footer|gdpr|nav|navbar|navigation|newsletter|pagination|sidebar|sponsor\w*|"
+    r"subscribe|complementary|contentinfo"
 )
-HINT = (
-    "ads?|banner|copyright|disclaimer|foot|header|legal|login|masthead|menu|modal|notice|pager|popup|promo\\w*|recommend\\w*|replies|"
-    "side|signup|tags?|toolbar|topbar|widget|alert"
+LINKY = re.compile(r"related|share|sharing|social")
+HINT = re.compile(
+    r"banner|copyright|disclaimer|foot|header|legal|login|masthead|menu|modal|notice|pager|popup|promo\w*|recommend\w*|replies|"
+    r"side|signup|tags?|toolbar|topbar|widget|alert"
 )
-ALONE = re.compile(rf"(?:^|\s)(?:{HINT})(?:$|\s)", re.I)
-PART = re.compile(rf"(?:^|[\s_-])(?:{HINT})(?:$|[\s_-])", re.I)
-CONTENT = re.compile(r"(?:^|[\s_-])(?:article|content|entry|main|post|story|body)(?:$|[\s_-])", re.I)
+CONTENT = re.compile(r"article|content|entry|main|post|story|body")
+#: Parts of a compound that name a place or a container, so that the other parts say what it holds.
+FRAME = re.compile(
+    r"site|page|global|top|bottom|left|right|inner|outer|wrap|wrapper|container|box|bar|block|list|item|items|area|section|panel|row|col|column|"
+    r"group|links?|buttons?|icons?|form|thread|feed|media|slot|unit|zone|new|user|reader|primary|secondary|the|js|ul|li|div|\d*|[a-z]"
+)
+_PIECES = re.compile(r"[\W_]+|(?<=[a-z])(?=[A-Z])")
 
 #: Log-odds of the classifier.
 IN_ARTICLE, BAD_TAG, BAD_NAME, HINT_NAME, GOOD_NAME = 4.0, -9.0, -8.0, -3.0, 2.0
+#: For short blocks and links under a name of link lists.
+LINKY_NAME = -6.0
 #: For the blocks of a page without an article or main element.
 NO_ARTICLE = 1.0
 PARAGRAPH, HEADING, LONG_TEXT, SHORT_TEXT, LINKS = 1.5, 0.5, 1.5, -0.75, -4.0
@@ -79,7 +85,7 @@ def blocks(page: str) -> list[Block]:
     """Text blocks of a page in order. Comments, scripts, styles, the head's title and the like hold
     no blocks. Tags that are never closed are closed by their surroundings, as browsers do."""
     out: list[Block] = []
-    stack: list[tuple[str, int, float, bool]] = [("", 0, 0.0, False)]  # tag, number, log-odds, in an article
+    stack: list[tuple[str, int, float, bool, bool]] = [("", 0, 0.0, False, False)]  # tag, number, log-odds, in an article, under a name of link lists
     places: dict[str, list[int]] = {}  # of the open elements of each tag in the stack, outermost first
     parts: list[str] = []
     linked = opened = 0
@@ -152,32 +158,48 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def _context(name: str, attributes: str, around: tuple[str, int, float, bool]) -> tuple[float, bool]:
-    """Log-odds that an element hands down to its blocks, and whether it is in an article."""
-    _, _, odds, article = around
+def _named(names: str) -> tuple[float, bool]:
+    """Log-odds of class names, ids and roles, and whether one is a name of link lists. A listed word counts in full where it is the whole
+    name or the rest of a compound only names a place (`comment-list`); in other compounds (`social-history`) it is a hint."""
+    odds, linky, good = 0.0, False, False
+    for name in names.split():
+        parts = [p.lower() for p in _PIECES.split(name) if p]
+        sure = [p for p in parts if SURE.fullmatch(p)]
+        links = [p for p in parts if LINKY.fullmatch(p)]
+        hints = [p for p in parts if HINT.fullmatch(p)]
+        rest = [p for p in parts if p not in sure and p not in links and p not in hints and not CONTENT.fullmatch(p) and not FRAME.fullmatch(p)]
+        if (sure and not rest) or (len(parts) == 1 and hints):
+            odds = BAD_NAME
+        elif sure or links or hints:
+            odds, linky = min(odds, HINT_NAME), linky or (bool(links) and not rest)
+        good = good or any(CONTENT.fullmatch(p) for p in parts)
+    return odds or (GOOD_NAME if good else 0.0), linky
+
+
+def _context(name: str, attributes: str, around: tuple[str, int, float, bool, bool]) -> tuple[float, bool, bool]:
+    """Log-odds that an element hands down to its blocks, and whether it is in an article and under a name of link lists."""
+    _, _, odds, article, linky = around
     names = " ".join(next(filter(None, m.groups()[1:]), "") for m in _ATTRIBUTE.finditer(attributes)) if "=" in attributes else ""
     if name in ("article", "main") and not article:
         odds, article = odds + IN_ARTICLE, True
     if name in BOILERPLATE_TAGS or (name == "header" and not article) or name == "head":
         odds += BAD_TAG
     if names and name not in ("html", "body"):
-        if SURE.search(names) or ALONE.search(names):
-            odds += BAD_NAME
-        elif PART.search(names):
-            odds += HINT_NAME
-        elif CONTENT.search(names):
-            odds += GOOD_NAME
-    return odds, article
+        own, listed = _named(names)
+        odds, linky = odds + own, linky or listed
+    return odds, article, linky
 
 
 def _scored(text: str, linked: int, stack: list) -> Block:
-    tag, number, odds, article = stack[-1]
+    tag, number, odds, article, linky = stack[-1]
     words = text.count(" ") + 1
     parent = stack[-2][1] if len(stack) > 1 else 0
     odds += PARAGRAPH if tag in ("p", "pre", "blockquote", "td", "dd") else HEADING if re.fullmatch("h[1-6]", tag) else 0
     odds += LONG_TEXT if words >= 20 else SHORT_TEXT if words < 6 and not article else 0
     if linked > 0.5 * len(text):
         odds += LINKS if not article else LINKS / 2
+    if linky and (words < 10 or linked > 0.5 * len(text)):
+        odds += LINKY_NAME
     return Block(text, parent, odds, article)
 
 

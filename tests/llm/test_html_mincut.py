@@ -78,6 +78,17 @@ def test_names_that_hold_a_listed_word():
         assert "Taken" not in main_text(f'<article><p>Kept words of the main article text here.</p></article><div class="{name}">{p}</div>')
 
 
+def test_no_name_outweighs_an_article_alone():
+    p = "<p>The town has had clubs and unions since the war, and their halls still stand today.</p>"
+    assert main_text('<article><p class="social-history">Clubs and unions met in the halls of the town since the war.</p></article>').startswith("Clubs")
+    assert main_text(f'<article><div class="related">{p}</div></article>').startswith("The town")
+    assert main_text(f'<main><section id="share-prices">{p}</section></main>').startswith("The town")
+    assert main_text(f'<article><div class="adHoc comment-culture">{p}</div></article>').startswith("The town")
+    links = '<h3>Related</h3><ul><li><a href=x>One story</a></li><li><a href=y>Two stories here</a></li></ul>'
+    for name, inside in (("related", links), ("share", "<span>Share this</span>"), ("post-comments", p), ("ad-slot", p), ("commentList", p), ("site-footer", p)):
+        assert main_text(f'<article>{p}<div class="{name}">{inside}</div></article>') == main_text(f"<article>{p}</article>")
+
+
 def test_deep_pages_take_linear_time():
     began = time.time()
     for page in ("<div>" * 30_000 + "x" + "</section>" * 30_000, "<div>" * 30_000 + "<li>x</li>" * 30_000, "<ul><li>" * 20_000 + "</b>" * 20_000):
