@@ -53,6 +53,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle(spark: SparkSession) -> None:
+    """Collect the driver's garbage: Spark's cleaner removes shuffles, checkpoints and broadcasts of finished jobs from
+    the executors only once the driver's JVM has collected the last reference to them."""
+    give_back()
+    spark.sparkContext._jvm.System.gc()
+
+
 def lean(run):
     """The generator ``run(batches)`` of a Python task, which gives freed memory back to the system at its end:
     Spark keeps workers for later tasks, and what their allocators hold counts on the executor."""
