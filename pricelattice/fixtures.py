@@ -40,7 +40,9 @@ SELECT l_partkey AS product_id, l_suppkey AS store_id,
 FROM lineitem JOIN part ON l_partkey = p_partkey""",
     "stores": """
 SELECT s_suppkey AS store_id, s_name AS store_name,
-       lower(replace(s_name, '#', '-')) AS store_slug, s_suppkey % 7 <> 0 AS active
+       lower(replace(s_name, '#', '-')) AS store_slug, s_suppkey % 7 <> 0 AS active,
+       CASE WHEN s_suppkey % 2 = 0 THEN concat('https://shop/', s_name, '/flyers') END AS brochure_url,
+       CASE WHEN s_suppkey % 3 = 0 THEN concat('https://shop/', s_name, '/offers') END AS listing_url
 FROM supplier""",
     "categories": """
 SELECT n_nationkey AS id, n_name AS name, 100 + n_regionkey AS parent_id FROM nation

@@ -11,9 +11,9 @@ from ..functions.text import brand_key, canonical_brand, name_slug, normalise_na
 from ..sources.facts import append_batch
 from ..sources.shared import kept
 from .order import first_of_group
-from .prices import latest_prices
+from .prices import cheapest_store, latest_prices
 from .resolve import catalog_hits, match_barcode, match_sku, similar_names
-from .tables import enrich, guarded, merge_products, new_products
+from .tables import enrich, guarded, merge_products, new_products, search_or_part
 
 
 def without_brand_names(items: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -29,6 +29,17 @@ def resolve_slug(products: DataFrame, slug: str) -> DataFrame:
     return names.agg(F.min("name").alias("name")).where("name is not null")
 
 
+def search_compare(products: DataFrame, prices: DataFrame, stores: DataFrame, query: str, most: int = 5) -> DataFrame:
+    """The first ``most`` hits by name, or products whose name holds the query if there is no hit, each with its cheapest
+    store now and the number of stores that sell it; hits that nobody sells go. The hits are ``most`` rows, so they are broadcast."""
+    found = search_or_part(products, query, ("name",)).orderBy("name", "product_id").limit(most)
+    hits = F.broadcast(found.select("product_id", "name", F.col("brand").alias("own_brand")))
+    own = prices.join(hits.select("product_id"), "product_id")
+    n = latest_prices(own).groupBy("product_id").agg(F.countDistinct("store_id").alias("n_stores"))
+    best = cheapest_store(own, stores).select("product_id", "store_id", "store_name", "price")
+    return best.join(n, "product_id").join(hits, "product_id").select("product_id", "name", "own_brand", "store_id", "store_name", "price", "n_stores")
+
+
 def family_extras(products: DataFrame, prices: DataFrame, categories: DataFrame) -> DataFrame:
     """Per active name with a latest price: ``image``, the first non-empty one in order of price (of the price, else of the
     product), and the category of the product with the least id that has one."""

@@ -108,6 +108,18 @@ def moderate(products: DataFrame, actions: DataFrame) -> DataFrame:
     )
 
 
+def rejections(products: DataFrame, asked: DataFrame, order: str) -> DataFrame:
+    """What becomes of every request ``asked(product_id, ...)`` to reject: ``rejected`` for a pending product, ``not pending`` for another
+    one, ``not found`` where there is none (any more: of several requests for a pending product the first in ``order`` takes it away).
+    A null id is not found; equal places in ``order`` are all first."""
+    status = products.select("product_id", F.coalesce("status", F.lit("")).alias("__status"))
+    first = asked.where("product_id is not null").groupBy("product_id").agg(F.min(order).alias("__first"))
+    out = asked.join(first.join(status, "product_id"), "product_id", "left")
+    pending = F.col("__status") == "pending_review"
+    gone = F.col("__status").isNull() | (pending & (F.col(order) > F.col("__first")))
+    return out.withColumn("outcome", F.when(gone, "not found").when(pending, "rejected").otherwise("not pending")).drop("__status", "__first")
+
+
 def update_partial(products: DataFrame, updates: DataFrame, columns: list[str], key: str = "product_id", order: str | None = None) -> DataFrame:
     """Set the given columns where the update has a value. Of several updates of a key the last one in ``order`` counts, whole (without an
     order, and among equals of it, the greatest one, columns compared from left to right)."""
@@ -140,11 +152,11 @@ def search(products: DataFrame, query: str) -> DataFrame:
     return products.where("status = 'active'").where(reduce(Column.__and__, hits, F.lit(True)))
 
 
-def search_or_part(products: DataFrame, query: str) -> DataFrame:
-    """The hits of ``search``; if there is none, active products whose name or brand holds the query as it is."""
+def search_or_part(products: DataFrame, query: str, columns: tuple[str, ...] = ("name", "brand")) -> DataFrame:
+    """The hits of ``search``; if there is none, active products one of whose ``columns`` holds the query as it is."""
     hits = search(products, query)
     like = lambda c: F.coalesce(F.lower(c).contains(query.lower()), F.lit(False))
-    part = products.where("status = 'active'").where(like("name") | like("brand"))
+    part = products.where("status = 'active'").where(reduce(Column.__or__, map(like, columns)))
     none = hits.agg((F.count("*") == 0).alias("__none"))  # one row
     return hits.unionByName(part.join(F.broadcast(none), F.col("__none")).drop("__none"))
 
@@ -155,9 +167,9 @@ def backfill_category(products: DataFrame, prices: DataFrame) -> DataFrame:
     return products.join(known.select("product_id", "category"), "product_id", "left")
 
 
-def page_dedup(lines: DataFrame) -> DataFrame:
-    """The first of the lines of a page that agree without case and surrounding space."""
-    w = Window.partitionBy("page_id", F.lower(F.trim("line"))).orderBy("line_no")
+def page_dedup(lines: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """The first of the lines of a page that agree without case and surrounding space, and in the columns ``also`` (such as the price)."""
+    w = Window.partitionBy("page_id", F.lower(F.trim("line")), *also).orderBy("line_no")
     return lines.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
 
 

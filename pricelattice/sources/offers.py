@@ -42,6 +42,18 @@ def merge_decisions(raw: DataFrame) -> DataFrame:
     )
 
 
+def log_entries(raw: DataFrame, column: str = "entry") -> DataFrame:
+    """``raw`` with ``ts``, ``store``, ``level`` and ``msg`` of the JSON object in ``column``. Absent fields are empty, an absent level is INFO.
+    Entries that are no JSON object, or where one of the four is no string, are dropped."""
+    doc = F.try_parse_json(column)
+    field = lambda k: F.try_variant_get(doc, f"$.{k}", "variant")
+    names = {"ts": "", "store": "", "level": "INFO", "msg": ""}
+    good = F.schema_of_variant(doc).startswith("OBJECT<")
+    for k in names:
+        good = good & (field(k).isNull() | (F.schema_of_variant(field(k)) == "STRING"))
+    return raw.where(good).withColumns({k: F.coalesce(F.try_variant_get(doc, f"$.{k}", "string"), F.lit(v)) for k, v in names.items()})
+
+
 def listing_prices(cards: DataFrame) -> DataFrame:
     """Cards with ``price`` (the promotional one, else the crossed-out one) and ``discount_percent``; cards without a price go."""
     euro = lambda c: F.replace(F.regexp_extract(c, r"([\d]+[.,][\d]{1,2})\s*€", 1), F.lit(","), F.lit(".")).try_cast("decimal(10,2)")

@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from pricelattice.plans import listing_queries  # noqa: F401 - registers its queries
+from pricelattice.plans import desk_queries, listing_queries  # noqa: F401 - registers its queries
 from pricelattice.plans.queries import ORACLE, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
