@@ -59,5 +59,7 @@ def category_uuid(c: Column) -> Column:
     return F.concat_ws("-", part(1, 8), part(9, 4), F.concat(F.lit("5"), part(14, 3)), F.concat(variant, part(18, 3)), part(21, 12))
 
 
-def clean_label(c: Column) -> Column:
-    return F.initcap(F.trim(c))
+def title_case(c: Column) -> Column:
+    """The text without space around it, every letter after a character that is none in upper case, all others in lower case."""
+    pieces = F.split(F.lower(F.regexp_replace(c, r"(?U)^\s+|\s+$", "")), r"(?<=\P{L})(?=\p{L})")
+    return F.array_join(F.transform(pieces, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substr(x, F.lit(2)))), "")

@@ -13,7 +13,7 @@ from ..sources.shared import kept
 from .order import first_of_group
 from .prices import cheapest_store, latest_prices
 from .resolve import catalog_hits, match_barcode, match_sku, similar_names
-from .tables import enrich, guarded, merge_products, new_products, search_or_part
+from .tables import enrich_columns, guarded, merge_products, new_products, search_or_part
 
 
 def without_brand_names(items: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -120,9 +120,7 @@ def ingest_batch(
         "product_id", "x.*", ascii_slug(F.col("x.name"), F.col("x.barcode"), F.col("product_id")).alias("slug"), F.lit("pending_review").alias("status")
     ).withColumns({"generic_pack": pack["generic_pack"], "pack_type": pack["pack_type"]})
     every_one = products.withColumn("product_id", F.col("product_id").cast("string")).unionByName(fresh, allowMissingColumns=True)
-    for column in ("category", "image_url", "additional_info"):
-        blank = every_one.withColumn(column, F.nullif(column, F.lit("")) if column in every_one.columns else F.lit(None).cast("string"))
-        every_one = enrich(blank, inserted.withColumn(column, F.nullif(column, F.lit(""))), column)
+    every_one = enrich_columns(every_one, inserted, ["category", "image_url", "additional_info"])
     return outcomes, every_one, {k: int(v) for k, v in seen.get.items()}
 
 

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .prices import latest
+from ..functions.names import split_brand
+from .prices import latest, modal_brand
 
 
 def category_tree(categories: DataFrame, max_depth: int = 16) -> DataFrame:
@@ -95,6 +96,17 @@ def enrich(products: DataFrame, batch: DataFrame, column: str, key: str = "produ
     return products.join(first, key, "left").withColumn(column, F.coalesce(column, "__new")).drop("__new")
 
 
+def enrich_columns(products: DataFrame, batch: DataFrame, columns: list[str], key: str = "product_id") -> DataFrame:
+    """Fill the empty ``columns`` of products from the first row of the batch, by load key and line, that has the column: one pass over the
+    batch and one join for all of them. An empty text counts as none; set values stay; a column that products lack is added."""
+    place = F.struct("load_key", "load_line")
+    own = products.withColumns({c: F.nullif(c, F.lit("")) if c in products.columns else F.lit(None).cast("string") for c in columns})
+    value = lambda c: F.nullif(c, F.lit(""))
+    first = batch.groupBy(key).agg(*[F.min_by(value(c), F.when(value(c).isNotNull(), place)).alias(f"__new_{c}") for c in columns])
+    out = own.join(first, key, "left")
+    return out.withColumns({c: F.coalesce(c, f"__new_{c}") for c in columns}).drop(*[f"__new_{c}" for c in columns])
+
+
 def moderate(products: DataFrame, actions: DataFrame) -> DataFrame:
     """Approve or reject: approved products become active, rejected ones go if they are pending; others stay. Of several
     actions on a product a rejection counts."""
@@ -167,6 +179,27 @@ def backfill_category(products: DataFrame, prices: DataFrame) -> DataFrame:
     return products.join(known.select("product_id", "category"), "product_id", "left")
 
 
+def backfill_category_id(products: DataFrame, prices: DataFrame, categories: DataFrame) -> DataFrame:
+    """Products whose null ``category_id`` becomes that of the category named by their latest price that has one; a name that no category has
+    leaves it null. Of categories of one name the least id counts; of equal times the last load key and line."""
+    bare = products.where("category_id is null").select("product_id")
+    rows = prices.join(bare, "product_id", "left_semi").where("category is not null")
+    last = rows.groupBy("product_id").agg(F.max_by("category", F.struct("recorded_at", "load_key", "load_line")).alias("name"))
+    ids = categories.groupBy("name").agg(F.min("id").alias("__id"))
+    return products.join(last.join(ids, "name").drop("name"), "product_id", "left").withColumn("category_id", F.coalesce("category_id", "__id")).drop("__id")
+
+
+def backfill_brands(products: DataFrame, prices: DataFrame) -> DataFrame:
+    """Products without a brand: a name that begins with a Latin word and goes on in Cyrillic gives brand and name; where
+    there is still none, the most frequent brand of the product's prices (the least of equally frequent ones). Set brands, and their names, stay."""
+    found = split_brand(F.col("name"))
+    bare = F.col("brand").isNull()
+    split = products.withColumns({"brand": F.coalesce("brand", found["brand"]), "name": F.when(bare, found["name"]).otherwise(F.col("name"))})
+    need = split.where("brand is null").select("product_id")
+    modal = modal_brand(prices.join(need, "product_id", "left_semi")).select("product_id", F.col("brand").alias("__modal"))
+    return split.join(modal, "product_id", "left").withColumn("brand", F.coalesce("brand", "__modal")).drop("__modal")
+
+
 def page_dedup(lines: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
     """The first of the lines of a page that agree without case and surrounding space, and in the columns ``also`` (such as the price)."""
     w = Window.partitionBy("page_id", F.lower(F.trim("line")), *also).orderBy("line_no")

@@ -151,6 +151,78 @@ def flyer_names(t):
     return x.select("product_id", F.regexp_replace("x.name", r"\s+", " ").alias("name"), "x.unit")
 
 
+@query(
+    "prices",
+    """SELECT load_key, load_line, 'Бяло-Сирене O''Neil 3В1 ' || upper(category[1]) || lower(category[2:]) AS name, CASE load_line % 3 WHEN 0 THEN 'BGN' ELSE 'EUR' END AS currency,
+    CASE WHEN load_line % 2 = 0 THEN load_line || ' г' END AS unit, CAST(load_key AS VARCHAR) AS barcode FROM prices""",
+)
+def clean_offers(t):
+    raw = t("prices").select(
+        "load_key", "load_line", F.concat(F.lit("  бЯЛО-СИРЕНЕ o'neil 3в1 "), "category", F.lit("\t")).alias("name"),
+        F.expr("CASE load_line % 3 WHEN 0 THEN 'BGN' WHEN 1 THEN '' END").alias("currency"),
+        F.expr("CASE WHEN load_line % 2 = 0 THEN concat(' ', load_line, ' г\\n') END").alias("unit"), F.concat(F.lit(" "), "load_key").alias("barcode"),
+    )
+    return offers.clean_offers(raw)
+
+
+_NAMED = "CASE WHEN (product_id + load_line) % 4 = 0 THEN NULL WHEN product_id % 9 = 0 THEN 'NONE' ELSE {pick} END"
+_OWN_ID = "CASE WHEN product_id % 3 = 0 THEN category_id END"
+
+
+@query(
+    "products prices categories",
+    f"""k AS (SELECT row_number() OVER (ORDER BY id) - 1 AS nth, count(*) OVER () AS n, name FROM categories),
+    r AS (SELECT product_id, recorded_at, load_key, load_line, {_NAMED.format(pick="k.name")} AS category FROM prices JOIN k ON nth = load_key % n),
+    last AS (SELECT product_id, arg_max(category, (recorded_at, load_key, load_line)) AS name FROM r WHERE category IS NOT NULL GROUP BY 1),
+    c AS (SELECT name, min(id) AS cid FROM categories GROUP BY 1)
+    SELECT p.product_id, coalesce({_OWN_ID.replace("product_id", "p.product_id")}, cid) AS category_id FROM products p LEFT JOIN last USING (product_id) LEFT JOIN c ON c.name = last.name""",
+)
+def backfill_category_id(t):
+    """Prices name categories by turns, some none and some an unknown one; a third of the products has its own already."""
+    c = t("categories").select("id", "name")
+    names = c.agg(F.array_sort(F.collect_list(F.struct("id", "name"))).alias("all"))  # the category table in one row, broadcast
+    pick = "element_at(all, cast(load_key % size(all) as int) + 1).name"
+    rows = t("prices").drop("category").join(F.broadcast(names), F.lit(True)).withColumn("category", F.expr(_NAMED.format(pick=pick))).drop("all")
+    own = t("products").withColumn("category_id", F.expr(_OWN_ID))
+    return T.backfill_category_id(own, rows, c).select("product_id", F.col("category_id").cast("long").alias("category_id"))
+
+
+@query(
+    "products prices",
+    """m AS (SELECT product_id, 'B' || (load_key % 3) AS mb FROM prices WHERE load_key % 5 <> 0 GROUP BY 1, 2
+      QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY count(*) DESC, mb) = 1)
+    SELECT product_id, CASE WHEN product_id % 4 = 2 THEN 'шоколад ' || name WHEN product_id % 4 = 3 THEN 'Milka шоколад' ELSE name END AS name,
+    CASE product_id % 4 WHEN 2 THEN 'Milka' WHEN 3 THEN 'own' ELSE mb END AS brand FROM products LEFT JOIN m USING (product_id)""",
+)
+def backfill_brands(t):
+    """Names with and without a brand before them, products with and without one, prices of several brands a product."""
+    own = t("products").select(
+        "product_id", F.expr("CASE product_id % 4 WHEN 2 THEN concat('Milka шоколад ', name) WHEN 3 THEN 'Milka шоколад' ELSE name END").alias("name"),
+        F.expr("CASE WHEN product_id % 4 = 3 THEN 'own' END").alias("brand"),
+    )
+    rows = t("prices").withColumn("brand", F.expr("CASE WHEN load_key % 5 <> 0 THEN concat('B', load_key % 3) END"))
+    return T.backfill_brands(own, rows)
+
+
+@query(
+    "products prices",
+    """r AS (SELECT product_id, load_key, load_line, CASE WHEN load_key % 2 = 0 THEN 'c' || load_key END AS c, CASE WHEN load_line = 2 THEN 'i' || load_key END AS i,
+      CASE WHEN load_key % 3 = 0 AND load_line > 3 THEN 'a' || load_line END AS a FROM prices),
+    f AS (SELECT product_id, arg_min(c, (load_key, load_line)) FILTER (c IS NOT NULL) AS c, arg_min(i, (load_key, load_line)) FILTER (i IS NOT NULL) AS i,
+      arg_min(a, (load_key, load_line)) FILTER (a IS NOT NULL) AS a FROM r GROUP BY 1)
+    SELECT product_id, CASE WHEN product_id % 2 = 1 THEN 'own' ELSE c END AS category, i AS image_url, a AS additional_info FROM products LEFT JOIN f USING (product_id)""",
+)
+def enrich_all(t):
+    """Category, image and additional information of products, each from the first price row that has it."""
+    own = t("products").select("product_id", F.expr("CASE WHEN product_id % 2 = 1 THEN 'own' ELSE '' END").alias("category"))
+    rows = t("prices").select(
+        "product_id", "load_key", "load_line", F.expr("CASE WHEN load_key % 2 = 0 THEN concat('c', load_key) END").alias("category"),
+        F.expr("CASE WHEN load_line = 2 THEN concat('i', load_key) ELSE '' END").alias("image_url"),
+        F.expr("CASE WHEN load_key % 3 = 0 AND load_line > 3 THEN concat('a', load_line) END").alias("additional_info"),
+    )
+    return T.enrich_columns(own, rows, ["category", "image_url", "additional_info"])
+
+
 #: SQL of queries that had none.
 PRICE_SQL = r"""([0-9]{1,4})[.,\s]([0-9]{2})"""
 ORACLE["name_slugs"] = Q.with_tables("products") + r"""SELECT product_id, regexp_replace(regexp_replace(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import title_case
+
 #: All fields as text, parsed leniently afterwards.
 ITEM = (
     "name STRING, is_product BOOLEAN, brand STRING, product_type STRING, category STRING, price STRING, original_price STRING, "
@@ -42,6 +44,13 @@ def merge_decisions(raw: DataFrame) -> DataFrame:
     )
 
 
+def clean_offers(items: DataFrame) -> DataFrame:
+    """Offers with their ``name`` in title case, ``unit`` and ``barcode`` without space around them, and EUR where ``currency`` is null or empty."""
+    bare = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    currency = F.coalesce(F.nullif("currency", F.lit("")), F.lit("EUR"))
+    return items.withColumns({"name": title_case(F.col("name")), "unit": bare("unit"), "barcode": bare("barcode"), "currency": currency})
+
+
 def log_entries(raw: DataFrame, column: str = "entry") -> DataFrame:
     """``raw`` with ``ts``, ``store``, ``level`` and ``msg`` of the JSON object in ``column``. Absent fields are empty, an absent level is INFO.
     Entries that are no JSON object, or where one of the four is no string, are dropped."""

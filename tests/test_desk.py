@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from pricelattice.functions import dates
+from pricelattice.functions.names import title_case
 from pricelattice.operators import chains
 from pricelattice.operators import tables as T
 from pricelattice.sources import offers
@@ -60,3 +61,26 @@ def test_search_compare(spark):
     assert ask("ed pea") == [(2, "S1", 1.0, 1)]
     assert ask("red", 1) == [(1, "S2", 2.0, 2)]
     assert ask("nothing") == []
+
+
+def test_backfills(spark):
+    products = spark.createDataFrame(
+        [(1, "Milka шоколад", None, None), (2, "Milka шоколад", "own", 7), (3, "Хляб", None, None), (4, "A b", None, None)],
+        "product_id long, name string, brand string, category_id long",
+    )
+    rows = [(1, "x", "K", 1), (3, "y", "K", 1), (3, "z", "L", 2), (3, None, "?", 3), (3, "y", None, 4), (3, "z", None, 5), (2, "x", "L", 1)]
+    prices = spark.createDataFrame(rows, "product_id long, brand string, category string, load_key int").withColumns(
+        {"recorded_at": F.expr("date_add(date'2026-01-01', load_key)"), "load_line": F.lit(1)}
+    )
+    categories = spark.createDataFrame([(5, "K"), (4, "K"), (6, "L")], "id long, name string")
+    got = sorted((r.product_id, r.name, r.brand) for r in T.backfill_brands(products, prices).collect())
+    assert got == [(1, "шоколад", "Milka"), (2, "Milka шоколад", "own"), (3, "Хляб", "y"), (4, "A b", None)]
+    found = sorted((r.product_id, r.category_id) for r in T.backfill_category_id(products, prices, categories).collect())
+    assert [x or 0 for _, x in found] == [4, 7, 0, 0]  # the latest category of product 3 is unknown
+    assert T.backfill_brands(products.limit(0), prices.limit(0)).collect() == []
+
+
+def test_title_case(spark):
+    texts = ["  o'neil  3в1-СИРЕНЕ\t", "", "a", "ÉCOLE d'été 2x", "x_y.z", "12"]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").coalesce(1)
+    assert [r[0] for r in df.select(title_case(F.col("t"))).collect()] == [*[t.strip().title() for t in texts], None]
