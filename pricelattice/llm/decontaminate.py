@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lean
+from .common import free, lean
 from .word_hash import plain_words, runs, word_hashes
 
 HASHED = 1 << 14
@@ -440,5 +440,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the rows whose id ``contaminated`` finds; rows with a null id stay unless a
     row with a null id is found."""
-    ids = contaminated(docs, benchmark, id_col, text).select(F.col(id_col).alias("__id")).distinct()
-    return docs.join(ids, docs[id_col].eqNullSafe(F.col("__id")), "left_anti")
+    found = free(docs, "__id")
+    ids = contaminated(docs.select(id_col, text), benchmark, id_col, text).select(F.col(id_col).alias(found)).distinct()
+    return docs.join(ids, docs[id_col].eqNullSafe(F.col(found)), "left_anti")

@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, stored
+from .common import SPACES, free, stored
 
 MIN_WORDS = 50
 DOC = ["d", "th"]
@@ -153,7 +153,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     )
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, n_lines: str = "n_lines", n_deleted: str = "n_deleted"
+) -> DataFrame:
     """``docs`` with later copies of repeated line runs deleted from ``text``, and with ``n_lines``
     and ``n_deleted`` (lines before, lines deleted) at the end.
 
@@ -161,19 +163,20 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min
     at the ends of a line does not tell lines apart; lines without a word are no part of a run and
     go with the line before them. Repeated rows (same id and text) count as one and get the same
     result. A null text stays null with 0 lines; an empty one has one line. A null id sorts first.
-    Columns of ``docs`` other than the two may have any name but the two added ones."""
-    gone = repeated_lines(docs, id_col, text, min_words).withColumnsRenamed({"d": "__d", "th": "__th", "gone": "__gone"})
+    Columns of ``docs`` other than the two may have any name but those of the two added ones."""
+    d, th, gone, own = (free(docs, c) for c in ("__d", "__th", "__gone", "__lines"))
+    found = repeated_lines(docs, id_col, text, min_words).withColumnsRenamed({"d": d, "th": th, "gone": gone})
     lines = F.split(F.col(text), "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
-    kept = F.array_join(F.transform(left, lambda i: F.get(F.col("__lines"), i)), "\n")
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    kept = F.array_join(F.transform(left, lambda i: F.get(F.col(own), i)), "\n")
     joined = docs.join(
-        gone, [docs[id_col].eqNullSafe(F.col("__d")), F.xxhash64(docs[text]) == F.col("__th"), docs[text].isNotNull()], "left"
+        found, [docs[id_col].eqNullSafe(F.col(d)), F.xxhash64(docs[text]) == F.col(th), docs[text].isNotNull()], "left"
     )
     return (
-        joined.withColumn("__lines", lines)
-        .withColumn("n_lines", F.greatest(F.size("__lines"), F.lit(0)))
-        .withColumn("n_deleted", F.coalesce(F.size("__gone"), F.lit(0)))
-        .withColumn("n_deleted", F.greatest("n_deleted", F.lit(0)))
-        .withColumn(text, F.when(F.col("n_deleted") > 0, kept).otherwise(F.col(text)))
-        .drop("__d", "__th", "__gone", "__lines")
+        joined.withColumn(own, lines)
+        .withColumn(n_lines, F.greatest(F.size(own), F.lit(0)))
+        .withColumn(n_deleted, F.coalesce(F.size(gone), F.lit(0)))
+        .withColumn(n_deleted, F.greatest(n_deleted, F.lit(0)))
+        .withColumn(text, F.when(F.col(n_deleted) > 0, kept).otherwise(F.col(text)))
+        .drop(d, th, gone, own)
     )

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import give_back, lean
+from .common import free, give_back, lean
 from .word_hash import exact_hashes
 
 
@@ -187,25 +187,25 @@ def train(x: np.ndarray, y: np.ndarray, hidden: int = HIDDEN, epochs: int = 60,
     return net
 
 
-def _scorer(shared, features: bool):
+def _scorer(shared, features: bool, text: str, out: str):
     @lean
     def run(batches):
         vectors, net = shared.value
         index = index_vectors()
         for batch in batches:
-            x = _pool(batch["__text"], vectors, index)
-            out = batch.drop(columns="__text")
-            yield out.assign(__features=list(x)) if features else out.assign(__score=net.score(x).astype(float))
+            x = _pool(batch[text], vectors, index)
+            yield batch.drop(columns=text).assign(**{out: list(x) if features else net.score(x).astype(float)})
 
     return run
 
 
-def _pooled(docs: DataFrame, text: str, shared, features: bool) -> DataFrame:
-    """``docs`` without ``text``, with ``__features`` or ``__score``."""
+def _pooled(docs: DataFrame, text: str, shared, features: bool, out: str) -> DataFrame:
+    """``docs`` without ``text``, with the features or the score as ``out``, which is no column of ``docs``."""
     rest = [c for c in docs.columns if c != text]
-    field = T.StructField("__features", T.ArrayType(T.FloatType())) if features else T.StructField("__score", T.DoubleType())
+    own = free(docs, "__text")
+    field = T.StructField(out, T.ArrayType(T.FloatType()) if features else T.DoubleType())
     schema = T.StructType([*[docs.schema[c] for c in rest], field])
-    return docs.select(*rest, F.col(text).alias("__text")).mapInPandas(_scorer(shared, features), schema)
+    return docs.select(*rest, F.col(text).alias(own)).mapInPandas(_scorer(shared, features, own, out), schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column, sample: int = SAMPLE, text: str = "text"):
@@ -226,7 +226,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, sample: int = SAMPL
     )
     told = docs.select("doc_id", F.col(text).alias("text")).join(known, "doc_id")
     one = told.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # a row an id, however often it repeats
-    rows = _pooled(one, "text", shared, True).toPandas()
+    rows = _pooled(one, "text", shared, True, "__features").toPandas()
     rows = rows.sort_values("doc_id", kind="stable")
     x = np.stack(rows["__features"].to_list()) if len(rows) else np.zeros((0, FEATURES), np.float32)
     y = rows["quality"].to_numpy(np.float64)
@@ -253,11 +253,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, text: str = "text", id_col
     result. Other columns are ignored."""
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
     shared = fit(plain, labels.select("doc_id", "quality"), learnable())
-    return _pooled(plain, "text", shared, False).select(F.col("doc_id").alias(id_col), F.col("__score").alias("score"))
+    return _pooled(plain, "text", shared, False, "score").select(F.col("doc_id").alias(id_col), "score")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` (with ``doc_id``) whose score is at least ``least``, with all columns."""
     shared = fit(docs.select("doc_id", F.col(text).alias("text")), labels.select("doc_id", "quality"), learnable())
-    scored = _pooled(docs.withColumn("__words_of", F.col(text)), "__words_of", shared, False)
-    return scored.where(F.col("__score") >= least).select(*docs.columns)
+    words, score = free(docs, "__words_of"), free(docs, "__score")
+    scored = _pooled(docs.withColumn(words, F.col(text)), words, shared, False, score)
+    return scored.where(F.col(score) >= least).select(*docs.columns)
