@@ -231,3 +231,6 @@ _PRICED = f"""WITH {LINES}, q AS (SELECT *, lag(line) OVER w AS up, lag(line, 2)
     SELECT page_id, line_no, line, CAST(regexp_extract(line, '{PRICE_SQL}', 1) || '.' || regexp_extract(line, '{PRICE_SQL}', 2) AS DOUBLE) AS price"""
 ORACLE["brochure_prices"] = f"{_PRICED} FROM q WHERE regexp_matches(line, '{PRICE_SQL}')"
 ORACLE["brochure_offers"] = f"{_PRICED}, concat_ws(chr(10), upper, up, line) AS block FROM q WHERE regexp_matches(line, '{PRICE_SQL}')"
+ORACLE["price_sanity"] = Q.with_tables("prices", "products") + f""", {LATEST}, r AS (SELECT l.load_key, l.load_line, CASE WHEN regexp_matches(pack_info, '^[0-9]+ г$')
+      THEN CAST(price AS DOUBLE) / (CAST(split_part(pack_info, ' ', 1) AS DOUBLE) / 1000) END AS per_kilo FROM latest l JOIN products p ON l.product_id = p.product_id)
+    SELECT load_key, load_line, per_kilo, coalesce(per_kilo <= {packs.CEILINGS["Плодове"]}, true) AS plausible FROM r"""
