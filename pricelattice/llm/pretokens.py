@@ -67,6 +67,8 @@ def pieces(texts: pa.Array, cut=cuts) -> tuple[pa.Array, np.ndarray, np.ndarray]
         data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
         offsets = offsets - offsets[0]
     begins = cut(data) if cut else np.zeros(len(data), bool)
+    last = offsets[1:][np.diff(offsets) > 0] - 1
+    begins[last[data[last] <= 0x20]] = False  # white space at an end: what the cut there has seen belongs to the next text
     begins[offsets[:-1][offsets[:-1] < len(data)]] = True
     at = np.append(np.flatnonzero(begins), len(data))
     own = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)])

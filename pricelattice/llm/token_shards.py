@@ -3,17 +3,18 @@
 Documents are sorted by id over a range partitioning. Each task encodes its documents, appends the
 end id to each, and packs whole documents into shards of about ``SHARD`` ids. A shard's ids are
 compressed by Re-Pair: in each round all adjacent pairs are counted exactly and the frequent ones
-become nonterminals, the more frequent pair first where two overlap. Rounds go on until no pair
-occurs ``LEAST_COUNT`` times, the number from which a rule is no larger than what it saves. No rule
-spans two documents. A shard is one binary value:
+become nonterminals, the more frequent pair first where two overlap (of equal ones that of the least
+hash, so that a chain of overlapping pairs takes few rounds). Rounds go on until no pair occurs
+``LEAST_COUNT`` times, the number from which a rule is no larger than what it saves. No rule spans
+two documents. A shard is one binary value:
 
-    magic "RPS1" | uint32: terminals, rules, documents | uint64: ids of this task before it, symbols
-    rules: 2 uint32 each | expansion length of each rule: uint32
+    magic "RPS2" | uint32: terminals, rules, documents, bits of a length | uint64: ids of this task before it, symbols
     documents: int64 id (least for null), uint64 first symbol, uint64 ids
-    symbols: of 2 bytes, or 3 or 4 if there are more than 2**16 or 2**24 different ones
+    rules: 2 symbols each | expansion length of each rule | symbols
 
-all little-endian. With the expansion lengths, a reader finds any range of ids of a document and
-expands only the symbols that cover it. Shards are rows (part, shard, content) of a Parquet
+all little-endian. Symbols and lengths are packed in as few bits as the greatest needs, least bit
+first; each of the three lists ends at a whole byte. With the expansion lengths, a reader finds any
+range of ids of a document and expands only the symbols that cover it. Shards are rows (part, shard, content) of a Parquet
 folder, so that the writer's commit holds when executors are lost.
 """
 
@@ -33,16 +34,18 @@ from pyspark.sql import functions as F
 from .common import lean, shared_dir
 from .pretokens import pieces, ragged, steps
 
-MAGIC = b"RPS1"
-_HEAD = struct.Struct("<4sIIIQQ")
+MAGIC = b"RPS2"
+_HEAD = struct.Struct("<4sIIIIQQ")
 _DOC = np.dtype([("id", "<i8"), ("first", "<u8"), ("n", "<u8")])
 NULL_ID = -(1 << 63)
 SHARD = 1 << 20
-#: A rule takes 12 bytes, a symbol 3.
+#: A rule takes the bits of two symbols and of its length, less than three symbols.
 LEAST_COUNT = 4
 #: A round takes the pairs that occur at least this part as often as the most frequent one.
 SPREAD = 64
 _SLOTS = 20
+#: Values packed at once, a multiple of 8.
+BLOCK = 1 << 16
 #: Pieces that a Python worker remembers, and the longest of them in bytes.
 KEEP, KEEP_BYTES = 600_000, 64
 
@@ -51,6 +54,11 @@ def _slot(keys: np.ndarray) -> np.ndarray:
     return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOTS)).astype(np.int64)
 
 
+def _mixed(keys: np.ndarray) -> np.ndarray:
+    x = (keys ^ (keys >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
 def _counted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys and how often each occurs."""
     key = np.sort(key)
@@ -77,7 +85,7 @@ def _round(seq: np.ndarray, last: np.ndarray, live: np.ndarray):
     if not often.any():
         return none
     keys, n = keys[often], n[often]
-    order = np.argsort(-n, kind="stable")
+    order = np.lexsort((_mixed(keys), -n))
     keys, n = keys[order], n[order]  # a pair's number is now its rank
     table = np.full(1 << _SLOTS, -1, np.int32)
     table[_slot(keys)[::-1]] = np.arange(len(keys), dtype=np.int32)[::-1]  # pairs of one slot: the first now, others later
@@ -125,39 +133,52 @@ def compress(ids: np.ndarray, lengths: np.ndarray, terminals: int):
     return seq, np.diff(np.append(-1, ends)), table, size[terminals:]
 
 
-def _width(symbols: int) -> int:
-    return 2 if symbols <= 1 << 16 else 3 if symbols <= 1 << 24 else 4
+def _bits(values: np.ndarray, width: int) -> bytes:
+    """``values`` in ``width`` bits each, blocks of which end at whole bytes."""
+    raw = values.astype("<u4").view(np.uint8).reshape(-1, 4)
+    blocks = (np.unpackbits(raw[k : k + BLOCK], axis=1, count=width, bitorder="little") for k in range(0, len(raw), BLOCK))
+    return b"".join(np.packbits(x, bitorder="little").tobytes() for x in blocks)
+
+
+def _values(content: bytes, at: int, n: int, width: int) -> tuple[np.ndarray, int]:
+    """``n`` values of ``width`` bits from byte ``at`` on, and the byte after them."""
+    out = np.empty(n, np.int64)
+    for k in range(0, n, BLOCK):
+        m = min(BLOCK, n - k)
+        packed = np.frombuffer(content, np.uint8, -(-m * width // 8), at + k * width // 8)
+        bits = np.zeros((m, 32), np.uint8)
+        bits[:, :width] = np.unpackbits(packed, count=m * width, bitorder="little").reshape(m, width)
+        out[k : k + m] = np.packbits(bits, axis=1, bitorder="little").view("<u4")[:, 0]
+    return out, at + -(-n * width // 8)
+
+
+def _width(greatest: int) -> int:
+    return max(1, int(greatest).bit_length())
 
 
 def pack(doc_ids: list[int], ids: np.ndarray, lengths: np.ndarray, before: int, terminals: int) -> bytes:
     seq, symbols, rules, sizes = compress(ids, lengths, terminals)
     docs = np.zeros(len(doc_ids), _DOC)
     docs["id"], docs["first"], docs["n"] = doc_ids, np.cumsum(symbols) - symbols, lengths
-    plain = seq.astype("<u4").view(np.uint8).reshape(-1, 4)[:, : _width(terminals + len(rules))]
-    head = _HEAD.pack(MAGIC, terminals, len(rules), len(docs), before, len(seq))
-    return b"".join(
-        [head, rules.astype("<u4").tobytes(), sizes.astype("<u4").tobytes(), docs.tobytes(), plain.tobytes()]
-    )
+    width, of_size = _width(terminals + len(rules) - 1), _width(sizes.max(initial=0))
+    head = _HEAD.pack(MAGIC, terminals, len(rules), len(docs), of_size, before, len(seq))
+    return b"".join([head, docs.tobytes(), _bits(rules.ravel(), width), _bits(sizes, of_size), _bits(seq, width)])
 
 
 class Shard:
     """Reader of one packed shard."""
 
     def __init__(self, content: bytes):
-        magic, self.terminals, n_rules, n_docs, self.before, n_symbols = _HEAD.unpack_from(content)
+        magic, self.terminals, n_rules, n_docs, of_size, self.before, n_symbols = _HEAD.unpack_from(content)
         if magic != MAGIC:
             raise ValueError("not a token shard")
-        at = _HEAD.size
-        self.rules = np.frombuffer(content, "<u4", 2 * n_rules, at).reshape(-1, 2).astype(np.int64)
-        at += 8 * n_rules
-        self.sizes = np.append(np.ones(self.terminals, np.int64), np.frombuffer(content, "<u4", n_rules, at))
-        at += 4 * n_rules
-        self.docs = np.frombuffer(content, _DOC, n_docs, at)
-        at += _DOC.itemsize * n_docs
-        width = _width(self.terminals + n_rules)
-        plain = np.zeros((n_symbols, 4), np.uint8)
-        plain[:, :width] = np.frombuffer(content, np.uint8, width * n_symbols, at).reshape(-1, width)
-        self.symbols = plain.view("<u4")[:, 0].astype(np.int64)
+        self.docs = np.frombuffer(content, _DOC, n_docs, _HEAD.size)
+        width = _width(self.terminals + n_rules - 1)
+        flat, at = _values(content, _HEAD.size + _DOC.itemsize * n_docs, 2 * n_rules, width)
+        self.rules = flat.reshape(-1, 2)
+        sizes, at = _values(content, at, n_rules, of_size)
+        self.sizes = np.append(np.ones(self.terminals, np.int64), sizes)
+        self.symbols, _ = _values(content, at, n_symbols, width)
 
     def _expand(self, symbols: np.ndarray) -> np.ndarray:
         while (symbols >= self.terminals).any():

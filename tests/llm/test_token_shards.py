@@ -69,7 +69,34 @@ def test_real_texts_shrink_by_half(spark):
     flat = np.concatenate(ids).astype("<u4")
     content = pack(list(range(len(ids))), flat, lengths, 0, 50257)
     assert (Shard(content).ids() == flat).all()
-    assert len(content) < 0.6 * 4 * len(flat)
+    assert len(content) < 0.35 * 4 * len(flat)
+
+
+@pytest.mark.parametrize("n, width", [(0, 1), (1, 1), (9, 17), (65_536, 3), (65_545, 19), (200_001, 32)])
+def test_bits_round_trip(n, width):
+    values = np.random.default_rng(n).integers(0, 2**width, n)
+    content = b"xyz" + token_shards._bits(values, width) + b"end"
+    got, at = token_shards._values(content, 3, n, width)
+    assert (got == values).all() and content[at:] == b"end" and at - 3 == -(-n * width // 8)
+
+
+def test_chains_of_equal_counts_take_few_rounds(monkeypatch):
+    rounds = []
+    plain = token_shards._round
+    monkeypatch.setattr(token_shards, "_round", lambda *a: rounds.append(1) or plain(*a))
+    ids = np.tile(np.arange(4_000), 8)
+    seq, symbols, rules, _ = compress(ids, np.array([len(ids)]), 4_000)
+    assert len(rounds) < 100 and len(seq) < 100
+    assert (Shard(pack([1], ids, np.array([len(ids)]), 0, 4_000)).ids() == ids).all()
+
+
+def test_no_cut_looks_into_the_next_text():
+    for texts in (["foo  ", "bar"], ["a\n", "b"], ["  ", "x"], ["", " ", "y"], ["a ", "", "b"]):
+        unique, number, begin = token_shards.pieces(pa.array(texts))
+        own = unique.take(pa.array(number)).to_pylist()
+        for k, t in enumerate(texts):
+            alone = token_shards.pieces(pa.array([t]))
+            assert own[begin[k] : begin[k + 1]] == alone[0].take(pa.array(alone[1])).to_pylist()
 
 
 def test_cuts_never_part_a_pretoken():
