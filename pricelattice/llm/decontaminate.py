@@ -210,8 +210,9 @@ def answer_of(text: str) -> list[str]:
 
 
 class _Item:
-    def __init__(self, item_id: int, text: str):
+    def __init__(self, item_id, text: str, times: int = 1):
         self.id, self.text, self.words, self.answer = item_id, text, plain_words(text), answer_of(text)
+        self.times = times
 
 
 def verified(item: _Item, around: list[str]) -> tuple[int, bool] | None:
@@ -288,7 +289,7 @@ class _ByCount:
         times = self.edges[word + 1] - self.edges[word]
         item = self.own[np.repeat(self.edges[word] - np.cumsum(times) + times, times) + np.arange(times.sum())]
         pos = np.repeat(pos, times)
-        order = np.argsort(item.astype(np.uint16), kind="stable")
+        order = np.argsort(item.astype(np.uint16 if len(self.least) <= 1 << 16 else np.int64), kind="stable")
         item, pos = item[order], pos[order]
         last = np.arange(len(pos)) + self.least[item] - 1
         j = np.flatnonzero(last < len(pos))
@@ -391,19 +392,20 @@ def _search(shared):
             yield pd.DataFrame(
                 {
                     "id": batch["id"].iloc[[k[0] for k in keys]].to_numpy(),
-                    "item_id": [items[k[1]].id for k in keys],
+                    "item_id": pd.Series([items[k[1]].id for k in keys], dtype=object),
                     "n_item_words": [len(items[k[1]].words) for k in keys],
                     "n_common": [best[k][2] for k in keys],
                     "answer_found": [best[k][3] for k in keys],
                     "cosine": [best[k][4] for k in keys],
                     "word_start": [best[k][0] for k in keys],
+                    "times": [items[k[1]].times for k in keys],
                 }
             )
 
     return run
 
 
-RESULT = "id long, item_id long, n_item_words long, n_common long, answer_found boolean, cosine double, word_start long"
+RESULT = "id {}, item_id {}, n_item_words long, n_common long, answer_found boolean, cosine double, word_start long"
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -412,28 +414,30 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     ``word_start`` (place of the passage in words).
 
     Null, empty and blank texts of either table match nothing. A repeated document row gives its
-    rows again; a repeated item is found as often as it stands in the benchmark. Rows with a null
-    id are searched too and return a null id. An empty table of either kind gives an empty result.
+    rows again; a repeated item is searched once and found as often as it stands in the benchmark. Ids
+    of both tables may have any type. Rows with a null id are searched too and return a null id. An empty table of either kind gives an empty result.
     Other columns are ignored."""
     spark = docs.sparkSession
     plain = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     texts = plain.select("text")
-    items = benchmark.select("item_id", "text").where("text is not null and item_id is not null")
+    items = benchmark.where("text is not null and item_id is not null").groupBy("item_id", "text").agg(F.count("*").alias("times"))
+    result = RESULT.format(plain.schema["id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString())
     blocks = max(1, math.ceil(items.count() / ITEMS))
     project = idf = found = None
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).toPandas()
-        own = [x for x in (_Item(int(i), t) for i, t in zip(rows["item_id"], rows["text"], strict=True)) if x.words]
+        own = [x for x in (_Item(*x) for x in rows.itertuples(index=False, name=None)) if x.words]
         if not own:
             continue
         if project is None:
             idf = inverse_frequencies(texts)
             project = projection(texts, idf)
         shared = spark.sparkContext.broadcast((project, idf, own))
-        part = plain.where("text is not null").mapInPandas(_search(shared), RESULT)
+        part = plain.where("text is not null").mapInPandas(_search(shared), f"{result}, times long")
         found = part if found is None else found.unionByName(part)
     if found is None:
-        found = spark.createDataFrame([], RESULT)
+        found = spark.createDataFrame([], f"{result}, times long")
+    found = found.withColumn("times", F.explode(F.sequence(F.lit(1), F.col("times")))).drop("times")
     return found.withColumnRenamed("id", id_col)
 
 

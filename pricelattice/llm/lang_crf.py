@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean
+from .common import lean, least_by_hash
 from .pretokens import ragged
 
 BUCKETS = 1 << 16
@@ -259,14 +259,8 @@ def learnable(remainder: int = 2, modulus: int = 4) -> Column:
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Field:
     """The field learnt from ``docs(doc_id, text, lang)``: rows of the learning folds with a text
     and a language."""
-    ids = (
-        docs.where("lang is not null and text is not null")
-        .where(learnable())
-        .select("doc_id")
-        .distinct()
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(sample)
-    )
+    known = docs.where("lang is not null and text is not null").where(learnable()).select("doc_id").distinct()
+    ids = least_by_hash(known, sample, ["doc_id"])
     told = docs.where("lang is not null and text is not null").join(ids, "doc_id").select("doc_id", "text", "lang")
     # a row an id, however often it repeats: that of the least hash
     rows = told.groupBy("doc_id").agg(F.min_by(F.struct("text", "lang"), F.xxhash64("text", "lang")).alias("x")).select("doc_id", "x.*").toPandas()

@@ -25,6 +25,8 @@ from .word_hash import plain_words, runs
 
 SHINGLE = 5
 LEAST = 0.8
+#: Bytes of templates that may go to every task.
+MOST_BYTES = 1 << 25
 BANDS = 24
 _FAR = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -64,6 +66,46 @@ TEMPLATES = {
         "conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the "
         "following disclaimer."
     ),
+    "mit": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
+        'files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, '
+        "modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software "
+        "is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be "
+        'included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY '
+        "KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND "
+        "NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, "
+        "WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR "
+        "OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "isc": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+        'provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND '
+        "THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND "
+        "FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES "
+        "WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, "
+        "ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
+    "bsd-2-clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+        "conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+        "following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
+        "the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED "
+        'BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE '
+        "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT "
+        "HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, "
+        "BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+        "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR "
+        "OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any "
+        "damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including "
+        "commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of "
+        "this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in "
+        "a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions "
+        "must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be "
+        "removed or altered from any source distribution."
+    ),
 }
 
 
@@ -191,16 +233,36 @@ def _scan(shared, least: float):
     return run
 
 
+def read_templates(rows: DataFrame) -> dict[str, str]:
+    """Texts by name out of ``rows(name, text)``, whose size is checked before anything is collected. Rows with
+    a null are left out, equal ones count once, and different texts of one name are numbered (``name#2``)."""
+    known = rows.where("name is not null and text is not null").select("name", "text").distinct()
+    size = known.agg(F.sum(F.octet_length("name") + F.octet_length("text"))).first()[0] or 0
+    if size > MOST_BYTES:
+        raise ValueError(f"templates of {size} bytes, of which {MOST_BYTES} may go to every task")
+    out: dict[str, str] = {}
+    for name, text in sorted(known.collect()):
+        n = 1
+        while (key := name if n == 1 else f"{name}#{n}") in out:
+            n += 1
+        out[key] = text
+    return out
+
+
 def scan(
-    docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text: str = "text", least: float = LEAST
+    docs: DataFrame, templates: dict[str, str] | DataFrame | None = None, id_col: str = "doc_id", text: str = "text", least: float = LEAST
 ) -> DataFrame:
     """A row for each document row and template found in it: the id, ``license``, ``containment`` (the
     best share of the template's shingles in one place) and ``word_start`` (from where it was counted).
 
     Null, empty and blank texts and templates without words match nothing. Repeated rows give their
     rows again; rows with a null id return a null id. An empty table gives an empty result. Other
-    columns are ignored. ``templates`` go to every task."""
-    shared = docs.sparkSession.sparkContext.broadcast(Templates(TEMPLATES if templates is None else templates))
+    columns are ignored; ids may have any type. ``templates`` (texts by name, or a table of ``name`` and
+    ``text``) go to every task, so they may have ``MOST_BYTES`` at most; more raise."""
+    texts = TEMPLATES if templates is None else read_templates(templates) if isinstance(templates, DataFrame) else templates
+    if sum(len(t.encode()) for t in texts.values()) > MOST_BYTES:
+        raise ValueError(f"templates of more than {MOST_BYTES} bytes")
+    shared = docs.sparkSession.sparkContext.broadcast(Templates(texts))
     plain = docs.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    schema = "id long, license string, containment double, word_start long"
+    schema = f"id {plain.schema['id'].dataType.simpleString()}, license string, containment double, word_start long"
     return plain.mapInPandas(_scan(shared, least), schema).withColumnRenamed("id", id_col)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free, give_back, lean
+from .common import free, give_back, lean, least_by_hash
 from .word_hash import exact_hashes
 
 
@@ -89,9 +89,11 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
     """BUCKETS x DIM vectors of length one (zero for a bucket without context)."""
     cols = [f"v{k}" for k in range(DIM)]
     schema = T.StructType([T.StructField("bucket", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in cols]])
+    tasks = 4 * docs.sparkSession.sparkContext.defaultParallelism  # each returns BUCKETS rows, however many texts it reads
     sums = (
         docs.where(F.col(text).isNotNull())
         .select(F.col(text).alias("text"))
+        .coalesce(tasks)
         .mapInPandas(_context_tables, schema)
         .groupBy("bucket")
         .agg(*[F.sum(c).alias(c) for c in cols])
@@ -221,10 +223,8 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, sample: int = SAMPL
         .where(allowed)
         .groupBy("doc_id")
         .agg(F.max("quality").alias("quality"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(sample)
     )
-    told = docs.select("doc_id", F.col(text).alias("text")).join(known, "doc_id")
+    told = docs.select("doc_id", F.col(text).alias("text")).join(least_by_hash(known, sample, ["doc_id"]), "doc_id")
     one = told.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # a row an id, however often it repeats
     rows = _pooled(one, "text", shared, True, "__features").toPandas()
     rows = rows.sort_values("doc_id", kind="stable")

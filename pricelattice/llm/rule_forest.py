@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, stored
+from .common import lean, least_by_hash, stored
 
 TREES = 128
 SUBSAMPLE = 256
@@ -169,15 +169,6 @@ def threshold(scores: np.ndarray, good: np.ndarray, bad: np.ndarray) -> float:
     return float(s[0] if k == 0 else s[-1] + 1e-9 if k == len(s) else (s[k - 1] + s[k]) / 2)
 
 
-def least_by_hash(rows: DataFrame, k: int, key: list[str]) -> DataFrame:
-    """The ``k`` rows of least hash of ``key``. Rows that cannot be among them (hashes spread evenly, so a few
-    times the share suffices) go before the sort."""
-    share = min(1.0, 4 * k / max(1, rows.count()))
-    hashed = F.xxhash64(*key)
-    near = F.pmod(hashed, F.lit(1 << 30)) < int(share * (1 << 30)) + 1
-    return rows.where(near).orderBy(F.pmod(hashed, F.lit(1 << 30)), *key).limit(k)
-
-
 def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``id_col``, the base statistics, ``base_failed``, ``score`` (the
     anomaly score) and ``kept``.

@@ -83,3 +83,12 @@ def test_nothing_is_missed(spark):
                 want.add((at, i))
     got = {(r.doc_id, r.item_id) for r in contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert want - got == set()
+
+
+def test_ids_of_any_type_and_items_that_repeat(spark):
+    text = "alpha beta gamma delta. epsilon zeta eta theta iota kappa lambda mu nu xi omicron."
+    bench = spark.createDataFrame([("q", text)] * 3 + [("p", text)], "item_id string, text string")
+    docs = spark.createDataFrame([("d1", "x y " + text), (None, text), ("d2", "x")], "doc_id string, text string")
+    got = sorted((r.doc_id or "", r.item_id) for r in contaminated(docs, bench).collect())
+    assert got == [("", "p")] + [("", "q")] * 3 + [("d1", "p")] + [("d1", "q")] * 3
+    assert [r.doc_id for r in clean_documents(docs, bench).collect()] == ["d2"]

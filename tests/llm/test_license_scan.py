@@ -1,5 +1,8 @@
 import random
 
+import pytest
+
+from pricelattice.llm import license_scan
 from pricelattice.llm.license_scan import LEAST, TEMPLATES, containment, scan
 from pricelattice.llm.word_hash import plain_words, word_hashes
 
@@ -55,3 +58,31 @@ def test_edges(spark):
     assert got == [(0, "mit-line", 1.0), (3, "all-rights-reserved", 1.0), (3, "all-rights-reserved", 1.0)]
     assert scan(spark.createDataFrame([], schema)).collect() == []
     assert scan(spark.createDataFrame(rows, schema), {"none": "..."}).collect() == []
+
+
+def test_templates_of_a_table_and_string_ids(spark, monkeypatch):
+    rows = spark.createDataFrame([("own", "one two three four five six seven"), ("own", "eight nine ten eleven twelve"), ("own", None), (None, "x")], "name string, text string")
+    texts = license_scan.read_templates(rows.union(rows))
+    assert sorted(texts) == ["own", "own#2"]
+    docs = spark.createDataFrame([("a", "so one two three four five six seven it is"), (None, "eight nine ten eleven twelve")], "doc_id string, text string")
+    got = {(r.doc_id, r.license) for r in license_scan.scan(docs, rows).collect()}
+    assert got == {("a", "own#2"), (None, "own")}
+    monkeypatch.setattr(license_scan, "MOST_BYTES", 20)
+    for templates in (rows, texts):
+        with pytest.raises(ValueError):
+            license_scan.scan(docs, templates)
+
+
+def test_whole_licenses_are_found(spark):
+    whole = ["mit", "isc", "bsd-2-clause", "zlib"]
+    rng = random.Random(4)
+    filler = lambda n: " ".join(f"w{rng.randrange(900)}" for _ in range(n))
+    docs = []
+    for k, name in enumerate(whole):
+        words = license_scan.TEMPLATES[name].split()
+        changed = words[:60] + ["other"] + words[61:]
+        docs += [(10 * k, f"{filler(300)} {' '.join(words)} {filler(50)}"), (10 * k + 1, f"{filler(7)} {' '.join(changed).lower()}"), (10 * k + 2, filler(400))]
+    got = license_scan.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    for k, name in enumerate(whole):
+        assert {r.doc_id for r in got if r.license == name} == {10 * k, 10 * k + 1}
+    assert all(r.containment == 1 for r in got if r.doc_id % 10 == 0 and r.license in whole) and not [r for r in got if r.doc_id % 10 == 2]
