@@ -3,9 +3,8 @@ folder that the cluster shares (``spark.checkpoint.dir``)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..sources.shared import folder
 
@@ -91,47 +90,19 @@ def closed_weeks(stream: DataFrame, lateness: str = "2 days", late: list[int] |
     return _by_week(done)
 
 
-class _Silence(StatefulProcessor):
-    """Beats of a store that are not settled; a timer for each settles it when no later beat can come."""
-
-    def __init__(self, seconds: int):
-        self.span = seconds * 1_000_000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.beats = handle.getMapState("beats", "beat long", "n long")
-
-    def handleInputRows(self, key, rows, timerValues):
-        for row in rows:
-            if not self.beats.containsKey((row.beat,)):
-                self.beats.updateValue((row.beat,), (1,))
-                self.handle.registerTimer(-(-(row.beat + self.span) // 1000))
-        return iter([])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        held = sorted(k[0] for k in self.beats.keys())
-        for beat, after in zip(held, [*held[1:], None]):
-            if beat + self.span <= now:
-                self.beats.removeKey((beat,))
-                if after is None or after > beat + self.span:
-                    yield Row(store_id=key[0], beat=beat)
-
-    def close(self) -> None:
-        pass
-
-
 def silent_stores(stream: DataFrame, seconds: int = 1800, lateness: str = "2 days") -> DataFrame:
     """``(store_id, beat, silent_at)`` of every time that a store went silent: after ``beat``, a sign of life (any event but a view), none
-    came for ``seconds``. The row is made by an event-time timer, whether or not the store is ever heard again.
-
-    A store's state is its beats of the last ``seconds`` and ``lateness``; beats later than ``lateness`` behind the newest one do not count,
-    and what the newest beat less ``lateness`` has not reached is open."""
-    spark, option = stream.sparkSession, "spark.sql.streaming.stateStore.providerClass"
-    beats = stream.where("event_type <> 'view'").select("store_id", F.unix_micros("started_at").alias("beat"), "started_at").withWatermark("started_at", lateness)
-    silent = beats.groupBy("store_id").transformWithState(_Silence(seconds), "store_id long, beat long", "append", "eventTime")
+    came for ``seconds``. The row is made when the watermark has passed ``silent_at``, whether or not the store is ever heard again.
+
+    Beats of a store that are ``seconds`` apart at most are one session, and the last one of a session is the silence, in whatever order
+    they come. The state is a row a session that is open or not older than ``lateness``; beats whose own ``seconds`` are over by ``lateness``
+    before the newest one do not count, and what the newest beat less ``lateness`` has not reached is open."""
+    spark, option = stream.sparkSession, "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
+    beats = stream.where("event_type <> 'view'").select("store_id", "started_at").withWatermark("started_at", lateness)
+    sessions = beats.groupBy("store_id", F.session_window("started_at", f"{seconds} seconds")).agg(F.max("started_at").alias("beat"))
+    silent = sessions.select("store_id", F.unix_micros("beat").alias("beat"))
     before = spark.conf.get(option)
-    spark.conf.set(option, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # the one that has timers
+    spark.conf.set(option, "true")  # sessions are merged before the shuffle as well
     try:
         done = _finished(silent, "stream-silent", "append")
     finally:

@@ -1,4 +1,5 @@
 import datetime
+import time
 
 from pricelattice.plans.queries import QUERIES
 
@@ -49,3 +50,18 @@ def test_weeks_close_once(spark, tmp_path):
     late = []
     got = sorted(map(tuple, jobs.closed_weeks(jobs.runs_stream(spark, str(tmp_path)), late=late).collect()))
     assert got == [(1, monday.date(), 3.0, 2)] and late == [1]
+
+
+def test_a_store_with_many_beats_is_settled_at_once(spark, tmp_path):
+    """20,000 beats of one store in one file, a silence after every hundredth: the state is a row a session, not a beat."""
+    start = datetime.datetime(2024, 1, 1)
+    seconds = [k * 10 + (k // 100) * 1801 for k in range(20_000)]
+    rows = [(start + datetime.timedelta(seconds=s), 1, "click", 1.0) for s in seconds]
+    events(spark, tmp_path, [rows])
+    from pricelattice.streaming import jobs
+
+    begun = time.monotonic()
+    got = sorted(r.beat for r in jobs.silent_stores(jobs.runs_stream(spark, str(tmp_path))).collect())
+    reached = rows[-1][0] - datetime.timedelta(days=2, seconds=1800)
+    assert got == [r[0] for r in rows[99::100] if r[0] <= reached]
+    assert time.monotonic() - begun < 120  # a look at all beats for each of them takes hours
