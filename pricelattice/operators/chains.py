@@ -62,7 +62,7 @@ def ingest(items: DataFrame, products: DataFrame, prices: DataFrame) -> DataFram
 def ingest_rows(items: DataFrame, products: DataFrame, prices: DataFrame) -> DataFrame:
     """Every item ``(load_key, load_line, name, brand, pack_info, barcode, store_id, price, recorded_at)`` with its product
     and outcome. Names that are none are ``rejected``. Brands become canonical; the product is that of the barcode, else of
-    the fuzzy match, else a new one named by a hash of the key. Of a product, store, brand and day one price is
+    the fuzzy match (of equally good ones one of the item's own pack), else a new one named by a hash of the key. Of a product, store, brand and day one price is
     ``inserted``, unless ``prices`` has it; others are ``skipped``. Repeated rows are items of their own; other columns
     stay. ``ingest_batch`` matches catalog names before, and appends what is inserted."""
     rows = items.withColumn("brand", canonical_brand(F.col("brand")))
@@ -72,7 +72,7 @@ def ingest_rows(items: DataFrame, products: DataFrame, prices: DataFrame) -> Dat
     coded = good.join(by_code, "barcode", "left")
     own = ["name", "brand", "pack_info"]
     rest = coded.where("by_code is null").select(*own).distinct()
-    fuzzy = match_sku(rest.withColumn("item_no", F.struct(*own)), products).select(*[F.col(f"item_no.{c}").alias(f"f_{c}") for c in own], F.col("product_id").alias("by_name"))
+    fuzzy = match_sku(rest.withColumn("item_no", F.struct(*own)), products, own_pack_first=True).select(*[F.col(f"item_no.{c}").alias(f"f_{c}") for c in own], F.col("product_id").alias("by_name"))
     alike = [F.col("by_code").isNull(), *[F.col(c).eqNullSafe(F.col(f"f_{c}")) for c in own]]
     found = coded.join(fuzzy, alike, "left").withColumn("known_id", F.coalesce("by_code", "by_name"))
     parts = [normalise_name(F.col("name")), brand_key(F.col("brand")), normalise_pack(F.col("pack_info"))]

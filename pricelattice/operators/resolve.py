@@ -98,10 +98,12 @@ def _near_names(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     return scored.unionByName(equal)
 
 
-def match_sku(items: DataFrame, products: DataFrame, least: float = 90.0) -> DataFrame:
+def match_sku(items: DataFrame, products: DataFrame, least: float = 90.0, own_pack_first: bool = False) -> DataFrame:
     """The best product of each item ``(item_no, name, brand, pack_info)``: equal brand (null is one),
     packs that do not contradict, and a name ratio of ``least`` or more; else the first product of the
     same brand and pack, if the item has a brand and its pack a number. Unmatched items stay, with null.
+    An item without a pack fits products of any pack. Of equal ratios the least id counts; with ``own_pack_first`` the least
+    id of those without a pack, where there are some.
 
     Both sides are reduced to distinct (brand, pack, name); names are compared inside their brand alone."""
     key = [brand_key(F.col("brand")).alias("brand"), normalise_pack(F.col("pack_info")).alias("pack"), normalise_name(F.col("name")).alias("name")]
@@ -113,14 +115,15 @@ def match_sku(items: DataFrame, products: DataFrame, least: float = 90.0) -> Dat
     left = i.select(F.col("i_brand").alias("brand"), F.col("i_name").alias("name")).distinct()
     pairs = named(_near_names(left, p.select("brand", "name").distinct(), least), "n")
     wanted = i.join(pairs, [*same("i", "n", "brand"), F.col("i_name") == F.col("n_a")])
-    cols = ["i_brand", "i_pack", "i_name", "n_score", "p_product_id"]
-    one_pack = wanted.join(named(p, "p"), [*same("n", "p", "brand"), F.col("i_pack") == F.col("p_pack"), F.col("n_b") == F.col("p_name")])
-    all_packs = named(p.groupBy("brand", "name").agg(F.min("product_id").alias("product_id")), "p")
+    cols = ["i_brand", "i_pack", "i_name", "n_score", "p_other_pack", "p_product_id"]
+    one_pack = wanted.join(named(p.withColumn("other_pack", F.lit(False)), "p"), [*same("n", "p", "brand"), F.col("i_pack") == F.col("p_pack"), F.col("n_b") == F.col("p_name")])
+    other = F.col("pack").isNotNull() if own_pack_first else F.lit(False)
+    all_packs = named(p.groupBy("brand", "name", other.alias("other_pack")).agg(F.min("product_id").alias("product_id")), "p")
     any_pack = wanted.where("i_pack is null").join(all_packs, [*same("n", "p", "brand"), F.col("n_b") == F.col("p_name")])
     by_name = named(
         one_pack.select(*cols).unionByName(any_pack.select(*cols))
         .groupBy("i_brand", "i_pack", "i_name")
-        .agg(F.min_by("p_product_id", F.struct(-F.col("n_score"), "p_product_id")).alias("i_product_id"))
+        .agg(F.min_by("p_product_id", F.struct(-F.col("n_score"), "p_other_pack", "p_product_id")).alias("i_product_id"))
         .toDF("brand", "pack", "name", "product_id"),
         "m",
     )

@@ -123,6 +123,15 @@ def test_sku_is_brute_force(spark):
     assert {r.item_no: (r.product_id, r.matched_by) for r in rows} == brute_sku(*sides)
 
 
+def test_an_item_without_a_pack_takes_a_product_without_one(spark):
+    """Of equally good names; a better name comes first, and a product of any pack is better than none."""
+    cols = "product_id int, name string, brand string, pack_info string"
+    p = spark.createDataFrame([(1, "cold bolt", "A", "6 x 2 l"), (2, "cold bolt", "A", None), (3, "red anvil", "A", "1 l"), (4, "red anvill", "A", None)], cols)
+    i = spark.createDataFrame([(1, "cold bolts", "A", None), (2, "red anvil", "A", None), (3, "cold bolts", "A", "6 x 2 l")], cols.replace("product_id", "item_no"))
+    assert {r.item_no: r.product_id for r in match_sku(i, p).collect()} == {1: 1, 2: 3, 3: 1}
+    assert {r.item_no: r.product_id for r in match_sku(i, p, own_pack_first=True).collect()} == {1: 2, 2: 3, 3: 1}
+
+
 def test_duplicates_count_equal_names(spark):
     names = ["Milk 1 l", "milk 1 l", "l milk, 1", "чай", "чаи", "butter", None, ""]
     got = {r.product_id: (r.name, r.n_links) for r in duplicate_products(spark.createDataFrame(list(enumerate(names)), "product_id int, name string")).collect()}
