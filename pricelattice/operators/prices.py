@@ -10,6 +10,14 @@ from ..functions.text import brand_key, normalise_pack
 from .order import half_even
 
 
+#: Parts that prices are dealt to by product: a number that is not coalesced, so that a task's rows stay few in large tables.
+PARTS = 200
+
+
+def by_product(prices: DataFrame, *columns: str) -> DataFrame:
+    return prices.select("product_id", *columns).repartition(PARTS, "product_id")
+
+
 def latest(df: DataFrame, keys: list[str], order: str = "recorded_at", tie_break: list[Column] | None = None) -> DataFrame:
     """The rows with the greatest ``order`` of each key; all of them on ties, or one by ``tie_break``."""
     w = Window.partitionBy(*keys).orderBy(F.desc(order), *(tie_break or []))
@@ -21,6 +29,13 @@ def latest_prices(prices: DataFrame) -> DataFrame:
     return latest(prices, ["product_id", "store_id"])
 
 
+def product_prices(prices: DataFrame) -> DataFrame:
+    """Per product the least of its stores' latest prices, the number of its stores and its last update. Rows meet by product once; of each
+    store one row stays, the cheapest of its latest ones, so that nothing is counted apart."""
+    now = latest(by_product(prices, "store_id", "price", "recorded_at"), ["product_id", "store_id"], tie_break=[F.asc_nulls_last("price")])
+    return now.groupBy("product_id").agg(F.min("price").alias("min_price"), F.count("store_id").alias("n_stores"), F.max("recorded_at").alias("updated_at"))
+
+
 def compare(prices: DataFrame, stores: DataFrame, products: Column) -> DataFrame:
     """Latest prices of some products by store, with the percentage above the cheapest."""
     now = latest_prices(prices.where(products)).select("product_id", "store_id", "price", "load_key", "load_line")
@@ -37,10 +52,7 @@ def cheapest_store(prices: DataFrame, stores: DataFrame) -> DataFrame:
 
 def product_summary(products: DataFrame, prices: DataFrame) -> DataFrame:
     """Every product with its least latest price, its stores and its last update."""
-    agg = latest_prices(prices).groupBy("product_id").agg(
-        F.min("price").alias("min_price"), F.countDistinct("store_id").alias("n_stores"), F.max("recorded_at").alias("updated_at")
-    )
-    out = products.join(agg, "product_id", "left")
+    out = products.join(product_prices(prices), "product_id", "left")
     return out.withColumn("n_stores", F.coalesce("n_stores", F.lit(0)).cast("long"))
 
 
@@ -52,22 +64,25 @@ def deals(prices: DataFrame, products: DataFrame) -> DataFrame:
 
 
 def families(products: DataFrame, prices: DataFrame, names: DataFrame | None = None) -> DataFrame:
-    """Rollup of active products by name. ``names`` chooses families; all their variants count."""
+    """Rollup of active products by name. ``names`` chooses families; all their variants count. A product's latest prices become one row
+    before its family is formed (the unit price grows with the price); stores are those with a price, as each has a latest one."""
     own = products.where("status = 'active'")
     if names is not None:
         own = own.join(names.select("name").distinct(), "name", "left_semi")
-    now = latest_prices(prices).select("product_id", "store_id", "price", "recorded_at")
-    rows = own.join(now, "product_id", "left").withColumn("ppu", unit_price(F.col("price"), F.col("pack_info")))
-    return rows.groupBy("name").agg(
+    rows = own.join(product_prices(prices), "product_id", "left").withColumn("ppu", unit_price(F.col("min_price"), F.col("pack_info")))
+    sold = by_product(prices, "store_id").join(own.select("product_id", F.col("name").alias("__name")), "product_id")
+    stores = sold.select("__name", "store_id").distinct().groupBy("__name").agg(F.count("store_id").alias("n_stores"))
+    out = rows.groupBy("name").agg(
         F.countDistinct(brand_key(F.col("brand"))).alias("n_brands"),
         F.countDistinct(normalise_pack(F.col("pack_info"))).alias("n_packs"),
-        F.countDistinct("store_id").alias("n_stores"),
         F.countDistinct("product_id").alias("n_products"),
-        F.min("price").alias("min_price"),
+        F.min("min_price").alias("min_price"),
         F.min("ppu").alias("min_unit_price"),
         F.min_by(pack_base(F.col("pack_info")), F.when(F.col("ppu").isNotNull(), F.struct("ppu", "product_id"))).alias("unit"),
-        F.max("recorded_at").alias("updated_at"),
+        F.max("updated_at").alias("updated_at"),
     )
+    own_stores = out.join(stores, F.col("name").eqNullSafe(F.col("__name")), "left").withColumn("n_stores", F.coalesce("n_stores", F.lit(0)))
+    return own_stores.select("name", "n_brands", "n_packs", "n_stores", "n_products", "min_price", "min_unit_price", "unit", "updated_at")
 
 
 def family_variants(products: DataFrame, prices: DataFrame, name: str) -> DataFrame:
