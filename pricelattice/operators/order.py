@@ -58,11 +58,14 @@ def numbered(rows: DataFrame, keys: list[str], order: list[str], out: str = "nth
     and shifted by the counts of the ranges before: a key of any size is spread over ranges, and no list of it is made."""
     dealt = kept(rows.repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id()), "series-dealt")
     inside = F.row_number().over(Window.partitionBy(*keys, "__part").orderBy(*order))
-    sizes = dealt.groupBy(*keys, "__part").agg(F.count("*").alias("__n"))
+    # a key goes on from one range to the next only where it is a range's first one: of these alone sizes are counted, so that the shift has few rows
+    going = dealt.groupBy("__part").agg(F.min(F.struct(*keys)).alias("__k")).select(*[F.col(f"__k.{k}").alias(f"__{k}") for k in keys]).distinct()
+    held = dealt.join(F.broadcast(going), [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], "left_semi")
+    sizes = held.groupBy(*keys, "__part").agg(F.count("*").alias("__n"))
     before = F.sum("__n").over(Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
     shift = sizes.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__part").alias("__p"), before.alias("__before")).where("__before > 0")
     same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
-    out_rows = dealt.withColumn(out, inside).join(shift, [*same, F.col("__part") == F.col("__p")], "left")
+    out_rows = dealt.withColumn(out, inside).join(F.broadcast(shift), [*same, F.col("__part") == F.col("__p")], "left")
     return out_rows.withColumn(out, (F.col(out) + F.coalesce("__before", F.lit(0))).cast("long")).select(*rows.columns, out)
 
 

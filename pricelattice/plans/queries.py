@@ -832,8 +832,9 @@ def subtree_range(t):
 )
 def history_series(t):
     """Every observation with its place in its store's series, stores in order of their first one."""
-    rows = O.numbered(t("prices").select("product_id", "store_id", "recorded_at", "price", "load_key", "load_line"), ["product_id", "store_id"], ["recorded_at", "price", "load_key", "load_line"])
-    first = rows.where("nth = 1").select("product_id", "store_id", F.col("recorded_at").alias("since"))
+    own = t("prices").select("product_id", "store_id", "recorded_at", "price", "load_key", "load_line")
+    rows = O.numbered(own, ["product_id", "store_id"], ["recorded_at", "price", "load_key", "load_line"]).drop("load_key", "load_line")
+    first = P.by_product(own, "store_id", "recorded_at").groupBy("product_id", "store_id").agg(F.min("recorded_at").alias("since"))
     place = F.row_number().over(Window.partitionBy("product_id").orderBy("since", "store_id")).cast("long")
     stores = first.withColumn("store_place", place).drop("since")
     return rows.join(stores, ["product_id", "store_id"]).select("product_id", "store_id", "nth", "recorded_at", "price", "store_place")

@@ -134,3 +134,15 @@ def test_whole_ingest(spark):
     assert (rows["1"].category, rows["1"].image_url, rows["2"].category, rows["2"].image_url, rows["2"].additional_info) == ("Drinks", "i3", "Old", "img", "fresh")
     new = sorted((r.name, r.brand, r.pack_info, r.status, r.category, r.pack_type) for r in left.collect() if r.status == "pending_review")
     assert new == [("Прясно мляко", "C", "1 кг кенче", "pending_review", "Млечни", "кенче"), ("Сирене", "D", "200 г", "pending_review", "Сирена", None)]
+
+
+def test_a_shift_is_counted_for_keys_that_go_on_alone(spark):
+    """Sizes are counted of the keys that a range begins with: of many small keys the plan broadcasts a row a range at most, and of
+    a key over several ranges, null included, no place is lost."""
+    from pricelattice.operators import order
+
+    rows = [(None, k) for k in range(700)] + [("a", k) for k in range(700)] + [(f"k{k:03d}", v) for k in range(200) for v in range(2)]
+    df = order.numbered(spark.createDataFrame(rows, "k string, v long").repartition(5), ["k"], ["v"])
+    got = sorted((r.k or "", r.v, r.nth) for r in df.collect())
+    assert got == sorted((k or "", v, v + 1) for k, v in rows)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") == 2
