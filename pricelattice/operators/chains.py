@@ -13,7 +13,7 @@ from ..sources.shared import kept
 from .order import first_of_group
 from .prices import cheapest_store, latest_prices
 from .resolve import catalog_hits, match_barcode, match_sku, similar_names
-from .tables import enrich_columns, guarded, merge_products, new_products, search_or_part
+from .tables import enrich_columns, guarded, merge_products, product_key, search_or_part
 
 
 def without_brand_names(items: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -65,27 +65,26 @@ def ingest_rows(items: DataFrame, products: DataFrame, prices: DataFrame) -> Dat
     the fuzzy match (of equally good ones one of the item's own pack), else a new one named by a hash of the key. Of a product, store, brand and day one price is
     ``inserted``, unless ``prices`` has it; others are ``skipped``. Repeated rows are items of their own; other columns
     stay. ``ingest_batch`` matches catalog names before, and appends what is inserted."""
-    rows = items.withColumn("brand", canonical_brand(F.col("brand")))
-    good = rows.where(is_product_name(F.col("name")))
-    codes = good.select("barcode", F.col("barcode").alias("item_no")).where("barcode is not null").distinct()
-    by_code = match_barcode(codes, products).select(F.col("item_no").alias("barcode"), F.col("product_id").alias("by_code"))
-    coded = good.join(by_code, "barcode", "left")
+    code = F.nullif(F.trim("barcode"), F.lit(""))
+    codes = products.select(code.alias("barcode"), code.alias("item_no")).where("barcode is not null").distinct()
+    by_code = match_barcode(codes, products).select(F.col("item_no").alias("__code"), F.col("product_id").alias("by_code"), F.lit(0).alias("__spread"))
+    spread = F.when(code.isNotNull(), 0).otherwise(1 + F.pmod(F.xxhash64("load_key", "load_line"), F.lit(1024)).cast("int"))  # no code: over all tasks
+    rows = items.withColumns({"brand": canonical_brand(F.col("brand")), "__code": code, "__spread": spread})
+    told = rows.join(by_code, ["__code", "__spread"], "left").drop("__code", "__spread")
+    told = kept(told.withColumn("__good", is_product_name(F.col("name"))), "ingest-coded")  # items are made once
+    coded = told.where("__good").drop("__good")
     own = ["name", "brand", "pack_info"]
-    rest = coded.where("by_code is null").select(*own).distinct()
+    rest = kept(coded.where("by_code is null").select(*own).distinct(), "ingest-names")
     fuzzy = match_sku(rest.withColumn("item_no", F.struct(*own)), products, own_pack_first=True).select(*[F.col(f"item_no.{c}").alias(f"f_{c}") for c in own], F.col("product_id").alias("by_name"))
     alike = [F.col("by_code").isNull(), *[F.col(c).eqNullSafe(F.col(f"f_{c}")) for c in own]]
     found = coded.join(fuzzy, alike, "left").withColumn("known_id", F.coalesce("by_code", "by_name"))
     parts = [normalise_name(F.col("name")), brand_key(F.col("brand")), normalise_pack(F.col("pack_info"))]
-    keyed = found.withColumns({f"__{c}": p for c, p in zip(("name", "brand", "pack"), parts)})
-    new = new_products(keyed.where("known_id is null").withColumn("item_no", F.struct("load_key", "load_line")), *parts)
-    fresh = new.select(F.col("name").alias("n"), F.col("brand").alias("b"), F.col("pack_info").alias("p"), "product_key")
-    same = F.col("known_id").isNull() & F.col("__name").eqNullSafe(F.col("n")) & F.col("__brand").eqNullSafe(F.col("b")) & F.col("__pack").eqNullSafe(F.col("p"))
-    placed = keyed.join(fresh, same, "left").withColumn("product_id", F.coalesce(F.col("known_id").cast("string"), "product_key"))
+    placed = found.withColumn("product_id", F.coalesce(F.col("known_id").cast("string"), product_key(*parts)))
     how = F.when(F.col("by_code").isNotNull(), "barcode").when(F.col("by_name").isNotNull(), "name").otherwise("new")
     done = guarded(placed.withColumn("matched_by", how), prices.withColumn("product_id", F.col("product_id").cast("string")))
     out = [*items.columns, "product_id", "matched_by", "outcome"]
     none = F.lit(None).cast("string")
-    gone = rows.where(~is_product_name(F.col("name"))).withColumns({"product_id": none, "matched_by": none, "outcome": F.lit("rejected")})
+    gone = told.where("not __good").withColumns({"product_id": none, "matched_by": none, "outcome": F.lit("rejected")})
     return done.select(*out).unionByName(gone.select(*out))
 
 

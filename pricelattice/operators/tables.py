@@ -225,12 +225,17 @@ def priced_blocks(lines: DataFrame, price: Column) -> DataFrame:
     return lines.withColumn("block", block).withColumn("price", price).where("price is not null")
 
 
+def product_key(name: Column, brand: Column, pack: Column) -> Column:
+    """The id of a new product: a hash of its normalised name, brand and pack."""
+    return F.sha2(F.concat_ws("|", name, brand, pack), 256)
+
+
 def new_products(unmatched: DataFrame, name: Column, brand: Column, pack: Column) -> DataFrame:
     """One pending product per normalised name, brand and pack of unmatched items; its id is a hash of the
     key, so that reruns agree."""
     keyed = unmatched.select("item_no", name.alias("name"), brand.alias("brand"), pack.alias("pack_info"))
     one = keyed.groupBy("name", "brand", "pack_info").agg(F.count("*").alias("n_items"), F.min("item_no").alias("first_item"))
-    return one.withColumn("status", F.lit("pending_review")).withColumn("product_key", F.sha2(F.concat_ws("|", "name", "brand", "pack_info"), 256))
+    return one.withColumn("status", F.lit("pending_review")).withColumn("product_key", product_key(*map(F.col, ("name", "brand", "pack_info"))))
 
 
 def review_queue(products: DataFrame, prices: DataFrame, stores: DataFrame) -> DataFrame:

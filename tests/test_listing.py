@@ -61,3 +61,29 @@ def test_merge_job(spark):
     left, moved = chains.merge_duplicates(products, prices, decisions)
     assert sorted(map(tuple, left.collect())) == [(1, "Best", None), (4, "B", "y")]
     assert sorted(map(tuple, moved.select("product_id", "price").collect())) == [(1, 1.0), (4, 2.0)]
+
+
+def test_ingest_makes_its_items_once(spark):
+    """Each item is made once, however many steps look at it; items without a code stay."""
+    import datetime
+
+    from pyspark.sql import functions as F
+
+    from pricelattice.operators import chains
+
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(name):
+        made.add(1)
+        return name
+
+    day = datetime.datetime(2024, 1, 1)
+    rows = [(k, 1, ["Нова", "мляко", "сирене"][k % 3], "A", None, [" 7 ", "", None, "8"][k % 4], 1, 2.0, day) for k in range(24)]
+    items = spark.createDataFrame(rows, "load_key long, load_line int, name string, brand string, pack_info string, barcode string, store_id long, price double, recorded_at timestamp")
+    products = spark.createDataFrame([(5, "хляб", "B", None, "7")], "product_id long, name string, brand string, pack_info string, barcode string")
+    prices = spark.createDataFrame([(5, 1, "A", day - datetime.timedelta(days=1))], "product_id long, store_id long, brand string, recorded_at timestamp")
+    out = chains.ingest(items.withColumn("name", seen.asNondeterministic()("name")), products, prices).collect()
+    assert made.value == 24
+    want = {k: None if k % 3 == 0 else "barcode" if k % 4 == 0 else "new" for k in range(24)}
+    assert {r.load_key: r.matched_by for r in out} == want and len(out) == 24
