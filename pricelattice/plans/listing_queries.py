@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import listing as L
 from ..functions import names, text
 from ..operators import chains
+from ..operators.prices import PARTS
 from ..sources import catalog, facts, offers
 from ..sources.shared import folder
 from . import queries as Q
@@ -96,7 +97,8 @@ def extraction_offers(t):
 def listing_offers(t):
     """A card a price row: own labels, sizes in the title, packs shown beside it, one price or two."""
     euro = lambda c: f"concat(replace(cast(cast({c} AS DECIMAL(14,2)) AS STRING), '.', ','), ' €')"
-    cards = t("prices").select(
+    rows = t("prices").select("load_key", "load_line", "category", "price").repartition(PARTS)  # matching takes more than reading: on all cores
+    cards = rows.select(
         "load_key", "load_line",
         F.expr("""concat(CASE load_line % 3 WHEN 0 THEN 'METRO Chef - ' WHEN 1 THEN 'metro ' ELSE '' END, category,
             CASE WHEN load_line % 2 = 0 THEN concat(' 6 Х ', load_line, ' Г') ELSE '' END)""").alias("name"),

@@ -66,7 +66,9 @@ def log_entries(raw: DataFrame, column: str = "entry") -> DataFrame:
 def listing_prices(cards: DataFrame) -> DataFrame:
     """Cards with ``price`` (the promotional one, else the crossed-out one) and ``discount_percent``; cards without a price go."""
     euro = lambda c: F.replace(F.regexp_extract(c, r"([\d]+[.,][\d]{1,2})\s*€", 1), F.lit(","), F.lit(".")).try_cast("decimal(10,2)")
-    promo, strike = euro(F.col("promo_eur_text")), euro(F.col("strike_eur_text"))
+    # a row of a generator, so that each text is matched once, not once for each use of its number
+    read = cards.withColumn("__p", F.explode(F.array(F.struct(euro(F.col("promo_eur_text")).alias("promo"), euro(F.col("strike_eur_text")).alias("strike")))))
+    promo, strike = F.col("__p.promo"), F.col("__p.strike")
     both = (promo > 0) & (strike > 0)
-    out = cards.withColumn("price", F.coalesce(F.nullif(promo, F.lit(0)), strike))
-    return out.withColumn("discount_percent", F.when(both, F.bround((1 - promo / strike) * 100, 0).cast("int"))).where("price is not null")
+    out = read.withColumn("price", F.coalesce(F.nullif(promo, F.lit(0)), strike))
+    return out.withColumn("discount_percent", F.when(both, F.bround((1 - promo / strike) * 100, 0).cast("int"))).where("price is not null").drop("__p")

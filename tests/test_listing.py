@@ -3,6 +3,8 @@ from pyspark.sql import functions as F
 from pricelattice.functions import listing as L
 from pricelattice.operators import chains
 from pricelattice.sources import catalog
+from pricelattice.plans.listing_queries import Q
+from pricelattice.sources.offers import listing_prices
 
 
 def values(spark, rows, schema, column):
@@ -87,3 +89,13 @@ def test_ingest_makes_its_items_once(spark):
     assert made.value == 24
     want = {k: None if k % 3 == 0 else "barcode" if k % 4 == 0 else "new" for k in range(24)}
     assert {r.load_key: r.matched_by for r in out} == want and len(out) == 24
+
+
+def test_listing_prices_match_each_text_once(spark):
+    """The optimizer copies no price's match to each use of it, and the cards are dealt to all cores."""
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    cards = spark.createDataFrame([("2,50 €", "5,00 €"), (None, "3,00 €"), (None, None)], "promo_eur_text string, strike_eur_text string")
+    out = listing_prices(cards)
+    assert plan(out).count("regexp_extract(promo_eur_text") == plan(out).count("regexp_extract(strike_eur_text") == 1
+    assert [(float(r.price), r.discount_percent) for r in out.collect()] == [(2.5, 50), (3.0, None)]
+    assert "Repartition 200" in plan(Q.QUERIES["listing_offers"](spark, "/root/testdata/sf0.001"))
