@@ -42,6 +42,8 @@ LONG = 256
 #: Pretokens or ids that a step in Python handles at once, which bounds its memory.
 STEP = 1 << 18
 _IDS = T.ArrayType(T.IntegerType())
+#: A part in the fold: its id below the bit ``_AT``, its first byte (LONG at most) from there on, from bit 32 the rank, ``_NONE`` if no pair has one.
+_AT, _ID, _NONE = 23, (1 << 23) - 1, 1 << 23
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -137,33 +139,36 @@ class Fold:
         return known.select(*[F.col(f"`{c}`") for c in df.columns], ids.alias(out))
 
     def _word(self, t: Column, word: Column) -> Column:
-        none = F.array().cast("array<int>")
+        """The fold over an array of longs, one for each part: rank of its merge with the next one (``_NONE`` if there is none), its first byte,
+        its id. The least of them is the leftmost pair of least rank."""
+        none = F.array().cast("array<bigint>")
+        own_id = lambda part: part.bitwiseAND(F.lit(_ID)).cast("int")
 
         def rank(left, right):
             cell = F.get(t["cells"], F.get(t["shift"], left) + right)
-            return F.when(F.shiftright(cell, 32) == left, cell.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"))
+            merged = F.when(F.shiftright(cell, 32) == left, cell.bitwiseAND(F.lit(0xFFFFFFFF)))
+            return F.shiftleft(F.coalesce(merged, F.lit(_NONE)), 32)
 
         letters = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")  # a character for each byte
         start = _let(
             F.transform(letters, lambda b: F.get(t["single"], F.ascii(b))),
-            lambda p: F.struct(p.alias("p"), F.zip_with(p, F.slice(p, 2, F.size(p)), rank).alias("r")),
+            lambda p: F.transform(p, lambda own, i: rank(own, F.get(p, i + 1)) + F.shiftleft(i.cast("bigint"), _AT) + own),
         )
 
-        def merge(acc, _):
-            p, r, n = acc["p"], acc["r"], F.size(acc["p"])
+        def merge(v, _):
+            def at(least, i):  # i: place (from 1) of the least
+                new, place = F.shiftrightunsigned(least, 32).cast("int"), least.bitwiseAND(F.lit(0xFFFFFFFF ^ _ID))
+                before, after = F.get(v, i - 2), F.get(v, i + 1)
+                joined = rank(new, own_id(after)) + place + new
+                left = rank(own_id(before), new) + before.bitwiseAND(F.lit(0xFFFFFFFF))
+                changed = F.when(i > 1, F.array(left, joined)).otherwise(F.array(joined))
+                return F.concat(F.slice(v, F.lit(1), F.greatest(i - 2, F.lit(0))), changed, F.slice(v, i + 2, F.size(v)))
 
-            def at(new, i):  # i: place (from 1) of the leftmost pair of least rank
-                left = F.when(i > 1, F.array(rank(F.get(p, i - 2), new))).otherwise(none)
-                right = F.array(rank(new, F.get(p, i + 1)))
-                return F.struct(
-                    F.concat(F.slice(p, F.lit(1), i - 1), F.array(new), F.slice(p, i + 2, n)).alias("p"),
-                    F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), left, right, F.slice(r, i + 2, n)).alias("r"),
-                )
+            place = lambda least: _let(F.array_position(v, least).cast("int"), lambda i: at(least, i))
+            return _let(F.array_min(v), lambda least: F.when(least >= _NONE << 32, v).otherwise(place(least)))
 
-            place = lambda new: _let(F.array_position(r, new).cast("int"), lambda i: at(new, i))
-            return _let(F.array_min(r), lambda new: F.when(new.isNull(), acc).otherwise(place(new)))
-
-        return F.aggregate(F.sequence(F.lit(2), F.octet_length(word)), start, merge, lambda acc: acc["p"])
+        folded = F.aggregate(F.sequence(F.lit(2), F.octet_length(word)), F.coalesce(start, none), merge)
+        return F.transform(folded, own_id)
 
 
 def _lists(x: pa.Array) -> tuple[pa.Array, np.ndarray]:
