@@ -17,12 +17,14 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import free, give_back, lean, least_by_hash
+from .pretokens import steps
 from .word_hash import exact_hashes
 
 
@@ -48,7 +50,14 @@ def index_vectors() -> np.ndarray:
     return out
 
 
-def _flat(texts: pd.Series, step: int):
+def _some(texts: pa.Array):
+    """Lists of the texts of one batch, of a few megabytes each; a null counts as empty."""
+    texts = pc.fill_null(texts, "")
+    for lo, hi in steps(texts):
+        yield texts.slice(lo, hi - lo).to_pylist()
+
+
+def _flat(texts, step: int):
     """Runs of whole documents of about ``step`` words: (bucket of each word, words per document)."""
     runs, held, own, size = [], 0, [], 0
     for k, text in enumerate(texts):
@@ -72,17 +81,18 @@ def _context_tables(batches):
     where = np.argsort(index == 0, axis=1, kind="stable")[:, :NONZERO]
     sign = np.take_along_axis(index, where, axis=1)
     for batch in batches:
-        for ids, lengths in _flat(batch["text"], STEP):
-            doc = np.repeat(np.arange(len(lengths)), lengths)
-            for gap in range(1, REACH + 1):
-                same = doc[gap:] == doc[:-gap]
-                left, right = ids[:-gap][same], ids[gap:][same]
-                for word, other in ((left, right), (right, left)):
-                    for k in range(NONZERO):
-                        table += np.bincount(word * DIM + where[other, k], sign[other, k], BUCKETS * DIM)
+        for texts in _some(batch.column(0)):
+            for ids, lengths in _flat(texts, STEP):
+                doc = np.repeat(np.arange(len(lengths)), lengths)
+                for gap in range(1, REACH + 1):
+                    same = doc[gap:] == doc[:-gap]
+                    left, right = ids[:-gap][same], ids[gap:][same]
+                    for word, other in ((left, right), (right, left)):
+                        for k in range(NONZERO):
+                            table += np.bincount(word * DIM + where[other, k], sign[other, k], BUCKETS * DIM)
     table = table.reshape(BUCKETS, DIM)
     used = np.flatnonzero(np.abs(table).sum(axis=1))
-    yield pd.DataFrame({"bucket": used, **{f"v{k}": table[used, k] for k in range(DIM)}})
+    yield pa.RecordBatch.from_pydict({"bucket": used, **{f"v{k}": table[used, k] for k in range(DIM)}})
 
 
 def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
@@ -94,7 +104,7 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
         docs.where(F.col(text).isNotNull())
         .select(F.col(text).alias("text"))
         .coalesce(tasks)
-        .mapInPandas(_context_tables, schema)
+        .mapInArrow(_context_tables, schema)
         .groupBy("bucket")
         .agg(*[F.sum(c).alias(c) for c in cols])
         .toPandas()  # BUCKETS rows at most
@@ -105,7 +115,7 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
     return (out / np.where(norm > 0, norm, 1)).astype(np.float32)
 
 
-def _pool(texts: pd.Series, vectors: np.ndarray, index: np.ndarray) -> np.ndarray:
+def _pool(texts, vectors: np.ndarray, index: np.ndarray) -> np.ndarray:
     """One row of FEATURES per text."""
     parts = []
     for ids, lengths in _flat(texts, POOL_STEP):
@@ -189,27 +199,25 @@ def train(x: np.ndarray, y: np.ndarray, hidden: int = HIDDEN, epochs: int = 60,
     return net
 
 
-def _scorer(shared, features: bool, text: str, out: str):
-    @lean
-    def run(batches):
+def _scorer(shared, features: bool):
+    """The function of a column of texts to their features or scores. Only the texts go to Python and only numbers come back."""
+
+    @F.arrow_udf(T.ArrayType(T.FloatType()) if features else T.DoubleType())
+    def run(texts: pa.Array) -> pa.Array:
         vectors, net = shared.value
-        index = index_vectors()
-        for batch in batches:
-            x = _pool(batch[text], vectors, index)
-            yield batch.drop(columns=text).assign(**{out: list(x) if features else net.score(x).astype(float)})
+        index, out = index_vectors(), []
+        for some in _some(texts):
+            x = _pool(some, vectors, index)
+            if features:
+                out.append(pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * FEATURES, pa.int32()), pa.array(x.ravel())))
+            else:
+                out.append(pa.array(net.score(x).astype(float)))
+        give_back()
+        return pa.concat_arrays([pa.array([], pa.list_(pa.float32()) if features else pa.float64()), *out])
 
     return run
 
 
-def _pooled(docs: DataFrame, text: str, shared, features: bool, out: str) -> DataFrame:
-    """``docs`` without ``text``, with the features or the score as ``out``, which is no column of ``docs``."""
-    rest = [c for c in docs.columns if c != text]
-    own = free(docs, "__text")
-    field = T.StructField(out, T.ArrayType(T.FloatType()) if features else T.DoubleType())
-    schema = T.StructType([*[docs.schema[c] for c in rest], field])
-    return docs.select(*rest, F.col(text).alias(own)).mapInPandas(_scorer(shared, features, own, out), schema)
-
-
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column, sample: int = SAMPLE, text: str = "text"):
     """Broadcast (word vectors, network). ``labels(doc_id, quality)``; rows with a null are
     ignored. ``allowed`` says of a doc_id whether its label may be learnt from."""
@@ -226,7 +234,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, sample: int = SAMPL
     )
     told = docs.select("doc_id", F.col(text).alias("text")).join(least_by_hash(known, sample, ["doc_id"]), "doc_id")
     one = told.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # a row an id, however often it repeats
-    rows = _pooled(one, "text", shared, True, "__features").toPandas()
+    rows = one.select("doc_id", "quality", _scorer(shared, True)("text").alias("__features")).toPandas()
     rows = rows.sort_values("doc_id", kind="stable")
     x = np.stack(rows["__features"].to_list()) if len(rows) else np.zeros((0, FEATURES), np.float32)
     y = rows["quality"].to_numpy(np.float64)
@@ -253,12 +261,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, text: str = "text", id_col
     result. Other columns are ignored."""
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
     shared = fit(plain, labels.select("doc_id", "quality"), learnable())
-    return _pooled(plain, "text", shared, False, "score").select(F.col("doc_id").alias(id_col), "score")
+    return plain.select(F.col("doc_id").alias(id_col), _scorer(shared, False)("text").alias("score"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` (with ``doc_id``) whose score is at least ``least``, with all columns."""
     shared = fit(docs.select("doc_id", F.col(text).alias("text")), labels.select("doc_id", "quality"), learnable())
-    words, score = free(docs, "__words_of"), free(docs, "__score")
-    scored = _pooled(docs.withColumn(words, F.col(text)), words, shared, False, score)
+    score = free(docs, "__score")
+    scored = docs.withColumn(score, _scorer(shared, False)(F.col(f"`{text}`")))
     return scored.where(F.col(score) >= least).select(*docs.columns)
