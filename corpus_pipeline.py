@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricelattice.llm.bpe import encode, read_ranks
-from pricelattice.llm.common import free, settle, stored, table
+from pricelattice.llm.common import free, settle, small_batches, stored, table
 from pricelattice.llm.decontaminate import clean_documents
 from pricelattice.llm.line_dedup import dedup_lines
 from pricelattice.llm.quality_net import keep_good
@@ -22,6 +22,7 @@ from pricelattice.llm.simhash import keep_one_of_each
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality network does not reject (score of 0.5 or more)."""
+    small_batches(spark)
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
@@ -40,16 +41,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (shingles of five words, similarity of 0.8 or more) the document with the least id."""
+    small_batches(spark)
     return keep_one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item is found."""
+    small_batches(spark)
     return clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and digests of them and of what they decode to."""
+    small_batches(spark)
     ranks = read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     out = encode(docs, ranks, public_tokenizers.PATTERN, id_bytes="raw", decoded="back", keep=["doc_id"])
     return out.select(

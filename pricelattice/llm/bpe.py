@@ -203,8 +203,13 @@ class Known:
         self.start = np.cumsum(self.length) - self.length
 
     def number(self, words: pa.Array) -> np.ndarray:
-        """Place of each word here, or -1."""
-        return pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy().astype(np.int64)
+        """Place of each of the distinct ``words`` here (the first one), or -1. The known words are looked up among the given
+        ones: a hash table of all known ones would take 50 MB for each call."""
+        found = pc.index_in(self.words, value_set=words)
+        place = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))[::-1]  # of equal ones the first is written last
+        out = np.full(len(words), -1, np.int64)
+        out[found.drop_null().to_numpy()[::-1]] = place
+        return out
 
 
 def _slices(offsets: np.ndarray):
@@ -263,16 +268,16 @@ def _splitter(shared, pattern: str):
         code = known.number(unique.cast(pa.string()))
         other = np.flatnonzero((code < 0) | (code >= known.whole))
         flat, n = _pretokens(unique.take(pa.array(other)), find)
-        words = pa.array(flat, pa.string())
-        own = known.number(words)
+        coded = pa.array(flat, pa.string()).dictionary_encode()
+        own = known.number(coded.dictionary)
         new = own < 0
-        coded = words.filter(pa.array(new)).dictionary_encode()
-        own[new] = len(known.length) + coded.indices.to_numpy()
+        own[new] = len(known.length) + np.arange(new.sum())
+        rare, own = coded.dictionary.filter(pa.array(new)), own[coded.indices.to_numpy()]
         length, start = np.ones(len(code), np.int64), np.arange(len(code))
         length[other], start[other] = n, len(code) + np.cumsum(n) - n
         length, start = length[number], start[number]
         offsets = np.append(0, np.cumsum(length))[begin]
-        return _split(np.append(code, own)[ragged(start, length)], offsets, coded.dictionary, known, ranks)
+        return _split(np.append(code, own)[ragged(start, length)], offsets, rare, known, ranks)
 
     @lean
     def run(batches):

@@ -3,10 +3,11 @@ import random
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import tiktoken
 from pyspark.sql import functions as F
 
-from pricelattice.llm.bpe import LONG, decoder, displaced, encode, merge_long, merges, read_ranks
+from pricelattice.llm.bpe import LONG, Known, decoder, displaced, encode, finder, merge_long, merges, read_ranks
 
 RANKS = read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
 LIB = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=RANKS, special_tokens={})
@@ -59,6 +60,25 @@ def test_every_merge_has_its_cell():
     assert (cell >> 32 == pairs[:, 0]).all() and (cell & 0xFFFFFFFF == pairs[:, 2]).all() and (cells >= 0).sum() == len(pairs)
 
 
+def test_look_up_takes_little_memory():
+    """Known words are found without a table of all of them: the first place counts, others give -1."""
+    hot = [f"w{k}" for k in range(400_000)] + ["w7", " the"]
+    known = Known(RANKS, pa.table({"word": pa.array(hot), "ids": pa.array([[1, 2]] * len(hot), pa.list_(pa.int32()))}), finder(P.PATTERN))
+    first = {}
+    for k, w in enumerate(known.words.to_pylist()):
+        first.setdefault(w, k)
+    words = ["w7", "not known", " the", "w399999", "", "é"]
+    usual, own = pa.default_memory_pool(), pa.proxy_memory_pool(pa.default_memory_pool())
+    pa.set_memory_pool(own)
+    try:
+        got = known.number(pa.array(words))
+    finally:
+        pa.set_memory_pool(usual)
+    assert got.tolist() == [first.get(w, -1) for w in words]
+    assert own.max_memory() < 8 << 20
+    assert known.number(pa.array([], pa.string())).tolist() == []
+
+
 def test_ids_of_real_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     for r in encode(docs, RANKS, P.PATTERN, hot=2_000).collect():

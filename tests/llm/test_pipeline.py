@@ -3,10 +3,12 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
+import pyarrow as pa  # noqa: E402
 import pytest  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
 
 import corpus_pipeline as pipeline  # noqa: E402
-from pricelattice.llm.common import stored  # noqa: E402
+from pricelattice.llm.common import BATCH, stored  # noqa: E402
 from tests.llm.test_simhash import shingle_sets, similarities  # noqa: E402
 
 
@@ -53,6 +55,21 @@ def test_run_is_the_stages_in_a_row(spark):
     assert sorted(map(tuple, pipeline.run(spark, d).collect())) == sorted(map(tuple, docs.collect()))
 
 
+@pytest.mark.parametrize("name", ["quality_classifier", "simhash_dedup", "decontamination", "bpe"])
+def test_batches_to_python_are_small(spark, name):
+    """Long texts go to Python in batches that are bounded by bytes, not by rows alone."""
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    d = "/root/testdata/sf0.001"
+    dict(pipeline.STAGES)[name](spark, spark.read.parquet(f"{d}/documents.parquet").limit(0), d)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    texts = spark.range(0, 8_000, 1, 1).select(F.repeat(F.lit("x"), 2_000).alias("text"))
+    assert texts.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0] < 1.5 * BATCH
+
+
 @pytest.mark.parametrize("name", [n for n, _ in pipeline.STAGES])
 def test_edges_of_every_stage(spark, name):
     """Empty tables, null and empty texts, repeated rows, null ids, and columns named as the stages' own."""
